@@ -51,35 +51,39 @@ def _pieces_pattern(in_attribute: bool) -> str:
     )
 
 
+def _table(pairs: dict[str, str]) -> Column:
+    """A constant string map, built in one call and folded by Catalyst."""
+    return F.str_to_map(F.lit(" ".join(f"{k}:{v}" for k, v in pairs.items())), F.lit(" "), F.lit(":"))
+
+
 def _code_point(n: Column) -> Column:
     """Character of a numeric reference; references to nothing give U+FFFD."""
-    legacy = {b: bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
-    legacy_map = F.create_map(
-        *[F.lit(x) for b, ch in legacy.items() if ch != "�" for x in (b, ch)]
-    )
+    legacy = {str(b): bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
+    legacy_table = _table({b: ch for b, ch in legacy.items() if ch != "\ufffd"})
     bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
     wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     return (
-        F.when(bad, F.lit("�"))
-        .when(n.between(0x80, 0x9F), F.coalesce(F.try_element_at(legacy_map, n.cast("int")), wide))
+        F.when(bad, F.lit("\ufffd"))
+        .when(
+            n.between(0x80, 0x9F),
+            F.coalesce(F.try_element_at(legacy_table, n.cast("string")), wide),
+        )
         .otherwise(wide)
     )
 
 
 def decode_entities(c: Column, in_attribute: bool = False) -> Column:
     """Decode character references once; unknown ones stay as they are."""
-    table = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in _ORDERED]), F.array(*[F.lit(_NAMES[n]) for n in _ORDERED])
-    )
+    table = _table({n: _NAMES[n] for n in _ORDERED})
 
     def decode(piece: Column) -> Column:
         hexa = F.conv(F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)
         deci = F.regexp_extract(piece, "^&#([0-9]+)", 1)
+        number = F.when(piece.rlike("^&#[xX]"), hexa).otherwise(deci).try_cast("bigint")
         named = F.try_element_at(table, F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);?$", 1))
         return (
             F.when(~piece.startswith("&"), piece)
-            .when(piece.rlike("^&#[xX]"), _code_point(hexa.try_cast("bigint")))
-            .when(piece.startswith("&#"), F.coalesce(_code_point(deci.try_cast("bigint")), piece))
+            .when(piece.startswith("&#"), F.coalesce(_code_point(number), piece))
             .otherwise(F.coalesce(named, piece))
         )
 

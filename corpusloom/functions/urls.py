@@ -141,31 +141,68 @@ def href(url: Column) -> Column:
     return F.when(_is_special(url), F.when(_valid(url), special)).when(s != "", opaque)
 
 
-def join_reference(base: Column, ref: Column) -> Column:
-    """Absolute, not yet normal, spelling of `ref` seen from `base`."""
-    r = clean(ref)
-    b = clean(base)
-    root = F.regexp_extract(b, rf"(?is)^({_SPECIAL}:[/\\]*[^/\\?#]*)", 1)
-    path = _part(base, 2)
-    folder = F.regexp_replace(path, r"[^/\\]*$", "")
+def _normal_rest(rest: Column) -> Column:
+    """Normal form of `/path?query#fragment`."""
+    path = F.translate(F.regexp_extract(rest, "^[^?#]*", 0), "\\", "/")
+    query = F.regexp_extract(rest, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    fragment = F.regexp_extract(rest, r"(?s)(#.*)$", 1)
+    return F.concat(
+        _percent_encode(_fold_dots(path), _PATH_SAFE),
+        F.when(query == "", query).otherwise(_percent_encode(query, _QUERY_SAFE)),
+        F.when(fragment == "", fragment).otherwise(_percent_encode(fragment, _FRAGMENT_SAFE)),
+    )
+
+
+def base_parts(base: Column) -> Column:
+    """What links need of their page's URL: (scheme, root, path, query), root NULL if unusable."""
+    user = F.regexp_extract(_part(base, 1), "^(.*@)", 1)
+    return F.struct(
+        scheme(base).alias("scheme"),
+        F.when(
+            _is_special(base) & _valid(base),
+            F.concat(scheme(base), F.lit("://"), user, _host(base), _port(base)),
+        ).alias("root"),
+        F.when(_part(base, 2) == "", "/").otherwise(_part(base, 2)).alias("path"),
+        _part(base, 3).alias("query"),
+    )
+
+
+def resolve_against(df: DataFrame, parts: str, ref: str, out: str) -> DataFrame:
+    """Add `out`: `ref` seen from the page whose `base_parts` are in column `parts`."""
+    b, r = F.col(parts), F.col("_ref")
+    folder = F.regexp_replace(b["path"], r"[^/\\]*$", "")
+    rest = (
+        F.when(r == "", F.concat(b["path"], b["query"]))
+        .when(r.rlike(r"^[/\\]"), r)
+        .when(r.startswith("?"), F.concat(b["path"], r))
+        .when(r.startswith("#"), F.concat(b["path"], b["query"], r))
+        .otherwise(F.concat(folder, r))
+    )
+    absolute = (
+        F.when(r.rlike(_SCHEME), r)
+        .when(r.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), r))
+    )
     return (
-        F.when(root == "", F.lit(None).cast("string"))
-        .when(r.rlike(_SCHEME), r)
-        .when(r.rlike(r"^[/\\]{2}"), F.concat(scheme(base), F.lit(":"), r))
-        .when(r.rlike(r"^[/\\]"), F.concat(root, r))
-        .when(r == "", F.regexp_replace(b, "(?s)#.*$", ""))
-        .when(r.startswith("?"), F.concat(root, path, r))
-        .when(r.startswith("#"), F.concat(F.regexp_replace(b, "(?s)#.*$", ""), r))
-        .otherwise(
-            F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), r)
+        df.withColumn("_ref", clean(F.col(ref)))
+        .withColumn("_absolute", absolute)
+        .withColumn("_rest", F.when(F.col("_absolute").isNull(), rest))
+        .withColumn(
+            out,
+            F.when(
+                b["root"].isNotNull(),
+                F.when(F.col("_absolute").isNotNull(), href(F.col("_absolute"))).otherwise(
+                    F.concat(b["root"], _normal_rest(F.col("_rest")))
+                ),
+            ),
         )
+        .drop("_ref", "_absolute", "_rest")
     )
 
 
 def resolve_links(df: DataFrame, base: str, ref: str, out: str = "url") -> DataFrame:
     """Add `out`: `ref` resolved against `base`; NULL where either is no URL."""
-    joined = df.withColumn("_joined", join_reference(F.col(base), F.col(ref)))
-    return joined.withColumn(out, href(F.col("_joined"))).drop("_joined")
+    based = df.withColumn("_base", base_parts(F.col(base)))
+    return resolve_against(based, "_base", ref, out).drop("_base")
 
 
 def md_candidates(url: Column) -> Column:

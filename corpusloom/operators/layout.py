@@ -1,0 +1,45 @@
+"""Where rows live: one hash layout that all steps of a job share."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Compressed input bytes one task should get; pages grow about fourfold as tokens.
+TARGET_BYTES = 64 << 20
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of `df` (metadata only), None if it has none."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session has no local plan
+        return None
+    return size if size < 1 << 60 else None
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash `df` by `keys` once; later windows and groups on them do not shuffle.
+
+    The partition count follows the input size where that asks for more than
+    the session's shuffle partitions; below that, adaptive execution coalesces.
+    """
+    size = plan_bytes(df)
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-size // TARGET_BYTES) if size else 0
+    if wanted > default:
+        return df.repartition(wanted, *keys)
+    return df.repartition(*keys)
+
+
+def fixed_rows(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A small constant table, held in the plan itself."""
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(v)
+
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")

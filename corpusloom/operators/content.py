@@ -67,6 +67,7 @@ def _bare_area(tokens: DataFrame, tag: str) -> DataFrame:
         whole = whole_page()
         has_body = F.max(F.when(opened, 1).otherwise(0)).over(whole)
         head_row = F.col("tag").isin(HEAD_TAGS) & F.col("kind").isin("open", "close", "void")
+        head_row &= (F.col("tag") != "html") | (F.col("kind") == "open")
         head_end = F.max(F.when(head_row, F.col("pos"))).over(whole)
         df = df.withColumn("_has_body", has_body).withColumn(
             "_head_end", F.coalesce(head_end, F.lit(-1))

@@ -14,7 +14,6 @@ def slug(title: Column) -> Column:
     return F.lower(F.regexp_replace(kept, f"[{JS_SPACE}.\\-]+", "_"))
 
 
-def corpus_file(output_dir: Column, domain: Column, name: Column) -> Column:
-    """Relative file path of one corpus document."""
-    folder = F.concat_ws("/", F.regexp_replace(output_dir, "/+$", ""), domain)
-    return F.concat(folder, F.lit("/"), name, F.lit(".md"))
+def corpus_folder(output_dir: Column, domain: Column) -> Column:
+    """Folder of one domain's documents."""
+    return F.concat(F.regexp_replace(output_dir, "/+$", ""), F.lit("/"), domain)

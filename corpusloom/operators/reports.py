@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.names import corpus_file
+from corpusloom.functions.names import corpus_folder
 from corpusloom.operators.bodies import is_ok
 
 # An error holding one of these texts is worth another attempt.
@@ -142,12 +142,11 @@ def run_report(
     )
     files = listing.select(F.col("domain").alias("site"), "n_files")
     joined = summary.join(spans, "site", "left").join(files, "site", "left")
-    place = corpus_file(F.lit(output_dir), F.col("site"), F.lit(""))
     return joined.select(
         "site",
         (F.col("completed") == F.col("total")).alias("finished"),
         F.coalesce("n_files", F.lit(0)).alias("n_files"),
-        F.regexp_replace(place, "/[^/]*$", "").alias("output_directory"),
+        corpus_folder(F.lit(output_dir), F.col("site")).alias("output_directory"),
         "total",
         "success",
         "failed",

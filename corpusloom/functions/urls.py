@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.layout import computed
+
 _SPECIAL = "(?:https?|wss?|ftp)"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # C0 controls and space, cut from both ends of a URL.
@@ -28,56 +30,66 @@ def clean(url: Column) -> Column:
     return F.translate(F.btrim(url, F.lit(_EDGE)), "\t\n\r", "")
 
 
-def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(clean(url), _SCHEME, 1))
+# The `_x` functions below take a cleaned URL.
+
 
+def _scheme(u: Column) -> Column:
+    return F.lower(F.regexp_extract(u, _SCHEME, 1))
 
-def _is_special(url: Column) -> Column:
-    return clean(url).rlike(f"(?i)^{_SPECIAL}:")
 
+def _is_special(u: Column) -> Column:
+    return u.rlike(f"(?i)^{_SPECIAL}:")
 
-def _part(url: Column, group: int) -> Column:
+
+def _part(u: Column, group: int) -> Column:
     """1 authority, 2 path, 3 query with `?`, 4 fragment with `#`."""
     pattern = rf"(?is)^{_SPECIAL}:[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-    return F.regexp_extract(clean(url), pattern, group)
+    return F.regexp_extract(u, pattern, group)
 
 
-def _host_port(url: Column) -> Column:
-    return F.regexp_replace(_part(url, 1), "^.*@", "")
+def _host(u: Column) -> Column:
+    """Lower-cased host without user and port."""
+    pattern = rf"(?i)^{_SPECIAL}:[/\\]*(?:[^/\\?#]*@)?(\[[^\]/\\?#]*\]|[^/\\?#:]*)"
+    return F.lower(F.regexp_extract(u, pattern, 1))
 
 
-def _host(url: Column) -> Column:
-    return F.lower(F.regexp_replace(_host_port(url), ":[0-9]*$", ""))
+def _port_text(u: Column) -> Column:
+    """What stands behind the host in the authority: '' or `:` and a number."""
+    pattern = rf"(?i)^{_SPECIAL}:[/\\]*(?:[^/\\?#]*@)?(?:\[[^\]/\\?#]*\]|[^/\\?#:]*)([^/\\?#]*)"
+    return F.regexp_extract(u, pattern, 1)
 
 
-def _port(url: Column) -> Column:
+def _port(u: Column) -> Column:
     """`:port`, or empty when absent or the scheme's own."""
-    port = F.regexp_extract(_host_port(url), ":0*([0-9]+)$", 1)
-    s = scheme(url)
+    port, s = F.regexp_extract(_port_text(u), ":0*([0-9]+)$", 1), _scheme(u)
     own = (
         (s.isin("http", "ws") & (port == "80"))
         | (s.isin("https", "wss") & (port == "443"))
         | ((s == "ftp") & (port == "21"))
     )
-    return F.when((port == "") | own, F.lit("")).otherwise(F.concat(F.lit(":"), port))
+    shown = F.when((port == "") | own, F.lit("")).otherwise(F.concat(F.lit(":"), port))
+    return F.when(_port_text(u) == "", F.lit("")).otherwise(shown)
 
 
-def _valid(url: Column) -> Column:
-    port = F.regexp_extract(_host_port(url), ":([0-9]+)$", 1)
-    return _host(url).rlike(_HOST_OK) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
+def _valid(u: Column) -> Column:
+    port = _port_text(u)
+    number = F.coalesce(F.substring(port, 2, 99).try_cast("int"), F.lit(0))
+    return _host(u).rlike(_HOST_OK) & ((port == "") | port.rlike("^:[0-9]*$") & (number <= 65535))
 
 
 def hostname(url: Column) -> Column:
     """Lower-cased host without port; '' for opaque URLs; NULL if unparsable."""
-    return F.when(_is_special(url), F.when(_valid(url), _host(url))).when(
-        scheme(url) != "", F.lit("")
+    u = clean(url)
+    return F.when(_is_special(u), F.when(_valid(u), _host(u))).when(
+        _scheme(u) != "", F.lit("")
     )
 
 
 def origin(url: Column) -> Column:
     """scheme://host[:port] of a special URL, else NULL."""
+    u = clean(url)
     return F.when(
-        _is_special(url) & _valid(url), F.concat(scheme(url), F.lit("://"), _host(url), _port(url))
+        _is_special(u) & _valid(u), F.concat(_scheme(u), F.lit("://"), _host(u), _port(u))
     )
 
 
@@ -86,6 +98,17 @@ def domain(url: Column, unknown: str = "unknown") -> Column:
     return F.coalesce(F.regexp_replace(hostname(url), r"^www\.", ""), F.lit(unknown))
 
 
+def normal_host(href: Column) -> Column:
+    """Host of a URL in normal form; '' for opaque ones."""
+    pattern = r"^[a-z0-9+.\-]+://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
+    return F.regexp_extract(href, pattern, 1)
+
+
+def normal_path(href: Column) -> Column:
+    """Path of a URL in normal form."""
+    return F.regexp_extract(href, r"^[a-z0-9+.\-]+://[^/?#]*([^?#]*)", 1)
+
+
 def _percent_encode(c: Column, safe: str) -> Column:
     def encode(ch: Column) -> Column:
         escaped = F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")
@@ -115,30 +138,34 @@ def _fold_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/(?:\.|%2[eE]){1,2}(?:/|$)"), folded).otherwise(path)
 
 
-def pathname(url: Column) -> Column:
-    """Normal path of a special URL: `/` separators, folded, percent-encoded."""
-    raw = F.translate(_part(url, 2), "\\", "/")
+def _pathname(u: Column) -> Column:
+    raw = F.translate(_part(u, 2), "\\", "/")
     rooted = F.when(raw == "", F.lit("/")).otherwise(raw)
     return _percent_encode(_fold_dots(rooted), _PATH_SAFE)
 
 
-def href(url: Column) -> Column:
-    """Normal form of an absolute URL, NULL if it cannot be parsed."""
-    s = scheme(url)
-    user = F.regexp_extract(_part(url, 1), "^(.*@)", 1)
+def pathname(url: Column) -> Column:
+    """Normal path of a special URL: `/` separators, folded, percent-encoded."""
+    return _pathname(clean(url))
+
+
+def _href(u: Column) -> Column:
+    """Normal form of a cleaned absolute URL, NULL if it cannot be parsed."""
+    s = _scheme(u)
+    user = F.regexp_extract(_part(u, 1), "^(.*@)", 1)
     special = F.concat(
         s,
         F.lit("://"),
         user,
-        _host(url),
-        _port(url),
-        pathname(url),
-        _percent_encode(_part(url, 3), _QUERY_SAFE),
-        _percent_encode(_part(url, 4), _FRAGMENT_SAFE),
+        _host(u),
+        _port(u),
+        _pathname(u),
+        _percent_encode(_part(u, 3), _QUERY_SAFE),
+        _percent_encode(_part(u, 4), _FRAGMENT_SAFE),
     )
-    rest = F.regexp_replace(clean(url), _SCHEME, "")
+    rest = F.regexp_replace(u, _SCHEME, "")
     opaque = F.concat(s, F.lit(":"), _percent_encode(rest, _OPAQUE_SAFE))
-    return F.when(_is_special(url), F.when(_valid(url), special)).when(s != "", opaque)
+    return F.when(_is_special(u), F.when(_valid(u), special)).when(s != "", opaque)
 
 
 def _normal_rest(rest: Column) -> Column:
@@ -155,15 +182,16 @@ def _normal_rest(rest: Column) -> Column:
 
 def base_parts(base: Column) -> Column:
     """What links need of their page's URL: (scheme, root, path, query), root NULL if unusable."""
-    user = F.regexp_extract(_part(base, 1), "^(.*@)", 1)
+    b = clean(base)
+    user = F.regexp_extract(_part(b, 1), "^(.*@)", 1)
     return F.struct(
-        scheme(base).alias("scheme"),
+        _scheme(b).alias("scheme"),
         F.when(
-            _is_special(base) & _valid(base),
-            F.concat(scheme(base), F.lit("://"), user, _host(base), _port(base)),
+            _is_special(b) & _valid(b),
+            F.concat(_scheme(b), F.lit("://"), user, _host(b), _port(b)),
         ).alias("root"),
-        F.when(_part(base, 2) == "", "/").otherwise(_part(base, 2)).alias("path"),
-        _part(base, 3).alias("query"),
+        F.when(_part(b, 2) == "", "/").otherwise(_part(b, 2)).alias("path"),
+        _part(b, 3).alias("query"),
     )
 
 
@@ -178,30 +206,24 @@ def resolve_against(df: DataFrame, parts: str, ref: str, out: str) -> DataFrame:
         .when(r.startswith("#"), F.concat(b["path"], b["query"], r))
         .otherwise(F.concat(folder, r))
     )
-    absolute = (
-        F.when(r.rlike(_SCHEME), r)
-        .when(r.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), r))
+    absolute = F.when(r.rlike(_SCHEME), r).when(
+        r.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), r)
     )
-    return (
-        df.withColumn("_ref", clean(F.col(ref)))
-        .withColumn("_absolute", absolute)
-        .withColumn("_rest", F.when(F.col("_absolute").isNull(), rest))
-        .withColumn(
-            out,
-            F.when(
-                b["root"].isNotNull(),
-                F.when(F.col("_absolute").isNotNull(), href(F.col("_absolute"))).otherwise(
-                    F.concat(b["root"], _normal_rest(F.col("_rest")))
-                ),
-            ),
-        )
-        .drop("_ref", "_absolute", "_rest")
+    df = computed(df, _ref=clean(F.col(ref)))
+    df = computed(df, _absolute=absolute)
+    df = computed(df, _rest=F.when(F.col("_absolute").isNull(), rest))
+    url = F.when(
+        b["root"].isNotNull(),
+        F.when(F.col("_absolute").isNotNull(), _href(F.col("_absolute"))).otherwise(
+            F.concat(b["root"], _normal_rest(F.col("_rest")))
+        ),
     )
+    return computed(df, **{out: url}).drop("_ref", "_absolute", "_rest")
 
 
 def resolve_links(df: DataFrame, base: str, ref: str, out: str = "url") -> DataFrame:
     """Add `out`: `ref` resolved against `base`; NULL where either is no URL."""
-    based = df.withColumn("_base", base_parts(F.col(base)))
+    based = computed(df, _base=base_parts(F.col(base)))
     return resolve_against(based, "_base", ref, out).drop("_base")
 
 

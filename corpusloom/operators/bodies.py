@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.layout import computed
 from corpusloom.functions.text import JS_SPACE, js_trim
 from corpusloom.functions.urls import md_candidates, origin
 
@@ -24,10 +25,9 @@ def lookup_manifests(sites: DataFrame, manifests: DataFrame) -> DataFrame:
     A manifest is looked up at its origin; it is usable if it was answered and its
     trimmed text has at least 10 characters.
     """
-    wanted = sites.select(
-        "site",
-        "base_url",
-        F.concat(origin(F.col("base_url")), F.lit(MANIFEST_PATH)).alias("manifest_url"),
+    wanted = computed(
+        sites.select("site", "base_url"),
+        manifest_url=F.concat(origin(F.col("base_url")), F.lit(MANIFEST_PATH)),
     )
     content = F.col("content")
     good = manifests.where(is_ok(F.col("status")) & (F.length(js_trim(content)) >= MIN_BODY))
@@ -87,9 +87,8 @@ def pick_body(
     native (page_id, body); html (page_id, markdown, error). Full-content pages
     never take a native body; they fall back to HTML if nothing is left of theirs.
     """
-    cleaned = full.where(is_ok(F.col("status"))).select(
-        "url", clean_full_content(F.col("body")).alias("_full")
-    )
+    answered = full.where(is_ok(F.col("status"))).select("url", "body")
+    cleaned = computed(answered, _full=clean_full_content(F.col("body"))).drop("body")
     is_full = F.col("is_full_content")
     joined = (
         plan.join(cleaned, "url", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.layout import computed
 from corpusloom.functions.text import decode_entities, js_trim, ordered_concat
 from corpusloom.functions.urls import base_parts, resolve_against
 from corpusloom.operators.selectors import (
@@ -51,11 +52,10 @@ def extract_links(
     anchors = inside.groupBy(
         "page_id", F.col("_link")["pos"].alias("pos"), F.col("_link")["tok"].alias("tok")
     ).agg(ordered_concat("tok", "pos").alias("_text"))
-    links = anchors.select(
-        "page_id",
-        "pos",
-        attribute(F.col("tok"), "href").alias("href"),
-        js_trim(decode_entities(F.col("_text"))).alias("title"),
+    links = computed(
+        anchors,
+        href=attribute(F.col("tok"), "href"),
+        title=js_trim(decode_entities(F.col("_text"))),
     ).where((F.col("href") != "") & (F.col("title") != ""))
     for mark in RESOURCE_MARKS:
         links = links.where(~F.contains(F.col("href"), F.lit(mark)))

@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import JS_SPACE, js_trim, ordered_concat
-from corpusloom.functions.urls import base_parts, hostname, pathname, resolve_against
-from corpusloom.operators.layout import spread
+from corpusloom.functions.urls import (
+    base_parts,
+    hostname,
+    normal_host,
+    normal_path,
+    resolve_against,
+)
+from corpusloom.functions.layout import computed, spread
 from corpusloom.operators.tokens import before, so_far
 
 # Fixed value: an item's link, and notes after a colon; the first match counts.
@@ -34,7 +40,7 @@ def _all_lines(manifests: DataFrame, *carried: str) -> DataFrame:
         *carried,
         F.posexplode_outer(F.split(F.coalesce("content", F.lit("")), "\n")).alias("pos", "line"),
     )
-    rows = rows.withColumn("trimmed", js_trim(F.col("line")))
+    rows = computed(rows, trimmed=js_trim(F.col("line")))
     t = F.col("trimmed")
     kind = (
         F.when(F.col("line") == "", "empty")
@@ -153,23 +159,25 @@ def manifest_links(manifests: DataFrame) -> DataFrame:
     return links.select("site", "section_ord", "pos", "link.*")
 
 
-def classified_links(manifests: DataFrame, include_optional: bool = False) -> DataFrame:
+def classified_links(manifests: DataFrame, include_optional: bool | str = False) -> DataFrame:
     """All lines with, for links, the absolute `url` and its `fate`.
 
     Fates: invalid, external (tested before optional), optional, kept. Hosts
-    compare exactly, `www.` included.
+    compare exactly, `www.` included. `include_optional` may name a column.
     """
-    based = manifests.withColumn("_base", base_parts(F.col("base_url"))).withColumn(
-        "_host", hostname(F.col("base_url"))
-    )
-    lines = _with_link(_sectioned(based, "_base", "_host")).withColumn("_ref", F.col("link.url"))
-    df = resolve_against(lines.withColumnRenamed("_ref", "_href"), "_base", "_href", "url")
-    df = df.withColumn("_link_host", hostname(F.col("url")))
+    by_column = isinstance(include_optional, str)
+    wanted = F.col(include_optional) if by_column else F.lit(include_optional)
+    base = F.col("base_url")
+    based = computed(manifests, _base=base_parts(base), _host=hostname(base))
+    carried = ["_base", "_host", *([include_optional] if by_column else [])]
+    lines = _with_link(_sectioned(based, *carried)).withColumn("_href", F.col("link.url"))
+    df = resolve_against(lines, "_base", "_href", "url")
+    df = df.withColumn("_link_host", normal_host(F.col("url")))
     fate = F.when(
         F.col("link").isNotNull(),
         F.when(F.col("_link_host").isNull(), "invalid")
         .when(F.col("_link_host") != F.col("_host"), "external")
-        .when(F.col("is_optional") & F.lit(not include_optional), "optional")
+        .when(F.col("is_optional") & ~wanted, "optional")
         .otherwise("kept"),
     )
     return df.withColumn("fate", fate).drop("_base", "_host", "_link_host", "_href")
@@ -183,7 +191,7 @@ def manifest_page_links(classified: DataFrame) -> DataFrame:
         F.row_number().over(_lines_window()).alias("ord"),
         "url",
         F.col("link.title").alias("title"),
-        pathname(F.col("url")).endswith(".txt").alias("is_full_content"),
+        normal_path(F.col("url")).endswith(".txt").alias("is_full_content"),
     )
 
 

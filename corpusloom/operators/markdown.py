@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import decode_entities, js_trim, ordered_concat
 from corpusloom.operators.content import area_tokens, missing_area
-from corpusloom.operators.layout import fixed_rows
+from corpusloom.functions.layout import fixed_rows
 from corpusloom.operators.tokens import (
     BLOCK_TAGS,
     LIST_TAGS,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.layout import computed
 from corpusloom.functions.names import slug
 from corpusloom.functions.urls import domain, path_title
 
@@ -22,7 +23,7 @@ def path_titles(pages: DataFrame) -> DataFrame:
 
 def named_documents(links: DataFrame) -> DataFrame:
     """Add `domain` and `slug`, the place of each document in the corpus."""
-    return links.withColumn("domain", domain(F.col("url"))).withColumn("slug", slug(F.col("title")))
+    return computed(links, domain=domain(F.col("url")), slug=slug(F.col("title")))
 
 
 def name_collisions(links: DataFrame, order: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import decode_entities
-from corpusloom.operators.layout import spread
+from corpusloom.functions.layout import computed, spread
 
 # Fixed values of HTML: elements without content, elements that end an open
 # paragraph, elements inside text, elements that cannot hold themselves.
@@ -84,15 +84,8 @@ def page_tokens(
     if tags is not None:
         named = rf"(?i)^</?(?:{'|'.join(sorted(tags))})[\s/>]"
         rows = rows.where(~tok.startswith("<") | (tok == "<") | tok.rlike(named))
-    tagged = rows.withColumn(
-        "tag",
-        F.when(
-            tok.startswith("<"),
-            F.nullif(
-                F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1)), F.lit("")
-            ),
-        ),
-    )
+    name = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1))
+    tagged = computed(rows, tag=F.when(tok.startswith("<"), F.nullif(name, F.lit(""))))
     tag = F.col("tag")
     kind = (
         F.when(tok.isNull(), F.lit(None).cast("string"))

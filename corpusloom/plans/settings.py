@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.layout import computed
 from corpusloom.functions.text import js_trim
 from corpusloom.functions.urls import domain
 
@@ -34,7 +35,7 @@ def effective_config(jobs: DataFrame, overrides: DataFrame, site_config: DataFra
     )
     c = site_config.select(*[F.col(n).alias(f"_c_{n}") for n in site_config.columns])
     joined = (
-        jobs.withColumn("domain", domain(F.col("base_url"), unknown=""))
+        computed(jobs, domain=domain(F.col("base_url"), unknown=""))
         .join(o, "site", "left")
         .join(c, F.col("domain") == F.col("_c_domain"), "left")
     )

@@ -178,7 +178,11 @@ def _with_depths(df: DataFrame) -> DataFrame:
     step = F.when(F.col("shut") == 1, -1).when(starting, 1).otherwise(0)
     order = Window.partitionBy("page_id").orderBy("at", "shut")
     deep = events.withColumn("_depth", F.sum(step).over(before(order)))
-    return deep.where("shut = 0").select("row.*", F.coalesce("_depth", F.lit(0)).alias("_depth"))
+    # page_id stays the plain column, so that the layout of the rows is still known.
+    rest = [F.col("row")[c].alias(c) for c in df.columns if c != "page_id"]
+    return deep.where("shut = 0").select(
+        "page_id", *rest, F.coalesce("_depth", F.lit(0)).alias("_depth")
+    )
 
 
 def flag_matches(tokens: DataFrame, selector: str | Selector, flag: str = "matched") -> DataFrame:
@@ -244,7 +248,8 @@ def _child_of(df: DataFrame, parent: str, name: str) -> tuple[DataFrame, Column]
     is_parent = F.when(F.col("_role")["as_parent"] & starting, F.col("_row")[parent])
     up = f"{name}_up"
     seen = roles.withColumn(up, F.last(is_parent, ignorenulls=True).over(before(family)))
-    kept = seen.where(~F.col("_role")["as_parent"]).select("_row.*", up)
+    rest = [F.col("_row")[c].alias(c) for c in cols if c != "page_id"]
+    kept = seen.where(~F.col("_role")["as_parent"]).select("page_id", *rest, up)
     return kept, F.coalesce(F.col(up), F.lit(False))
 
 

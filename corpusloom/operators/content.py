@@ -12,7 +12,6 @@ from corpusloom.operators.tokens import (
     page_window,
     so_far,
     whole_page,
-    with_depth,
 )
 
 HEAD_TAGS = ["html", "head", "title", "meta", "link", "base"]
@@ -52,28 +51,24 @@ def area_tokens(
 def _bare_area(tokens: DataFrame, tag: str) -> DataFrame:
     """First element of one tag by running depth: no pairing, one sort."""
     page = page_window()
-    opened = (F.col("tag") == tag) & (F.col("kind") == "open")
-    closed = (F.col("tag") == tag) & (F.col("kind") == "close")
-    df = with_depth(tokens, "_depth", opened, closed, page)
-    # The first element is over once the depth is back at 0 after an opening.
-    begun = F.max(F.when(opened, 1).otherwise(0)).over(so_far(page))
-    df = df.withColumn("_begun", begun)
-    over = F.max(F.when((F.col("_begun") == 1) & (F.col("_depth") == 0), 1).otherwise(0))
-    df = df.withColumn("_over", over.over(so_far(page)))
-    first_pos = F.min(F.when(opened, F.col("pos"))).over(so_far(page))
-    df = df.withColumn("_first", first_pos)
-    inside = (F.col("_begun") == 1) & (F.col("_over") == 0) & (F.col("pos") > F.col("_first"))
+    pos, kind = F.col("pos"), F.col("kind")
+    opened = (F.col("tag") == tag) & (kind == "open")
+    closed = (F.col("tag") == tag) & (kind == "close")
+    first = {"_first": F.min(F.when(opened, pos)).over(so_far(page))}
     if tag == "body":
-        whole = whole_page()
-        has_body = F.max(F.when(opened, 1).otherwise(0)).over(whole)
-        head_row = F.col("tag").isin(HEAD_TAGS) & F.col("kind").isin("open", "close", "void")
-        head_row &= (F.col("tag") != "html") | (F.col("kind") == "open")
-        head_end = F.max(F.when(head_row, F.col("pos"))).over(whole)
-        df = df.withColumn("_has_body", has_body).withColumn(
-            "_head_end", F.coalesce(head_end, F.lit(-1))
-        )
-        implied = (F.col("_has_body") == 0) & (F.col("pos") > F.col("_head_end"))
-        inside = inside | implied
+        head_row = F.col("tag").isin(HEAD_TAGS) & kind.isin("open", "close", "void")
+        head_row &= (F.col("tag") != "html") | (kind == "open")
+        first["_any"] = F.min(F.when(opened, pos)).over(whole_page())
+        first["_head_end"] = F.max(F.when(head_row, pos)).over(whole_page())
+    df = tokens.withColumns(first)
+    # Counted from the first opening on; its element ends where the depth is 0 again.
+    step = F.when(opened, 1).when(closed & F.col("_first").isNotNull(), -1).otherwise(0)
+    df = df.withColumn("_depth", F.sum(step).over(so_far(page)))
+    ended = F.when((F.col("_depth") == 0) & F.col("_first").isNotNull(), pos)
+    df = df.withColumn("_ended", F.min(ended).over(so_far(page)))
+    inside = (pos > F.col("_first")) & F.col("_ended").isNull()
+    if tag == "body":
+        inside = inside | F.col("_any").isNull() & (pos > F.coalesce("_head_end", F.lit(-1)))
     return df.withColumn("in_area", F.coalesce(inside, F.lit(False))).select(
         *tokens.columns, "in_area"
     )

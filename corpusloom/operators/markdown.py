@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import decode_entities, js_trim, ordered_concat
 from corpusloom.operators.content import area_tokens, missing_area
-from corpusloom.functions.layout import fixed_rows
+from corpusloom.functions.layout import computed, fixed_rows
 from corpusloom.operators.tokens import (
     BLOCK_TAGS,
     LIST_TAGS,
@@ -19,7 +19,7 @@ from corpusloom.operators.tokens import (
     before,
     page_window,
     so_far,
-    with_depth,
+    with_depths,
 )
 
 # Subtrees that hold no page text.
@@ -80,8 +80,12 @@ def _pieces(rows: DataFrame, spark) -> DataFrame:
         "tag",
         "left",
     )
-    for name, tags in (("_hidden", HIDDEN_TAGS), ("_pre", ["pre"])):
-        df = with_depth(df, name, tag.isin(tags) & is_open, tag.isin(tags) & is_close, page)
+    hidden, pre = tag.isin(HIDDEN_TAGS), tag == "pre"
+    df = with_depths(
+        df,
+        page,
+        {"_hidden": (hidden & is_open, hidden & is_close), "_pre": (pre & is_open, pre & is_close)},
+    )
     shown = (
         F.col("in_area")
         & (F.col("_hidden") == 0)
@@ -92,46 +96,72 @@ def _pieces(rows: DataFrame, spark) -> DataFrame:
         "block", F.sum(F.when(F.col("role") == "block", 1).otherwise(0)).over(so_far(page))
     )
 
+    # Code spans, in document order: between an opening and the next close of one block.
+    event = F.struct("block", "kind")
+    df = df.withColumn("_event", F.when((tag == "code") & F.col("role").isNotNull(), event))
+    df = df.withColumns(
+        {
+            "_code_on": F.last("_event", ignorenulls=True).over(so_far(page)),
+            "_code_off": F.expr(
+                "lead(_event) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"
+            ),
+        }
+    )
+    on, off = F.col("_code_on"), F.col("_code_off")
+    in_code = F.coalesce(
+        (on["kind"] == "open")
+        & (off["kind"] == "close")
+        & (on["block"] == F.col("block"))
+        & (off["block"] == F.col("block")),
+        F.lit(False),
+    )
+    df = df.withColumn("_in_code", in_code)
+
+    # Inline marks, per block and tag: the outermost pairs; links hold no links.
     in_block = Window.partitionBy("page_id", "block", "tag").orderBy("pos")
     marks = F.col("role").isin("mark", "link")
-    df = with_depth(df, "_nest", marks & is_open, marks & is_close, in_block)
+    df = with_depths(
+        df,
+        in_block,
+        {"_nest": (marks & is_open, marks & is_close)},
+        _next=F.lead(F.struct("pos", "kind")).over(in_block),
+    )
     df = df.withColumn("_back", F.when(marks & is_close & (F.col("_nest") == 0), pos))
     partner = F.expr(
         "lead(_back) IGNORE NULLS OVER (PARTITION BY page_id, block, tag ORDER BY pos)"
     )
-    df = df.withColumn("_partner", partner).withColumn(
-        "_next", F.lead(F.struct("pos", "kind")).over(in_block)
-    )
+    df = df.withColumn("_partner", partner)
+    next_close = F.when(F.col("_next")["kind"] == "close", F.col("_next")["pos"])
     ends = F.when(
         marks & is_open,
-        F.when(
-            F.col("role") == "link", F.when(F.col("_next")["kind"] == "close", F.col("_next")["pos"])
-        ).when(F.col("_nest") == 1, F.col("_partner")),
+        F.when(F.col("role") == "link", next_close).when(F.col("_nest") == 1, F.col("_partner")),
     )
     df = df.withColumn("_ends", F.when(ends > pos + 1, ends))  # an empty element has no mark
     target = F.when(F.col("role") == "link", attribute(F.col("tok"), "href"))
-    df = df.withColumn("_target", F.when(F.col("_ends").isNotNull(), target)).withColumn(
+    df = computed(df, _target=F.when(F.col("_ends").isNotNull(), target)).withColumn(
         "_opened",
         F.last(
             F.when(F.col("_ends").isNotNull(), F.struct("_ends", "_target")), ignorenulls=True
         ).over(before(in_block)),
     )
 
-    code_end = F.max(F.when(tag == "code", F.col("_ends"))).over(so_far(page))
-    df = df.withColumn("_code_end", code_end)
     verbatim = F.col("_pre") > 0
-    in_code = F.coalesce(F.col("_code_end") > pos, F.lit(False))
+    in_code = F.col("_in_code")
     inner_mark = verbatim | in_code & (tag != "code")
     linked = F.coalesce(F.col("_target"), F.lit("")) != ""
     closes = F.col("_opened")["_ends"] == pos
     close_target = F.col("_opened")["_target"]
-    df = df.withColumn("_plain", F.when((kind == "text") & F.col("role").isNotNull(), decode_entities(F.col("tok"))))
+    is_text = (kind == "text") & F.col("role").isNotNull()
+    df = computed(df, _plain=F.when(is_text, decode_entities(F.col("tok"))))
     plain = F.col("_plain")
+    words = _collapse(plain)
+    text = F.when(verbatim, plain).when(in_code, words).otherwise(_escape(words))
+    shown = F.col("role").isNotNull()
     piece = (
-        F.when(plain.isNotNull(), F.when(verbatim, plain).when(in_code, _collapse(plain)).otherwise(_escape(_collapse(plain))))
-        .when((tag == "br") & F.col("role").isNotNull(), F.when(verbatim, "\n").otherwise(_BREAK))
-        .when((tag == "hr") & F.col("role").isNotNull(), F.lit(_RULE))
-        .when((tag == "img") & F.col("role").isNotNull() & ~inner_mark, _image(F.col("tok")))
+        F.when(plain.isNotNull(), text)
+        .when((tag == "br") & shown, F.when(verbatim, "\n").otherwise(_BREAK))
+        .when((tag == "hr") & shown, F.lit(_RULE))
+        .when((tag == "img") & shown & ~inner_mark, _image(F.col("tok")))
         .when(inner_mark, F.lit(None).cast("string"))
         .when(
             is_open & F.col("_ends").isNotNull() & ((F.col("role") == "mark") | linked),
@@ -204,20 +234,30 @@ def _page_text(blocks: DataFrame) -> DataFrame:
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
     order = Window.partitionBy("page_id").orderBy("block")
     df = blocks
-    for name, tags in (("_lists", LIST_TAGS), ("_quotes", ["blockquote"])):
-        df = with_depth(df, name, tag.isin(tags) & is_open, tag.isin(tags) & is_close, order)
+    lists, quotes = tag.isin(LIST_TAGS), tag == "blockquote"
+    df = with_depths(
+        df,
+        order,
+        {
+            "_lists": (lists & is_open, lists & is_close),
+            "_quotes": (quotes & is_open, quotes & is_close),
+        },
+    )
 
     # Per list depth: the list and item a block belongs to, the item's number.
     level = Window.partitionBy("page_id", "_lists").orderBy("block")
-    starts_list = tag.isin(LIST_TAGS) & is_open
+    starts_list = lists & is_open
     starts_item = (tag == "li") & is_open
-    count = F.sum(F.when(starts_item, 1).otherwise(0)).over(so_far(level))
-    df = df.withColumn("_items", count)
-    df = df.withColumn(
-        "_list", F.last(F.when(starts_list, F.struct("tag", "_items")), ignorenulls=True).over(so_far(level))
-    ).withColumn(
-        "_item", F.last(F.when(starts_item, F.col("block")), ignorenulls=True).over(so_far(level))
+    df = df.withColumns(
+        {
+            "_items": F.sum(F.when(starts_item, 1).otherwise(0)).over(so_far(level)),
+            "_item": F.last(F.when(starts_item, F.col("block")), ignorenulls=True).over(
+                so_far(level)
+            ),
+        }
     )
+    opened = F.when(starts_list, F.struct("tag", "_items"))
+    df = df.withColumn("_list", F.last(opened, ignorenulls=True).over(so_far(level)))
     item = Window.partitionBy("page_id", "_lists", "_item").orderBy("block")
     filled = F.sum(F.when(text.isNotNull(), 1).otherwise(0)).over(so_far(item))
     df = df.withColumn("_filled", filled)

@@ -55,34 +55,36 @@ def html_skeleton(pages: DataFrame, clustered: bool = False) -> DataFrame:
     starts = F.col("end_pos").isNotNull()
 
     # Leave out dropped subtrees and what lies outside the root element.
+    span = F.struct("pos", "end_pos")
+
+    def first(tag: str) -> Column:
+        return F.min(F.when(starts & (F.col("tag") == tag), span)).over(whole_page())
+
     dropped = F.max(F.when(starts & F.col("tag").isin(DROPPED_TAGS), F.col("end_pos")))
-    root = F.coalesce(
-        F.min(F.when(starts & (F.col("tag") == "body"), F.struct("pos", "end_pos"))).over(
-            whole_page()
-        ),
-        F.min(F.when(starts & (F.col("tag") == "html"), F.struct("pos", "end_pos"))).over(
-            whole_page()
-        ),
-        F.struct(F.lit(0).alias("pos"), (F.col("n_tok") - 1).alias("end_pos")),
-    )
+    everything = F.struct(F.lit(0).alias("pos"), (F.col("n_tok") - 1).alias("end_pos"))
     kept = (
-        rows.withColumn("_drop", dropped.over(so_far(page)))
-        .withColumn("_root", root)
+        rows.withColumns(
+            {
+                "_drop": dropped.over(so_far(page)),
+                "_body": first("body"),
+                "_html": first("html"),
+            }
+        )
+        .withColumn("_root", F.coalesce("_body", "_html", everything))
         .where(kind.isin("text", "open", "void"))
         .where(F.coalesce(F.col("_drop") < pos, F.lit(True)))
         .where(pos.between(F.col("_root")["pos"], F.col("_root")["end_pos"]))
     )
 
     # A leaf is an element whose next element starts behind its end.
-    starts_at = F.when(starts, pos)
     own = F.struct("pos", "end_pos", "tag", "tok")
-    placed = (
-        kept.withColumn("_starts_at", starts_at)
-        .withColumn(
-            "_next_start",
-            F.expr("lead(_starts_at) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"),
-        )
-        .withColumn("_el", F.last(F.when(starts, own), ignorenulls=True).over(so_far(page)))
+    placed = kept.withColumn("_starts_at", F.when(starts, pos)).withColumns(
+        {
+            "_next_start": F.expr(
+                "lead(_starts_at) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"
+            ),
+            "_el": F.last(F.when(starts, own), ignorenulls=True).over(so_far(page)),
+        }
     )
     el = F.col("_el")
     inside = (kind == "text") & (pos <= el["end_pos"])

@@ -114,18 +114,37 @@ def attribute(tok: Column, name: str) -> Column:
     )
 
 
-def with_depth(df: DataFrame, name: str, is_open: Column, is_close: Column, window) -> DataFrame:
-    """Add `name`: open elements after each row. Stray closes never go below 0."""
-    step = F.when(is_open, 1).when(is_close, -1).otherwise(0)
-    total, low = f"_{name}_sum", f"_{name}_low"
+def with_depths(
+    df: DataFrame, window, depths: dict[str, tuple[Column, Column]], **also: Column
+) -> DataFrame:
+    """Add per name the open elements after each row, from (is open, is close) tests.
+
+    Stray closes never take a depth below 0. All sums share one pass and all low
+    marks another; `also` are further columns over the same window for the first.
+    """
+    steps = {
+        name: F.when(is_open, 1).when(is_close, -1).otherwise(0)
+        for name, (is_open, is_close) in depths.items()
+    }
+    sums = {f"_{name}_sum": F.sum(step).over(so_far(window)) for name, step in steps.items()}
+    lows = {f"_{name}_low": F.min(f"_{name}_sum").over(so_far(window)) for name in depths}
     return (
-        df.withColumn(total, F.sum(step).over(so_far(window)))
-        .withColumn(low, F.least(F.lit(0), F.min(total).over(so_far(window))))
-        .withColumn(name, (F.col(total) - F.col(low)).cast("int"))
-        .drop(total, low)
+        df.withColumns(sums | also)
+        .withColumns(lows)
+        .withColumns(
+            {
+                name: (F.col(f"_{name}_sum") - F.least(F.lit(0), F.col(f"_{name}_low"))).cast("int")
+                for name in depths
+            }
+        )
+        .drop(*sums, *lows)
     )
 
 
+def with_depth(df: DataFrame, name: str, is_open: Column, is_close: Column, window) -> DataFrame:
+    return with_depths(df, window, {name: (is_open, is_close)})
+
+
 def pair_tags(tokens: DataFrame, items: bool = True) -> DataFrame:
     """Add `end_pos` and `closed` to the opening and void rows of a token table.
 
@@ -140,11 +159,15 @@ def pair_tags(tokens: DataFrame, items: bool = True) -> DataFrame:
     is_open, is_close = kind == "open", kind == "close"
     is_tag = kind.isin("open", "close", "void")
 
-    # Document order: list depth, next block boundary.
+    # Document order: the next block boundary, the list depth.
     edge = F.struct("pos", "tag", "kind")
     boundary = is_tag & tag.isin(BLOCK_TAGS)
-    df = tokens.withColumn("_edge", F.when(boundary, edge)).withColumn(
-        "_next_block", F.expr("lead(_edge) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)")
+    lists = tag.isin(LIST_TAGS)
+    df = with_depths(
+        tokens.withColumn("_edge", F.when(boundary, edge)),
+        page,
+        {"_lists": (lists & is_open, lists & is_close)} if items else {},
+        _next_block=_next_in_page("_edge"),
     )
     df = _next_item(df) if items else df.withColumn("_next_item", F.when(F.lit(False), edge))
 
@@ -156,8 +179,8 @@ def pair_tags(tokens: DataFrame, items: bool = True) -> DataFrame:
     )
     df = df.withColumn("_level", F.when(is_open | is_close, level))
     per_level = Window.partitionBy("page_id", "tag", "_level").orderBy("pos")
-    df = df.withColumn("_next_pos", F.lead("pos").over(per_level)).withColumn(
-        "_next_kind", F.lead("kind").over(per_level)
+    df = df.withColumns(
+        {"_next_pos": F.lead("pos").over(per_level), "_next_kind": F.lead("kind").over(per_level)}
     )
 
     page_end = F.col("n_tok") - 1
@@ -197,16 +220,21 @@ def pair_tags(tokens: DataFrame, items: bool = True) -> DataFrame:
     )
 
 
+def _next_in_page(column: str) -> Column:
+    """The next filled `column` after each row, in one pass over the page."""
+    return F.expr(f"lead({column}) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)")
+
+
 def _next_item(df: DataFrame) -> DataFrame:
     """Add `_next_item`: the next row of the same list depth that ends a list item."""
     lists, kind = F.col("tag").isin(LIST_TAGS), F.col("kind")
-    deep = with_depth(
-        df, "_lists", lists & (kind == "open"), lists & (kind == "close"), page_window()
-    ).withColumn(
-        "_list_depth", F.col("_lists") + F.when(lists & (kind == "close"), 1).otherwise(0)
-    )
     ends_item = (F.col("tag") == "li") & kind.isin("open", "close") | lists & (kind == "close")
-    return deep.withColumn("_item", F.when(ends_item, F.struct("pos", "tag", "kind"))).withColumn(
+    return df.withColumns(
+        {
+            "_list_depth": F.col("_lists") + F.when(lists & (kind == "close"), 1).otherwise(0),
+            "_item": F.when(ends_item, F.struct("pos", "tag", "kind")),
+        }
+    ).withColumn(
         "_next_item",
         F.expr("lead(_item) IGNORE NULLS OVER (PARTITION BY page_id, _list_depth ORDER BY pos)"),
     )

@@ -217,15 +217,19 @@ def _blocks(rows: DataFrame, spark) -> DataFrame:
     )
     code = F.regexp_replace(F.regexp_replace(F.col("_raw"), r"^\r?\n", ""), r"[ \t\r\n]+$", "")
     text = F.when(F.col("verbatim"), code).otherwise(_block_text(F.col("_raw")))
-    return grouped.select(
+    done = computed(grouped, text=F.nullif(text, F.lit(""))).select(
         "page_id",
         "block",
         F.col("_start")["tag"].alias("tag"),
         F.col("_start")["kind"].alias("kind"),
         "verbatim",
         "has_area",
-        F.nullif(text, F.lit("")).alias("text"),
+        "text",
     )
+    # Blocks without text matter only where they open or close a list, item or quote;
+    # the first two tell whether the page has an area at all.
+    shapes = F.coalesce(F.col("tag").isin(*LIST_TAGS, "li", "blockquote"), F.lit(False))
+    return done.where(F.col("text").isNotNull() | shapes | (F.col("block") <= 1))
 
 
 def _page_text(blocks: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def crawl_plan(jobs: DataFrame, manifest_links: DataFrame, links: DataFrame) ->
 
     Manifest links win where a job uses manifests and has any; else followed links
     where a selector is set, even if none is found; else the page itself. Jobs with
-    an error take nothing.
+    an error take nothing. Jobs and manifest links are read more than once: pass
+    stored tables.
     """
     ready = jobs.where(F.col("error").isNull())
     listed = manifest_links.join(ready.where("use_manifest").select("site"), "site", "left_semi")

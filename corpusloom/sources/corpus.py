@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,19 +19,6 @@ CORPUS = T.StructType(
 )
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table, in the folder the session shares.
-
-    Only a local session without such a folder gets one of its own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def corpus_documents(documents: DataFrame, order: list[str]) -> DataFrame:
     """(domain, slug, url, title, body): the last document per name, bodies only."""
     named = named_documents(documents.where(F.col("body").isNotNull()))

@@ -18,7 +18,8 @@ from corpusloom.operators.tokens import page_nodes, page_tokens
 from corpusloom.plans.crawl import crawl_plan, crawl_preview, followed_pages
 from corpusloom.plans.settings import apply_mode, effective_config
 from corpusloom.sources.captures import as_site_config
-from corpusloom.sources.corpus import list_corpus, read_corpus, scratch_path, write_corpus
+from corpusloom.sources.corpus import list_corpus, read_corpus, write_corpus
+from corpusloom.sources.scratch import scratch_path, stored
 from corpusloom.verify.fixtures import Inputs
 
 NAV_LINKS = "nav a"
@@ -231,14 +232,16 @@ def _ready_jobs(i: Inputs) -> DataFrame:
     return apply_mode(_config(i))
 
 
-def _plan(i: Inputs) -> DataFrame:
-    jobs = _ready_jobs(i)
+def _jobs_and_plan(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Jobs and their page lists; what several steps read is written once."""
+    jobs = stored(_ready_jobs(i), "jobs")
     sites = jobs.select("site", "base_url", "include_optional")
     usable = bodies.lookup_manifests(sites, i.derived("captured_manifests")).where("usable")
     wanted = usable.join(sites.drop("base_url"), "site")
-    listed = manifest.manifest_page_links(manifest.classified_links(wanted, "include_optional"))
+    classified = manifest.classified_links(wanted, "include_optional")
+    listed = stored(manifest.manifest_page_links(classified), "manifest-links")
     links = followed_pages(jobs, i.derived("captures").drop("site"), [NAV_LINKS])
-    return crawl_plan(jobs, listed, links)
+    return jobs, crawl_plan(jobs, listed, links)
 
 
 @_register
@@ -253,12 +256,13 @@ def mode_rules(i: Inputs) -> DataFrame:
 
 @_register
 def crawl_plan_(i: Inputs) -> DataFrame:
-    return _plan(i)
+    return _jobs_and_plan(i)[1]
 
 
 @_register
 def crawl_preview_(i: Inputs) -> DataFrame:
-    return crawl_preview(_ready_jobs(i), _plan(i))
+    jobs, plan = _jobs_and_plan(i)
+    return crawl_preview(jobs, stored(plan, "plan"))
 
 
 # --- bodies and reports ------------------------------------------------------------

@@ -7,9 +7,9 @@ from corpusloom.sources.corpus import (
     export_text,
     list_corpus,
     read_corpus,
-    scratch_path,
     write_corpus,
 )
+from corpusloom.sources.scratch import scratch_path
 
 
 def test_clean_full_content(spark):

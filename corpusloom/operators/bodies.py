@@ -14,6 +14,8 @@ MANIFEST_PATH = "/llms.txt"
 MIN_BODY = 10
 HTML_STARTS = ["<!DOCTYPE", "<html"]
 
+NOT_CAPTURED = "no body captured"
+
 
 def is_ok(status: Column) -> Column:
     return F.coalesce(status.between(200, 299), F.lit(False))
@@ -79,14 +81,20 @@ def probe_native_md(pages: DataFrame, md_bodies: DataFrame) -> DataFrame:
 
 
 def pick_body(
-    plan: DataFrame, full: DataFrame, native: DataFrame, html: DataFrame, use_native: bool = True
+    plan: DataFrame,
+    full: DataFrame,
+    native: DataFrame,
+    html: DataFrame,
+    use_native: bool | str = True,
 ) -> DataFrame:
     """(page_id, url, source, body, error) of every planned page.
 
     plan (page_id, url, is_full_content); full (url, status, body);
     native (page_id, body); html (page_id, markdown, error). Full-content pages
     never take a native body; they fall back to HTML if nothing is left of theirs.
+    `use_native` may name a column of the plan. Each lookup side has one row per key.
     """
+    native_on = F.col(use_native) if isinstance(use_native, str) else F.lit(use_native)
     answered = full.where(is_ok(F.col("status"))).select("url", "body")
     cleaned = computed(answered, _full=clean_full_content(F.col("body"))).drop("body")
     is_full = F.col("is_full_content")
@@ -95,24 +103,20 @@ def pick_body(
         .join(native.select("page_id", F.col("body").alias("_native")), "page_id", "left")
         .join(html.select("page_id", "markdown", "error"), "page_id", "left")
     )
-    choice = (
-        F.when(is_full & (F.col("_full") != ""), F.struct(F.lit("full").alias("source"), F.col("_full").alias("body")))
-        .when(
-            ~is_full & F.lit(use_native) & F.col("_native").isNotNull(),
-            F.struct(F.lit("native").alias("source"), F.col("_native").alias("body")),
-        )
-        .when(
-            F.col("markdown").isNotNull(),
-            F.struct(F.lit("html").alias("source"), F.col("markdown").alias("body")),
-        )
+    source = (
+        F.when(is_full & (F.col("_full") != ""), "full")
+        .when(~is_full & native_on & F.col("_native").isNotNull(), "native")
+        .when(F.col("markdown").isNotNull(), "html")
     )
-    picked = joined.withColumn("_choice", choice)
+    picked = joined.withColumn("source", source)
+    chosen = F.col("source")
     return picked.select(
         "page_id",
         "url",
-        "_choice.source",
-        "_choice.body",
-        F.when(F.col("_choice").isNull(), F.coalesce("error", F.lit("no body captured"))).alias(
-            "error"
-        ),
+        "source",
+        F.when(chosen == "full", F.col("_full"))
+        .when(chosen == "native", F.col("_native"))
+        .when(chosen == "html", F.col("markdown"))
+        .alias("body"),
+        F.when(chosen.isNull(), F.coalesce("error", F.lit(NOT_CAPTURED))).alias("error"),
     )

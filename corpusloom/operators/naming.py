@@ -22,8 +22,9 @@ def path_titles(pages: DataFrame) -> DataFrame:
 
 
 def named_documents(links: DataFrame) -> DataFrame:
-    """Add `domain` and `slug`, the place of each document in the corpus."""
-    return computed(links, domain=domain(F.col("url")), slug=slug(F.col("title")))
+    """Add `slug` and, unless given, `domain`: the place of each document in the corpus."""
+    place = {} if "domain" in links.columns else {"domain": domain(F.col("url"))}
+    return computed(links, **place, slug=slug(F.col("title")))
 
 
 def name_collisions(links: DataFrame, order: list[str]) -> DataFrame:

@@ -15,7 +15,8 @@ from corpusloom.operators.markdown import html_to_markdown
 from corpusloom.operators.selectors import select_nodes
 from corpusloom.operators.skeleton import html_skeleton, skeleton_preview
 from corpusloom.operators.tokens import page_nodes, page_tokens
-from corpusloom.plans.crawl import crawl_plan, crawl_preview, followed_pages
+from corpusloom.plans.build import plan_jobs
+from corpusloom.plans.crawl import crawl_preview
 from corpusloom.plans.settings import apply_mode, effective_config
 from corpusloom.sources.captures import as_site_config
 from corpusloom.sources.corpus import list_corpus, read_corpus, write_corpus
@@ -235,13 +236,8 @@ def _ready_jobs(i: Inputs) -> DataFrame:
 def _jobs_and_plan(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Jobs and their page lists; what several steps read is written once."""
     jobs = stored(_ready_jobs(i), "jobs")
-    sites = jobs.select("site", "base_url", "include_optional")
-    usable = bodies.lookup_manifests(sites, i.derived("captured_manifests")).where("usable")
-    wanted = usable.join(sites.drop("base_url"), "site")
-    classified = manifest.classified_links(wanted, "include_optional")
-    listed = stored(manifest.manifest_page_links(classified), "manifest-links")
-    links = followed_pages(jobs, i.derived("captures").drop("site"), [NAV_LINKS])
-    return jobs, crawl_plan(jobs, listed, links)
+    pages = i.derived("captures").drop("site")
+    return jobs, plan_jobs(jobs, i.derived("captured_manifests"), pages, [NAV_LINKS])
 
 
 @_register

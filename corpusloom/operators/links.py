@@ -72,13 +72,18 @@ def absolute_links(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def follow_links(
-    pages: DataFrame, selector: str | Selector, clustered: bool = False
+    pages: DataFrame,
+    selector: str | Selector,
+    clustered: bool = False,
+    urls: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to follow as (page_id, ord, url, title): first link per absolute URL.
 
-    Links whose href is no URL are skipped.
+    Links whose href is no URL are skipped. `urls` may give (page_id, url) where that
+    is cheaper than reading `pages` for it.
     """
-    links = absolute_links(extract_links(pages, selector, clustered), pages)
+    bases = pages if urls is None else urls
+    links = absolute_links(extract_links(pages, selector, clustered), bases)
     found = links.where(F.col("url").isNotNull())
     same = Window.partitionBy("page_id", "url").orderBy("ord")
     firsts = found.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")

@@ -9,14 +9,24 @@ from corpusloom.functions.names import corpus_folder
 from corpusloom.operators.bodies import is_ok
 
 # An error holding one of these texts is worth another attempt.
-NETWORK_TOKENS = ["timeout", "etimedout", "econnreset", "econnrefused", "enotfound"]
-HTTP_TOKENS = ["http 429", "http 500", "http 502", "http 503", "http 504"]
+RETRYABLE = [
+    "timeout",
+    "ETIMEDOUT",
+    "ECONNRESET",
+    "ECONNREFUSED",
+    "ENOTFOUND",
+    "HTTP 429",
+    "HTTP 500",
+    "HTTP 502",
+    "HTTP 503",
+    "HTTP 504",
+]
 BASE_DELAY_MS = 1000
 MAX_RETRIES = 3
 
 
 def _holds_any(error: Column, tokens: list[str]) -> Column:
-    return F.coalesce(F.lower(error).rlike("|".join(tokens)), F.lit(False))
+    return F.coalesce(F.lower(error).rlike("|".join(t.lower() for t in tokens)), F.lit(False))
 
 
 def fetch_outcomes(attempts: DataFrame, areas: DataFrame) -> DataFrame:
@@ -62,16 +72,16 @@ def retry_audit(
     """
     error, attempt = F.col("error"), F.col("attempt")
     failed = F.col("status").isNull() & error.isNotNull()
-    network = _holds_any(error, NETWORK_TOKENS)
-    http = _holds_any(error, HTTP_TOKENS)
+    retryable = _holds_any(error, RETRYABLE)
+    http = _holds_any(error, [t for t in RETRYABLE if t.startswith("HTTP")])
     wait = F.lit(base_ms).cast("bigint") * F.pow(F.lit(2.0), attempt).cast("bigint")
     per_page = attempts.groupBy("page_id", "url").agg(
         F.count("*").alias("n_attempts"),
-        F.count_if(failed & (network | http)).alias("n_retryable"),
-        F.count_if(failed & ~(network | http)).alias("n_final"),
+        F.count_if(failed & retryable).alias("n_retryable"),
+        F.count_if(failed & ~retryable).alias("n_final"),
         F.count_if(~failed & http).alias("http_only"),
         F.max("attempt").alias("_last"),
-        F.min(F.when(failed & ~(network | http), attempt)).alias("_stop"),
+        F.min(F.when(failed & ~retryable, attempt)).alias("_stop"),
         # Every exception but one on the last allowed attempt is waited for.
         F.coalesce(F.sum(F.when(failed & (attempt < max_retries), wait)), F.lit(0)).alias(
             "_waited"

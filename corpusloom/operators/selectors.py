@@ -224,7 +224,7 @@ def flag_matches(tokens: DataFrame, selector: str | Selector, flag: str = "match
                     closed = closed & inside
                 depth = f"{name}_depth"
                 df = with_depth(df, depth, opened, closed, page)
-                inside = F.col(depth) > 0
+                inside = (F.col(depth) > 0) & inside
     return df.withColumn(flag, reduce(lambda a, b: a | b, flags)).select(*base, flag)
 
 

@@ -16,7 +16,9 @@ from corpusloom.operators.tokens import (
 )
 
 # Subtrees the outline leaves out; lengths it cuts to.
-DROPPED_TAGS = "script style noscript iframe svg img picture video audio canvas".split()
+DROPPED_TAGS = [
+    "script", "style", "noscript", "iframe", "svg", "img", "picture", "video", "audio", "canvas"
+]
 HREF_LIMIT, HREF_KEPT = 50, 47
 TEXT_LIMIT, TEXT_KEPT = 30, 27
 PREVIEW_LIMIT = 1000

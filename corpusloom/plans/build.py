@@ -11,7 +11,7 @@ from corpusloom.operators.bodies import lookup_manifests, pick_body, probe_nativ
 from corpusloom.operators.manifest import classified_links, manifest_page_links
 from corpusloom.operators.markdown import html_to_markdown
 from corpusloom.operators.selectors import parse_selector
-from corpusloom.plans.crawl import crawl_plan, followed_pages
+from corpusloom.plans.crawl import crawl_plan, followed_pages, taken_pages
 from corpusloom.sources.scratch import stored
 
 
@@ -39,10 +39,8 @@ def converted_pages(
     for selector in content_selectors:
         parse_selector(selector)
         urls = plan.where(F.col("content_selector") == selector).select("url").distinct()
-        taken = pages.join(urls, "url", "left_semi")
-        markdown = html_to_markdown(taken, selector).join(
-            taken.select("page_id", "url"), "page_id"
-        )
+        taken, known = taken_pages(pages, urls)
+        markdown = html_to_markdown(taken, selector, clustered=True).join(known, "page_id")
         parts.append(
             markdown.select(F.lit(selector).alias("content_selector"), "url", "markdown", "error")
         )

@@ -12,6 +12,7 @@ from corpusloom.functions.urls import path_title
 from corpusloom.operators.links import follow_links
 from corpusloom.operators.selectors import parse_selector
 from corpusloom.plans.settings import wants_links
+from corpusloom.sources.captures import captured
 
 
 def followed_pages(jobs: DataFrame, pages: DataFrame, selectors: list[str]) -> DataFrame:
@@ -27,13 +28,26 @@ def followed_pages(jobs: DataFrame, pages: DataFrame, selectors: list[str]) -> D
         asking = jobs.where(F.col("follow_selector") == selector).select(
             "site", F.col("base_url").alias("url")
         )
-        entries = pages.join(asking.select("url").distinct(), "url", "left_semi")
-        links = follow_links(entries, selector)
-        owners = entries.select("page_id", "url").join(asking, "url").select("page_id", "site")
+        entries, known = taken_pages(pages, asking.select("url").distinct())
+        links = follow_links(entries, selector, clustered=True, urls=known)
+        owners = known.join(asking, "url").select("page_id", "site")
         parts.append(links.join(owners, "page_id").select("site", "ord", "url", "title"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def taken_pages(pages: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answered pages with one of `urls`, and their (page_id, url).
+
+    URLs are matched without the markup. The markup then meets the few page ids by
+    page_id, the layout the structure jobs need anyway: treat it as clustered, so
+    that Spark adds a shuffle only where the join left none.
+    """
+    answered = captured(pages).where("ok")
+    known = answered.select("page_id", "url").join(urls, "url", "left_semi")
+    wanted = answered.select("page_id", "html").join(known.select("page_id"), "page_id", "left_semi")
+    return wanted, known
+
+
 def crawl_plan(jobs: DataFrame, manifest_links: DataFrame, links: DataFrame) -> DataFrame:
     """(site, source, ord, url, title, is_full_content) of every page to take.
 

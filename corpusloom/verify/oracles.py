@@ -93,19 +93,25 @@ nodes AS (SELECT s.page_id, s.n_tok, s.pos, s.tag, s.tok, CAST(CASE WHEN s.kind
     ELSE coalesce(e.close_pos, n_tok - 1) END AS INTEGER) AS end_pos
   FROM bounded s LEFT JOIN ends e ON s.page_id = e.page_id AND s.pos = e.pos)"""
 
-_LINKS = f"""
-nav_text AS (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)(</nav>|$)', 1), '(?s)<a href="[^"]*">[^<]*</a>') AS anchors FROM pages),
+def _links(pages: str = "pages", links: str = "links") -> str:
+    """Navigation links by text patterns, as CTE `links`."""
+    return f"""
+nav_text AS (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)(</nav>|$)', 1), '(?s)<a href="[^"]*">[^<]*</a>') AS anchors FROM {pages}),
 anchors AS (SELECT page_id, url, CAST(unnest(range(len(anchors))) AS INTEGER) AS nth, unnest(anchors) AS a FROM nav_text),
 read_links AS (SELECT page_id, url AS base, nth, {_decoded('''regexp_extract(a, 'href="([^"]*)"', 1)''')} AS href,
   {_trim(_decoded("regexp_extract(a, '>([^<]*)<', 1)"))} AS title FROM anchors),
-links AS (SELECT page_id, base, CAST(row_number() OVER (PARTITION BY page_id ORDER BY nth) AS INTEGER) AS ord, href, title FROM read_links
+{links} AS (SELECT page_id, base, CAST(row_number() OVER (PARTITION BY page_id ORDER BY nth) AS INTEGER) AS ord, href, title FROM read_links
   WHERE href <> '' AND title <> '' AND NOT contains(href, '_next') AND NOT contains(href, 'sitemap') AND NOT contains(href, 'favicon'))"""
 
-_FOLLOWED = f"""{_LINKS},
-resolved AS (SELECT page_id, ord, href, title, regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || {_encoded("href")} AS url FROM links),
+
+def _followed(pages: str = "pages", links: str = "links") -> str:
+    """Those links resolved and without repeats, as CTE `followed`."""
+    return f"""{_links(pages, links)},
+resolved AS (SELECT page_id, ord, href, title, regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || {_encoded("href")} AS url FROM {links}),
 first_links AS (SELECT * FROM resolved QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY ord) = 1),
 followed AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) AS INTEGER) AS ord, url, title FROM first_links)"""
 
+
 # --- Markdown: pieces per token, block edges as marks, marks settled per page --------
 
 
@@ -163,9 +169,7 @@ items AS (SELECT l.site, l.base_url, l.pos, h.section_ord, h.section, lower(h.se
   FROM lines l ASOF JOIN heads h ON l.site = h.site AND l.pos > h.pos WHERE l.kind = 'item'),
 links AS (SELECT *, {_trim(r"regexp_extract(txt, '\[([^\]]+)\]\(([^)]+)\)', 1)")} AS title, {_trim(r"regexp_extract(txt, '\[([^\]]+)\]\(([^)]+)\)', 2)")} AS ref,
   CASE WHEN regexp_matches(txt, '\\[[^\\]]+\\]\\([^)]+\\):') THEN {_trim(r"regexp_extract(txt, '\[[^\]]+\]\([^)]+\):\s*(.*)', 1)")} END AS notes FROM items
-  WHERE regexp_matches(txt, '\\[[^\\]]+\\]\\([^)]+\\)'))""".replace("'\\\\[", "'\\[").replace(
-    "\\\\]", "\\]"
-).replace("\\\\(", "\\(").replace("\\\\)", "\\)")
+  WHERE regexp_matches(txt, '\\[[^\\]]+\\]\\([^)]+\\)'))"""
 
 # References are absolute URLs or root-relative paths here.
 _FATES = f"""{_SECTIONS},
@@ -196,14 +200,13 @@ config AS (SELECT j.site, j.base_url, j.mode, j.site AS domain, coalesce(o.follo
 ready AS (SELECT * REPLACE (CASE WHEN mode = 'single' THEN NULL ELSE follow_selector END AS follow_selector, mode = 'auto' AND use_manifest AS use_manifest),
   CASE WHEN mode = 'follow' AND follow_selector IS NULL THEN 'follow mode needs a follow selector' END AS error FROM config)"""
 
-_PLAN = f"""{_CONFIG}, {_FATES}, {_LOOKUP.replace("looked_up AS", "found AS")}, {_FOLLOWED.replace("links AS", "nav_links AS").replace("FROM links)", "FROM nav_links)").replace("pages)", "captured)").replace("read_nav_links AS", "read_links AS").replace("first_nav_links AS", "first_links AS")},
+_PLAN = f"""captured AS {_fixture("captures")}, {_CONFIG}, {_FATES}, {_LOOKUP}, {_followed("captured", "nav_links")},
 listed AS (SELECT f.site, 'manifest' AS source, CAST(row_number() OVER (PARTITION BY f.site ORDER BY pos) AS INTEGER) AS ord, regexp_replace(c.base_url, '^([a-z]+://[^/]*).*$', '\\1') || ref AS url, title, ends_with(ref, '.txt') AS is_full_content
-  FROM fates f JOIN ready c ON f.site = c.site JOIN found u ON f.site = u.site WHERE c.error IS NULL AND c.use_manifest AND u.usable AND (fate = 'kept' OR fate = 'optional' AND c.include_optional)),
+  FROM fates f JOIN ready c ON f.site = c.site JOIN looked_up u ON f.site = u.site WHERE c.error IS NULL AND c.use_manifest AND u.usable AND (fate = 'kept' OR fate = 'optional' AND c.include_optional)),
 rest AS (SELECT * FROM ready WHERE error IS NULL AND site NOT IN (SELECT site FROM listed)),
 plan AS (SELECT * FROM listed
   UNION ALL SELECT r.site, 'follow', l.ord, l.url, l.title, false FROM rest r JOIN captured p ON p.url = r.base_url JOIN followed l ON l.page_id = p.page_id WHERE r.follow_selector = 'nav a'
   UNION ALL SELECT site, 'single', 1, base_url, coalesce(list_filter(string_split({_PATH.replace("url", "base_url")}, '/'), lambda s: s <> '')[-1], 'index'), false FROM rest WHERE follow_selector IS NULL)"""
-_PLAN = f"captured AS {_fixture('captures')}, {_PLAN.strip()}"
 
 # --- bodies and reports ----------------------------------------------------------------------
 
@@ -266,17 +269,17 @@ def oracles() -> dict[str, str]:
         "site_config_scan": f"SELECT domain, follow_selector, content_selector, CAST(NULL AS VARCHAR) AS output_dir, use_native_md, CAST(NULL AS BOOLEAN) AS use_manifest, CAST(NULL AS BOOLEAN) AS include_optional FROM {_fixture('site_config')}",
         "domain_rollup": f"SELECT {_DOMAIN} AS domain, count(*) AS n_pages FROM pages GROUP BY 1",
         "md_candidates": _query(_CANDIDATES, "SELECT * FROM candidates"),
-        "name_collisions": _query(_FOLLOWED, f"SELECT {_DOMAIN} AS domain, {_slug('title')} AS slug, count(*) AS n, arg_max(url, (page_id, ord)) AS kept_url FROM followed GROUP BY 1, 2 HAVING count(*) > 1"),
+        "name_collisions": _query(_followed(), f"SELECT {_DOMAIN} AS domain, {_slug('title')} AS slug, count(*) AS n, arg_max(url, (page_id, ord)) AS kept_url FROM followed GROUP BY 1, 2 HAVING count(*) > 1"),
         "path_titles": f"SELECT page_id, coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], 'index') AS title FROM pages",
-        "resolve_links": _query(_FOLLOWED, "SELECT page_id, ord, href, url FROM resolved"),
+        "resolve_links": _query(_followed(), "SELECT page_id, ord, href, url FROM resolved"),
         "page_tokens": _query(_TOKENS, "SELECT page_id, pos, tok, tag, kind FROM tokens"),
         "page_nodes": _query(_NODES, f"SELECT page_id, pos, end_pos, tag, {_attr('id')} AS id, {_attr('class')} AS classes, {_attr('role')} AS role, {_attr('href')} AS href FROM nodes"),
         "select_nodes": _query(_NODES, f"""SELECT DISTINCT n.page_id, n.pos, n.end_pos, n.tag FROM nodes n
  LEFT JOIN nodes a ON a.page_id = n.page_id AND a.pos < n.pos AND n.pos <= a.end_pos AND a.tag IN ('nav', 'article')
  LEFT JOIN (SELECT c.page_id, c.pos, arg_max(u.tag, u.pos) AS up FROM nodes c JOIN nodes u ON u.page_id = c.page_id AND u.pos < c.pos AND c.pos <= u.end_pos WHERE c.tag = 'a' GROUP BY ALL) q ON q.page_id = n.page_id AND q.pos = n.pos
  WHERE (n.tag = 'a' AND a.tag = 'nav' AND q.up = 'li') OR (n.tag = 'p' AND a.tag = 'article') OR {_attr('class').replace('tok', 'n.tok')} = 'ad' OR (n.tag = 'a' AND starts_with({_attr('href').replace('tok', 'n.tok')}, '/th'))"""),
-        "extract_links": _query(_LINKS, "SELECT page_id, ord, href, title FROM links"),
-        "follow_links": _query(_FOLLOWED, "SELECT page_id, ord, url, title FROM followed"),
+        "extract_links": _query(_links(), "SELECT page_id, ord, href, title FROM links"),
+        "follow_links": _query(_followed(), "SELECT page_id, ord, url, title FROM followed"),
         "content_area": _query(_AREA, 'SELECT page_id, "inner", error FROM areas'),
         "html_to_markdown": _query(_markdown("body"), "SELECT page_id, markdown FROM settled"),
         "html_skeleton": _query(_SKELETON, "SELECT page_id, skeleton FROM skeletons"),

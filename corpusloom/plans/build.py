@@ -12,6 +12,7 @@ from corpusloom.operators.manifest import classified_links, manifest_page_links
 from corpusloom.operators.markdown import html_to_markdown
 from corpusloom.operators.selectors import parse_selector
 from corpusloom.plans.crawl import crawl_plan, followed_pages, taken_pages
+from corpusloom.sources.captures import captured
 from corpusloom.sources.scratch import stored
 
 
@@ -34,7 +35,10 @@ def plan_jobs(
 def converted_pages(
     plan: DataFrame, pages: DataFrame, content_selectors: list[str]
 ) -> DataFrame:
-    """(content_selector, url, markdown, error) of planned pages, once per selector in use."""
+    """(content_selector, url, markdown, error) of planned pages, once per selector in use.
+
+    Where captures carry a status, pages that did not answer give `HTTP <status>`.
+    """
     parts = []
     for selector in content_selectors:
         parse_selector(selector)
@@ -44,6 +48,14 @@ def converted_pages(
         parts.append(
             markdown.select(F.lit(selector).alias("content_selector"), "url", "markdown", "error")
         )
+    if "status" in pages.columns:
+        refused = captured(pages).where(~F.col("ok")).select(
+            "url",
+            F.lit(None).cast("string").alias("markdown"),
+            F.concat(F.lit("HTTP "), F.col("status").cast("string")).alias("error"),
+        )
+        wanted = plan.select("content_selector", "url").distinct()
+        parts.append(wanted.join(refused, "url"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,13 +11,14 @@ def test_jobs_to_corpus(spark, tmp_path):
     page = "<body><nav><a href={}>{}</a></nav><main><h1>{}</h1></main></body>"
     pages = spark.createDataFrame(
         [
-            (1, "https://m.com/a", page.format("/n", "n", "A")),
-            (2, "https://f.com/", page.format("https://x.org/far", "Far away", "F")),
-            (3, "https://x.org/far", page.format("/", "n", "Far")),
-            (4, "https://s.com/only/", "<body>no main</body>"),
-            (5, "https://m.com/b", page.format("/n", "n", "B")),
+            (1, "https://m.com/a", page.format("/n", "n", "A"), 200),
+            (2, "https://f.com/", page.format("https://x.org/far", "Far away", "F"), 200),
+            (3, "https://x.org/far", page.format("/", "n", "Far"), 200),
+            (4, "https://s.com/only/", "<body>no main</body>", 200),
+            (5, "https://m.com/b", page.format("/n", "n", "B"), 200),
+            (6, "https://m.com/gone", page.format("/n", "n", "Gone"), 404),
         ],
-        "page_id bigint, url string, html string",
+        "page_id bigint, url string, html string, status int",
     )
     manifests = spark.createDataFrame(
         [("https://m.com/llms.txt", 200, "# M\n## D\n- [A](/a)\n- [B](/b)\n- [All](/all.txt)\n- [Gone](/gone)")],
@@ -55,7 +56,7 @@ def test_jobs_to_corpus(spark, tmp_path):
         ("m2", 1): ("html", "# A", None),
         ("m2", 2): ("native", "native body of b", None),
         ("m2", 3): ("full", "everything", None),
-        ("m2", 4): (None, None, "no body captured"),
+        ("m2", 4): (None, None, "HTTP 404"),
         ("f", 1): ("html", "# Far", None),
         ("s", 1): (None, None, "content area not found: main"),
     }

@@ -8,7 +8,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import corpusloom.llm
+from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.ngram_join import similarity_classes
+from corpusloom.llm.warc import page_records, read_archive, write_archive
+from corpusloom.sources.scratch import scratch_path
 
 # Functions of this folder travel to the executors with the job.
 cloudpickle.register_pickle_by_value(corpusloom.llm)
@@ -18,14 +21,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    write_archive(_table(spark, sf_dir, "pages"), path, date="2024-01-01T00:00:00Z", min_bytes=0)
+    return page_records(read_archive(spark, path))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op10_ngram_join,)
+    found = (op4_exact_dedup, op9_warc_archive, op10_ngram_join)
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": _OP4, "op9_warc_archive": _OP9}
+
+
+_OP4 = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents
+), kept AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM texts
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM kept
+"""
+
+_OP9 = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM payloads
+"""

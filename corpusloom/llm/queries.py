@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpusloom.llm
 from corpusloom.llm.exact_dedup import exact_duplicates
+from corpusloom.llm.mixing import mixed, ranked_weights
 from corpusloom.llm.ngram_join import similarity_classes
+from corpusloom.llm.sharding import placed
 from corpusloom.llm.warc import page_records, read_archive, write_archive
 from corpusloom.sources.scratch import scratch_path
 
@@ -21,10 +24,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+SLOTS = 65_537
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return placed(docs, SHARDS, SLOTS, F.col("doc_id"), F.col("text")).select("doc_id", "slot", "shard")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = mixed(docs, ranked_weights(docs, [5, 2, 1]), max_epochs=3, seed=7)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     write_archive(_table(spark, sf_dir, "pages"), path, date="2024-01-01T00:00:00Z", min_bytes=0)
@@ -36,12 +54,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_exact_dedup, op9_warc_archive, op10_ngram_join)
+    found = (op2_sharding, op4_exact_dedup, op7_mixing, op9_warc_archive, op10_ngram_join)
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op9_warc_archive": _OP9}
+    return {"op4_exact_dedup": _OP4, "op7_mixing": _OP7, "op9_warc_archive": _OP9}
 
 
 _OP4 = r"""
@@ -57,6 +75,40 @@ WITH texts AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM kept
 """
 
+# The level of the water is the first, by limit per weight, that clamps no further source.
+_OP7 = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5('7:' || coalesce(doc_id::VARCHAR, '')) AS seeded
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM sized GROUP BY source
+), steps AS (
+  SELECT *, 3.0::DOUBLE * source_size AS most, sum(source_size) OVER ()::DOUBLE AS total,
+         coalesce(sum(3 * source_size) OVER before, 0)::DOUBLE AS fixed,
+         sum(weight) OVER after::DOUBLE AS free
+  FROM sources
+  WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), water AS (
+  SELECT max((total - fixed) / free) AS level FROM steps
+), targets AS (
+  SELECT source, source_size, least(weight::DOUBLE * level, most) AS target,
+         CASE WHEN source_size > 0 THEN floor(least(weight::DOUBLE * level, most) / source_size)::BIGINT ELSE 0 END AS whole
+  FROM steps, water
+), ordered AS (
+  SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS rest,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY seeded, doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (size * (whole + CASE WHEN rest > 0 AND earlier + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ordered
+"""
+
 _OP9 = """
 WITH payloads AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,

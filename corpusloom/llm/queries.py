@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpusloom.llm
+from corpusloom.llm.decontam import leaks
+from corpusloom.llm import language_id, toxicity
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import mixed, ranked_weights
 from corpusloom.llm.ngram_join import similarity_classes
@@ -24,6 +26,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Categories of the labels, in the order of the chain.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, toxicity_labels(spark, sf_dir), CATEGORIES)
+    return toxicity.scored(docs, chain, CATEGORIES)
+
+
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 SLOTS = 65_537
 
@@ -33,10 +50,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(docs, SHARDS, SLOTS, F.col("doc_id"), F.col("text")).select("doc_id", "slot", "shard")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    codes = language_id.train(docs, ~held_out)
+    rows = language_id.identified(docs, codes)
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = mixed(docs, ranked_weights(docs, [5, 2, 1]), max_epochs=3, seed=7)
@@ -54,7 +83,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sharding, op4_exact_dedup, op7_mixing, op9_warc_archive, op10_ngram_join)
+    found = (op1_toxicity, op2_sharding, op3_decontamination, op4_exact_dedup, op6_language_id, op7_mixing, op9_warc_archive, op10_ngram_join)
     return {f.__name__: f for f in found}
 
 

@@ -48,7 +48,9 @@ def write_archive(pages: DataFrame, path: str, date: str, min_bytes: int = 0) ->
     empty archive.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = computed(pages.select("page_id", "url", payload.alias("payload")), digest=F.unhex(F.sha2("payload", 256)))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    rows = pages.select("page_id", "url", key.alias("key"), payload.alias("payload"))
+    rows = computed(rows, digest=F.unhex(F.sha2("payload", 256)))
     facts = rows.select(
         "page_id", "url", "digest", F.length("payload").alias("bytes"), base32_sha1(F.col("payload")).alias("sha1")
     )
@@ -56,9 +58,10 @@ def write_archive(pages: DataFrame, path: str, date: str, min_bytes: int = 0) ->
     first = stored(facts.groupBy("digest").agg(F.min("page_id").alias("first_id")), "first-records")
 
     # Ids differ within a digest, so a payload held by very many records is no hot key.
-    is_first = (rows["digest"] == first["digest"]) & rows["page_id"].eqNullSafe(first["first_id"])
-    objects = rows.join(first, is_first).select(rows["digest"], "first_id", "payload")
-    objects.dropDuplicates(["digest", "first_id"]).select("digest", "payload").write.parquet(f"{path}/objects")
+    # Rows that repeat the first record are dropped by the join's own keys and layout.
+    owners = first.select("digest", F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("key"))
+    objects = rows.select("digest", "key", "payload").join(owners, ["digest", "key"])
+    objects.dropDuplicates(["digest", "key"]).select("digest", "payload").write.parquet(f"{path}/objects")
 
     known = facts.join(first, "digest")
     revisit = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpusloom.llm
 from corpusloom.llm.decontam import leaks
-from corpusloom.llm import language_id, toxicity
+from corpusloom.llm import derived, language_id, toxicity, url_lists
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import mixed, ranked_weights
 from corpusloom.llm.ngram_join import similarity_classes
@@ -58,6 +58,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_lists.judged(derived.captures(pages), derived.list_changes(pages))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -83,12 +88,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_sharding, op3_decontamination, op4_exact_dedup, op6_language_id, op7_mixing, op9_warc_archive, op10_ngram_join)
+    found = (op1_toxicity, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_lists, op6_language_id, op7_mixing, op9_warc_archive, op10_ngram_join)
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op7_mixing": _OP7, "op9_warc_archive": _OP9}
+    return {"op4_exact_dedup": _OP4, "op5_url_lists": _OP5, "op7_mixing": _OP7, "op9_warc_archive": _OP9}
 
 
 _OP4 = r"""
@@ -104,6 +109,43 @@ WITH texts AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM kept
 """
 
+_OP5 = r"""
+WITH parts AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
+         lower(regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1)) AS segment,
+         list_filter(string_split(lower(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1)), '/'), lambda s: s <> '') AS segments,
+         DATE '2024-01-01' + (('0x' || substr(md5('fetched ' || page_id), 1, 8))::BIGINT % 400)::INTEGER AS fetched
+  FROM pages
+), named AS (
+  SELECT DISTINCT unnest(['hosts', 'domains', 'paths']) AS list,
+         unnest([host, regexp_extract(host, '^[^.]+\.(.+)$', 1), CASE WHEN segment <> '' THEN host || '/' || segment ELSE '' END]) AS target
+  FROM parts
+), lots AS (
+  SELECT *, ('0x' || substr(md5(list || ' ' || target), 1, 8))::BIGINT % 36 AS lot,
+         DATE '2024-01-01' + (('0x' || substr(md5('from ' || list || ' ' || target), 1, 8))::BIGINT % 300 - 20)::INTEGER AS begin_day,
+         (('0x' || substr(md5('days ' || list || ' ' || target), 1, 8))::BIGINT % 120 + 1)::INTEGER AS last
+  FROM named WHERE target <> ''
+), changes AS (
+  SELECT list, target, begin_day AS day, CASE WHEN lot % 3 = 0 THEN 'allow' ELSE 'block' END AS action FROM lots WHERE lot < 12
+  UNION ALL SELECT list, target, begin_day + last, 'remove' FROM lots WHERE lot < 12 AND lot % 2 = 0
+  UNION ALL SELECT list, target, begin_day + last * 2, CASE WHEN lot % 3 = 0 THEN 'block' ELSE 'allow' END FROM lots WHERE lot < 12 AND lot % 4 = 0
+), spans AS (
+  SELECT *, lead(day) OVER (PARTITION BY list, target ORDER BY day) AS until FROM changes
+), covering AS (
+  SELECT page_id, fetched, unnest(list_concat(
+           list_transform(range(1, least(len(segments), 4) + 1), lambda n: {'depth': -n, 'target': host || '/' || array_to_string(segments[1:n], '/')}),
+           list_transform(range(1, greatest(2, len(string_split(host, '.')))),
+                          lambda n: {'depth': n, 'target': array_to_string(string_split(host, '.')[n:], '.')}))) AS c
+  FROM parts
+), verdicts AS (
+  SELECT page_id, min({'depth': c.depth, 'lenient': action <> 'block', 'list': list, 'target': s.target, 'action': action}) AS best, count(*) AS active
+  FROM covering JOIN spans s ON s.target = lower(c.target) AND action <> 'remove' AND fetched >= day AND (until IS NULL OR fetched < until)
+  GROUP BY page_id
+)
+SELECT page_id, fetched, best.action AS action, best.list AS list, best.target AS target, coalesce(active, 0) AS active
+FROM parts LEFT JOIN verdicts USING (page_id)
+"""
+
 # The level of the water is the first, by limit per weight, that clamps no further source.
 _OP7 = r"""
 WITH sized AS (

@@ -51,3 +51,60 @@ def list_changes(pages: DataFrame) -> DataFrame:
     )
     changes = entries.select("list", "target", F.explode(steps).alias("step")).where("step IS NOT NULL")
     return changes.select("list", "target", "step.day", "step.action")
+
+
+# Tools of the derived conversations and what their arguments must look like.
+TOOLS = {
+    "search": {
+        "type": "object",
+        "required": ["query", "limit"],
+        "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}},
+        "additionalProperties": False,
+    },
+    "fetch": {
+        "type": "object",
+        "required": ["url"],
+        "properties": {"url": {"type": "string"}, "retries": {"type": "integer", "minimum": 0}},
+        "additionalProperties": False,
+    },
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations in which assistants call tools and the next user turn is the result.
+
+    Names, arguments and what a call waits for follow from the texts; some arguments
+    break their schema, some calls name no known tool, some results answer no call.
+    """
+    words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
+    lot = drawn(F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "text"), 60)
+    rows = conversations.select("conv_id", "turn", "role", "text", words.alias("words"), lot.alias("lot"))
+    query = F.array_join(F.slice("words", 1, 5), " ")
+    limit = F.col("lot") % 60
+    search = F.when(
+        F.col("lot") % 7 == 0, F.to_json(F.struct(query.alias("query"), limit.cast("string").alias("limit")))
+    ).otherwise(F.to_json(F.struct(query.alias("query"), limit.alias("limit"))))
+    fetch = F.to_json(
+        F.struct(
+            F.concat(F.lit("https://example.com/"), F.element_at("words", 1)).alias("url"),
+            (F.col("lot") % 4).cast("double").alias("retries"),
+        )
+    )
+    turn = F.col("turn").cast("string")
+
+    def call(suffix: str, name: Column, arguments: Column, after: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("call-"), turn, F.lit(suffix)).alias("id"),
+            name.alias("name"), arguments.alias("arguments"), after.alias("after"),
+        )
+
+    before = F.when(F.col("lot") % 2 == 0, F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string")))
+    first = call("", F.when(F.col("lot") % 11 == 0, "guess").otherwise("search"), search, before)
+    second = call("-b", F.lit("fetch"), fetch, F.concat(F.lit("call-"), turn))
+    calls = F.when(F.col("lot") % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    answers = F.when(F.col("turn") > 0, F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")))
+    return rows.select(
+        "conv_id", "turn", "text",
+        F.when(F.col("role") == "assistant", calls).alias("calls"),
+        F.when(F.col("role") == "user", answers).alias("answers"),
+    )

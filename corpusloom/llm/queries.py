@@ -15,6 +15,7 @@ from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import mixed, ranked_weights
 from corpusloom.llm.ngram_join import similarity_classes
 from corpusloom.llm.sharding import placed
+from corpusloom.llm.tool_calls import linked_calls
 from corpusloom.llm.warc import page_records, read_archive, write_archive
 from corpusloom.sources.scratch import scratch_path
 
@@ -77,6 +78,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = derived.tool_messages(_table(spark, sf_dir, "conversations"))
+    return linked_calls(messages, derived.TOOLS)
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     write_archive(_table(spark, sf_dir, "pages"), path, date="2024-01-01T00:00:00Z", min_bytes=0)
@@ -88,7 +94,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_lists, op6_language_id, op7_mixing, op9_warc_archive, op10_ngram_join)
+    found = (op1_toxicity, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_lists, op6_language_id, op7_mixing, op8_tool_calls, op9_warc_archive, op10_ngram_join)
     return {f.__name__: f for f in found}
 
 

@@ -5,29 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.llm import toxicity
+from corpusloom.llm.decontam import without_leaks
+from corpusloom.llm.mixing import mixed, ranked_weights, repeated
 from corpusloom.llm.ngram_join import similarity_classes
+from corpusloom.llm.queries import CATEGORIES, SHARDS, SLOTS, toxicity_labels
+from corpusloom.llm.sharding import placed
 from corpusloom.sources.scratch import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Removed ids up to this count go to all executors (16 MB); more are joined.
+BROADCAST_IDS = 1 << 20
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a chain fitted on the labelled ones flags as toxic go.
+
+    Documents without text, and all documents if nothing is labelled, stay.
+    """
+    chain = toxicity.train(docs, toxicity_labels(spark, sf_dir), CATEGORIES)
+    return toxicity.without(docs, chain, CATEGORIES.index("toxic"))
+
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts stays: the one whose id names the class.
 
-    Texts are similar from 0.8 of their five-word shingles on. Of rows that repeat an
-    id, the first of equal rows stays.
+    Texts are similar from 0.8 of their five-word shingles on; texts without words are
+    similar to none. Rows that share an id stay or go together; a null id stays.
     """
     classes = similarity_classes(docs, width=5, percent=80)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = stored(gone, "similar")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, give or take its error budget, go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; sources weigh 5, 2, 1 in turn, 3 epochs at most."""
+    rows = mixed(docs, ranked_weights(docs, [5, 2, 1]), max_epochs=3, seed=7)
+    return repeated(rows).select(docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the slot and shard of their id."""
+    return placed(docs, SHARDS, SLOTS, F.col("doc_id"), F.col("text"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("similar", keep_one_of_similar),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
 ]
 
-# Learned models and hashed lists are not SQL.
+# Fitted models, edit distances and hashed lists are not SQL.
 ORACLE_SQL = None
 
 

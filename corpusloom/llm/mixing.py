@@ -56,21 +56,23 @@ def capped_targets(sources: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFrame:
-    """How often the mix takes each row of `docs` (doc_id, source, text).
+    """`docs` (doc_id, source, text and any others) with how often the mix takes each row.
 
     `weights` has a row per source (source, weight); a null source is a source, and one
-    without weight gives nothing. Returns doc_id, source, size, source_size, target,
-    copies, taken (copies times size). A source's taken words miss its target by at most
-    half of one document, and no document is taken more than `max_epochs` times. A null
-    text has size 0. Equal ids share their place in the seeded order, smaller sizes
-    first; reruns agree. Other columns are not looked at; no rows give no rows.
+    without weight gives nothing. Adds size, source_size, target, copies, taken (copies
+    times size), in place of columns of those names. A source's taken words miss its
+    target by at most half of one document, and no document is taken more than
+    `max_epochs` times. A null text has size 0. Equal ids share their place in the
+    seeded order, smaller sizes first; reruns agree. No rows give no rows.
     """
+    added = ("size", "source_size", "target", "copies", "taken")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in added])
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = with_words(docs.select("doc_id", "source", "text")).drop("text")
-    sized = sized.select("doc_id", "source", "size", order.alias("seeded"))
-    sized = stored(sized.withColumn("slice", F.substring("seeded", 1, _SLICE_DIGITS)), "sized")
+    sized = with_words(docs, name="mix_size").withColumn("mix_order", order)
+    sized = sized.withColumn("mix_slice", F.substring("mix_order", 1, _SLICE_DIGITS))
 
-    slices = stored(sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
+    slices = sized.groupBy("source", F.col("mix_slice").alias("slice")).agg(F.sum("mix_size").alias("slice_size"))
+    slices = stored(slices, "slices")
     sizes = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     weights = weights.select(F.col("source").alias("named"), "weight")
     sources = sizes.join(weights, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
@@ -83,20 +85,27 @@ def mixed(docs: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int =
     # Slices before this one take part of the rest; what remains is the slice's room.
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("rest") - F.coalesce(F.sum("slice_size").over(before), F.lit(0))
-    slices = slices.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("named", "weight")
-    slices = stored(slices.withColumn("room", room), "slice-rooms")
-    slices = slices.toDF(*[f"{c}_" if c in ("source", "slice") else c for c in slices.columns])
-
-    placed = sized.join(slices, sized["source"].eqNullSafe(slices["source_"]) & (sized["slice"] == slices["slice_"]))
-    inside = Window.partitionBy("source", "slice").orderBy("seeded", "doc_id", "size")
-    earlier = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.join(targets, F.col("source").eqNullSafe(F.col("named")))
+    slices = slices.withColumn("room", room).withColumnRenamed("source", "mix_source")
+    slices = stored(slices.select("mix_source", "slice", "source_size", "target", "whole", "rest", "room"), "rooms")
+
+    same = F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_slice") == F.col("slice"))
+    placed = sized.join(slices, same)
+    inside = Window.partitionBy("mix_source", "slice").orderBy("mix_order", "doc_id", "mix_size")
+    earlier = F.coalesce(F.sum("mix_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The document on the edge is in if at least half of it fits.
-    extra = (earlier + F.col("size") / 2 <= F.col("room")) & (F.col("rest") > 0)
+    extra = (earlier + F.col("mix_size") / 2 <= F.col("room")) & (F.col("rest") > 0)
     copies = (F.col("whole") + extra.cast("long")).alias("copies")
-    rows = placed.select("doc_id", "source", "size", "source_size", "target", copies)
+    rows = placed.select(*docs.columns, F.col("mix_size").alias("size"), "source_size", "target", copies)
     return rows.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its `copies` say."""
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return rows.where("copies > 0").select("*", times.alias("mix_copy")).drop("mix_copy")
+
+
 def ranked_weights(docs: DataFrame, weights: list[int], source: str = "source") -> DataFrame:
     """A weight for each source: `weights` in turn, by code point order, null last.
 

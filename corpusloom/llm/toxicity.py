@@ -8,6 +8,7 @@ learn from inputs as uncertain as those they meet in use.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
@@ -17,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import Words, distinct, flat
+from corpusloom.sources.scratch import stored
 
 # Labelled rows that a fit uses at most: those with the least hashes of their ids.
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 # Whole words, and word beginnings of so many bytes, are features of their own.
 _HEADS = (None, 4, 6, 8)
 _BITS = 22
-# Features a model may use besides earlier probabilities, and rows one must occur in.
-_FEATURES, _LEAST_ROWS = 128, 5
+# Features a model may use besides earlier probabilities, and the share of the rows
+# that one must occur in (three rows at least).
+_FEATURES, _LEAST_SHARE = 128, 0.003
 _FOLDS, _PENALTY = 5, 3.0
 # Text bytes scored at once.
 _SLICE = 4 << 20
@@ -79,11 +82,16 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _least_rows(size: int) -> int:
+    return max(3, math.ceil(_LEAST_SHARE * size))
+
+
 class _Rows:
     """Sparse training rows: (row, feature, value), sorted by feature, without rare features."""
 
     def __init__(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, size: int):
-        often = np.flatnonzero((np.bincount(feature, minlength=1) >= _LEAST_ROWS)[feature])
+        self.least = _least_rows(size)
+        often = np.flatnonzero((np.bincount(feature, minlength=1) >= self.least)[feature])
         order = often[np.argsort(feature[often], kind="stable")]
         self.row, self.feature, self.value, self.size = row[order], feature[order], value[order], size
         self.names, self.first = np.unique(self.feature, return_index=True)
@@ -92,7 +100,7 @@ class _Rows:
     def best(self, use: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Features of the rows `use` that correlate most with the label."""
         inside = use[self.row]
-        at, value, y = self.at[inside], self.value[inside], label[self.row[inside]]
+        at, value, y = self.at[inside], self.value[inside].astype(float), label[self.row[inside]]
         n, k = use.sum(), len(self.names)
         total = np.bincount(at, value, k)
         square = np.bincount(at, value * value, k)
@@ -100,7 +108,7 @@ class _Rows:
         rows = np.bincount(at, minlength=k)
         mean = label[use].mean()
         spread = np.sqrt(np.maximum(square / n - (total / n) ** 2, 1e-12))
-        score = np.where(rows >= _LEAST_ROWS, np.abs(joint / n - total / n * mean) / spread, 0)
+        score = np.where(rows >= self.least, np.abs(joint / n - total / n * mean) / spread, 0)
         order = np.argsort(-score, kind="stable")[:_FEATURES]
         return np.sort(self.names[order[score[order] > 0]])
 
@@ -146,6 +154,8 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 def fit_chain(rows: _Rows, labels: list[np.ndarray], folds: np.ndarray) -> list[Model]:
     """A model per category, in order; null labels (nan) leave a row out of that category."""
     chain: list[Model] = []
+    if not rows.size:
+        return chain
     earlier: list[np.ndarray] = []
     for label in labels:
         known = ~np.isnan(label)
@@ -156,6 +166,8 @@ def fit_chain(rows: _Rows, labels: list[np.ndarray], folds: np.ndarray) -> list[
             x = np.column_stack([rows.columns(chosen), *[_logit(p) for p in earlier]])
             return _fit(x[use], y[use], chosen)
 
+        if not known.any():
+            known = np.ones(rows.size, dtype=bool)
         model = fit(known)
         held_out = model.probability(rows.columns(model.chosen), earlier)
         for fold in range(_FOLDS):
@@ -175,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
 
     `labels` has doc_id and a 0/1/null column per category; rows are taken by the hash
     of their id, so the sample is spread over all. A few million numbers come to the
-    driver. Without labelled rows the chain is empty.
+    driver, row by row. Without labelled rows the chain is empty.
     """
     labels = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -184,15 +196,30 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(_FOLDS)).cast("int").alias("fold")
     marks = [F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(categories)]
     kind = ", ".join(["features binary", "vals binary", "fold int", *[f"c{k} double" for k in range(len(categories))]])
-    found = chosen.select("text", fold, *marks).mapInArrow(_training_rows, kind).toPandas()
-    if found.empty:
-        return []
-    feature = [np.frombuffer(b, np.int32) for b in found["features"]]
-    value = np.concatenate([np.frombuffer(b, np.float32) for b in found["vals"]]).astype(float)
-    row = np.repeat(np.arange(len(found)), [len(f) for f in feature])
-    rows = _Rows(row, np.concatenate(feature), value, len(found))
-    given = [found[f"c{k}"].to_numpy(float) for k in range(len(categories))]
-    return fit_chain(rows, given, found["fold"].to_numpy())
+    made = stored(chosen.select("text", fold, *marks).mapInArrow(_training_rows, kind), "training-rows")
+    return fit_chain(*_gathered(made, len(categories)))
+
+
+def _gathered(made: DataFrame, categories: int) -> tuple[_Rows, list[np.ndarray], np.ndarray]:
+    """Training rows on the driver, one at a time, without the features few rows have."""
+    counts = np.zeros(1 << _BITS, dtype=np.int32)
+    size = 0
+    for r in made.select("features").toLocalIterator():
+        counts[np.frombuffer(r["features"], np.int32)] += 1
+        size += 1
+    often = counts >= _least_rows(size)
+    row, feature, value, rest = [], [], [], []
+    for n, r in enumerate(made.toLocalIterator()):
+        names = np.frombuffer(r["features"], np.int32)
+        kept = often[names]
+        feature.append(names[kept])
+        value.append(np.frombuffer(r["vals"], np.float32)[kept])
+        row.append(np.full(len(feature[-1]), n, dtype=np.int32))
+        rest.append([np.nan if v is None else v for v in r[2:]])
+    given = np.array(rest, dtype=float).reshape(len(rest), 1 + categories)
+    empty = [np.zeros(0, dtype=np.int32)]
+    rows = _Rows(*(np.concatenate(x or empty) for x in (row, feature, value)), len(rest))
+    return rows, list(given[:, 1:].T), given[:, 0]
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

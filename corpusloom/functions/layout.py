@@ -5,37 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Compressed input bytes one task should get; pages grow about fourfold as tokens.
-TARGET_BYTES = 64 << 20
-# More partitions than this cost the driver more in bookkeeping than tasks gain.
-MAX_PARTITIONS = 1 << 15
-
-
-def source_bytes(df: DataFrame) -> int | None:
-    """Size of the sources `df` reads after pruning (metadata only), None if unknown.
-
-    Sources are added up, because the estimate for a join is the product of its sides.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size())]
-    except AttributeError:  # a remote session has no local plan
-        return None
-    return sum(sizes) if all(size < 1 << 60 for size in sizes) else None
+# Session setting: partitions of token tables, where they should differ from the
+# session's shuffle partitions. Pages grow about fourfold as tokens; 64 MB of compressed
+# pages a partition is a fair start.
+PARTITIONS = "spark.corpusloom.pagePartitions"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash `df` by `keys` once; later windows and groups on them do not shuffle.
 
-    The partition count follows the source size where that asks for more than
-    the session's shuffle partitions; below that, adaptive execution coalesces.
+    The setting `spark.corpusloom.pagePartitions` names the count; without it the
+    session's shuffle partitions hold and adaptive execution coalesces them.
     """
-    size = source_bytes(df)
-    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(-(-size // TARGET_BYTES), MAX_PARTITIONS) if size else 0
-    if wanted > default:
-        return df.repartition(wanted, *keys)
-    return df.repartition(*keys)
+    wanted = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted else df.repartition(*keys)
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:

@@ -46,7 +46,7 @@ def _pieces_pattern(in_attribute: bool) -> str:
     # name characters or `=` follow.
     guard = "(?![=A-Za-z0-9])" if in_attribute else ""
     return (
-        "(?s)&#[0-9]{1,9};?|&#[xX][0-9A-Fa-f]{1,8};?"
+        "(?s)&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?"
         f"|&(?:{_longest_first(_ORDERED)});|&(?:{_longest_first(_BARE)}){guard}|[^&]+|&"
     )
 
@@ -56,6 +56,10 @@ def _table(pairs: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(" ".join(f"{k}:{v}" for k, v in pairs.items())), F.lit(" "), F.lit(":"))
 
 
+# No character has this number.
+_BEYOND = 0x110000
+
+
 def _code_point(n: Column) -> Column:
     """Character of a numeric reference; references to nothing give U+FFFD."""
     legacy = {str(b): bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
@@ -77,9 +81,15 @@ def decode_entities(c: Column, in_attribute: bool = False) -> Column:
     table = _table({n: _NAMES[n] for n in _ORDERED})
 
     def decode(piece: Column) -> Column:
-        hexa = F.conv(F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)
-        deci = F.regexp_extract(piece, "^&#([0-9]+)", 1)
-        number = F.when(piece.rlike("^&#[xX]"), hexa).otherwise(deci).try_cast("bigint")
+        hexa = F.regexp_extract(piece, "^&#[xX]0*([0-9A-Fa-f]+)", 1)
+        deci = F.regexp_extract(piece, "^&#0*([0-9]+)", 1)
+        # More digits than any character has name none; they stay short of an overflow.
+        read = F.when(piece.rlike("^&#[xX]"), F.conv(F.substring(hexa, 1, 8), 16, 10)).otherwise(
+            F.substring(deci, 1, 10)
+        )
+        number = F.when((F.length(hexa) > 8) | (F.length(deci) > 10), F.lit(_BEYOND)).otherwise(
+            read.try_cast("bigint")
+        )
         named = F.try_element_at(table, F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);?$", 1))
         return (
             F.when(~piece.startswith("&"), piece)

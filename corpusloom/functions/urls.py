@@ -73,8 +73,9 @@ def _port(u: Column) -> Column:
 
 def _valid(u: Column) -> Column:
     port = _port_text(u)
-    number = F.coalesce(F.substring(port, 2, 99).try_cast("int"), F.lit(0))
-    return _host(u).rlike(_HOST_OK) & ((port == "") | port.rlike("^:[0-9]*$") & (number <= 65535))
+    digits = F.regexp_extract(port, "^:0*([0-9]*)$", 1)
+    small = (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535)
+    return _host(u).rlike(_HOST_OK) & ((port == "") | port.rlike("^:[0-9]*$") & small)
 
 
 def hostname(url: Column) -> Column:
@@ -209,7 +210,10 @@ def resolve_against(df: DataFrame, parts: str, ref: str, out: str) -> DataFrame:
     absolute = F.when(r.rlike(_SCHEME), r).when(
         r.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), r)
     )
-    df = computed(df, _ref=clean(F.col(ref)))
+    # `https:x` seen from an https page is a relative reference.
+    given = clean(F.col(ref))
+    same = _is_special(given) & (_scheme(given) == b["scheme"]) & ~given.rlike(rf"{_SCHEME}[/\\]")
+    df = computed(df, _ref=F.when(same, F.regexp_replace(given, _SCHEME, "")).otherwise(given))
     df = computed(df, _absolute=absolute)
     df = computed(df, _rest=F.when(F.col("_absolute").isNull(), rest))
     url = F.when(

@@ -25,7 +25,7 @@ FIXTURES = {
     "captures": f"""
 SELECT page_id, site, concat('https://', site, regexp_replace(url, '^[a-z]+://[^/?#]*', '')) AS url, html
 FROM (SELECT page_id, url, html,
-  concat('d', CAST(floor(page_id / 4096) AS BIGINT), '.', {_HOST}) AS site FROM {{pages}}) AS s""",
+  concat('d', CAST(floor(page_id / $PAGES_PER_SITE) AS BIGINT), '.', {_HOST}) AS site FROM {{pages}}) AS s""",
     # (site, status, content): about 1 of 7 sites has no manifest, 1 of 7 a useless one.
     "manifest_texts": f"""
 SELECT site, CASE WHEN length(site) % 7 = 0 THEN 404 ELSE 200 END AS status,
@@ -101,14 +101,19 @@ _DIALECTS = {
 }
 
 
-def fixture_sql(name: str, dialect: str) -> str:
+# A fixture parameter: a site holds this many page ids of a host at most, so that its
+# manifest stays one document however often a host was captured.
+PAGES_PER_SITE = 4096
+
+
+def fixture_sql(name: str, dialect: str, pages_per_site: int = PAGES_PER_SITE) -> str:
     """The SELECT of a fixture over the given tables, other fixtures nested in."""
-    sql = FIXTURES[name].strip()
+    sql = FIXTURES[name].strip().replace("$PAGES_PER_SITE", str(pages_per_site))
     for mark, text in _DIALECTS[dialect].items():
         sql = sql.replace(mark, text)
     return re.sub(
         r"\{(\w+)\}",
-        lambda m: f"({fixture_sql(m[1], dialect)})" if m[1] in FIXTURES else m[0],
+        lambda m: f"({fixture_sql(m[1], dialect, pages_per_site)})" if m[1] in FIXTURES else m[0],
         sql,
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from corpusloom.functions.text import JS_SPACE
 from corpusloom.operators.skeleton import PREVIEW_NOTE
-from corpusloom.operators.tokens import BLOCK_TAGS, VOID_TAGS
+from corpusloom.operators.tokens import BLOCK_TAGS, FOREIGN_TAGS, VOID_TAGS
 from corpusloom.verify.fixtures import fixture_sql
 
 
@@ -71,7 +71,7 @@ tokens AS (SELECT *, CASE WHEN NOT starts_with(tok, '<') OR tok = '<' THEN 'text
   WHEN starts_with(tok, '<!') THEN 'comment'
   WHEN tag IN ('script', 'style') AND NOT starts_with(tok, '</') THEN 'raw'
   WHEN starts_with(tok, '</') THEN 'close'
-  WHEN tag IN ({_quoted(VOID_TAGS)}) OR ends_with(tok, '/>') THEN 'void' ELSE 'open' END AS kind FROM named_tokens)"""
+  WHEN tag IN ({_quoted(VOID_TAGS)}) OR tag IN ({_quoted(FOREIGN_TAGS)}) AND ends_with(tok, '/>') THEN 'void' ELSE 'open' END AS kind FROM named_tokens)"""
 
 
 def _attr(name: str) -> str:

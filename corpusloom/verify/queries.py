@@ -47,7 +47,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 @_register
 def page_scan(i: Inputs) -> DataFrame:
-    return i.pages
+    return i.pages.select("page_id", "url", "html")
 
 
 @_register

@@ -3,7 +3,10 @@
 import pytest
 from check_oracles import difference, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from corpusloom.verify.fixtures import FIXTURES, Inputs, fixture_sql
+from corpusloom.verify.oracles import oracles
+from corpusloom.verify.queries import registered
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,15 +16,24 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_matches_sql(spark, con, name):
     df = queries()[name](spark, SF)
-    rel = con.sql(oracle_sql()[name])
+    rel = con.sql(oracles()[name])
     assert difference(df.collect(), df.columns, rel.fetchall(), rel.columns) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(registered()) == set(oracles()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", sorted(FIXTURES))
+def test_fixtures_split_large_hosts_alike(spark, con, name):
+    tables = {t: getattr(Inputs(spark, SF), t) for t in ("pages", "documents")}
+    sql = fixture_sql(name, "spark", 16)
+    df = spark.sql(sql, **{t: df for t, df in tables.items() if f"{{{t}}}" in sql})
+    rel = con.sql(fixture_sql(name, "duckdb", 16).replace("{pages}", "pages").replace("{documents}", "documents"))
+    assert difference(df.collect(), df.columns, rel.fetchall(), rel.columns) is None
 
 
 def test_entry(spark):
@@ -47,7 +59,7 @@ def test_one_exchange(spark, name):
     assert "Generate" not in below and "ReadSchema: struct<page_id:bigint,html:string>" in below
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_no_python_and_no_cross_join(spark, name):
     plan = plan_of(queries()[name](spark, SF))
     for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin", "ExistingRDD"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.layout import computed
 from corpusloom.functions.text import JS_SPACE, js_trim
 from corpusloom.functions.urls import md_candidates, origin
+from corpusloom.sources.captures import newest
 
 # Where a site keeps its manifest, how short a body may be.
 MANIFEST_PATH = "/llms.txt"
@@ -33,7 +34,10 @@ def lookup_manifests(sites: DataFrame, manifests: DataFrame) -> DataFrame:
     )
     content = F.col("content")
     good = manifests.where(is_ok(F.col("status")) & (F.length(js_trim(content)) >= MIN_BODY))
-    found = wanted.join(good.select("manifest_url", "content"), "manifest_url", "left")
+    # Of several captures of one manifest the newest usable one counts.
+    last = F.max_by("content", newest(manifests, "content")).alias("content")
+    good = good.groupBy("manifest_url").agg(last)
+    found = wanted.join(good, "manifest_url", "left")
     return found.select(
         "site", "base_url", "manifest_url", "content", content.isNotNull().alias("usable")
     )
@@ -63,19 +67,18 @@ def probe_native_md(pages: DataFrame, md_bodies: DataFrame) -> DataFrame:
     page keeps its best one, and bodies join last, one per URL. Where many pages
     share a URL, adaptive execution splits that key's rows.
     """
-    bodies = (
-        md_bodies.where(usable_md(F.col("status"), F.col("body")))
-        .groupBy("md_url")
-        .agg(F.min("body").alias("body"))
-    )
-    answered = md_bodies.where(usable_md(F.col("status"), F.col("body"))).select("md_url")
+    usable = md_bodies.where(usable_md(F.col("status"), F.col("body")))
+    answered = usable.select("md_url")
     best = (
         candidate_urls(pages)
         .join(answered, "md_url", "left_semi")
         .groupBy("page_id")
         .agg(F.min(F.struct("rank", "md_url")).alias("_best"))
     )
-    return best.select("page_id", "_best.rank", "_best.md_url").join(bodies, "md_url").select(
+    best = best.select("page_id", "_best.rank", "_best.md_url")
+    wanted = usable.join(best.select("md_url"), "md_url", "left_semi")
+    bodies = wanted.groupBy("md_url").agg(F.min("body").alias("body"))
+    return best.join(bodies, "md_url").select(
         "page_id", "md_url", "rank", "body"
     )
 
@@ -92,10 +95,13 @@ def pick_body(
     plan (page_id, url, is_full_content); full (url, status, body);
     native (page_id, body); html (page_id, markdown, error). Full-content pages
     never take a native body; they fall back to HTML if nothing is left of theirs.
-    `use_native` may name a column of the plan. Each lookup side has one row per key.
+    `use_native` may name a column of the plan. `native` and `html` have one row per
+    page.
     """
     native_on = F.col(use_native) if isinstance(use_native, str) else F.lit(use_native)
-    answered = full.where(is_ok(F.col("status"))).select("url", "body")
+    # Of several captures of one text the newest answered one counts.
+    last = F.max_by("body", newest(full, "body")).alias("body")
+    answered = full.where(is_ok(F.col("status"))).groupBy("url").agg(last)
     cleaned = computed(answered, _full=clean_full_content(F.col("body"))).drop("body")
     is_full = F.col("is_full_content")
     joined = (

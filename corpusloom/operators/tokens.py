@@ -26,6 +26,12 @@ INLINE_TAGS = (
 ).split()
 FLAT_TAGS = ["a", "button", "option"]
 LIST_TAGS = ["ul", "ol"]
+# Elements of drawings and formulas that HTML itself lacks: only there `/>` closes a tag.
+FOREIGN_TAGS = (
+    "animate animatemotion animatetransform circle clippath defs ellipse fecolormatrix feflood "
+    "fegaussianblur femerge femergenode feoffset g line lineargradient mask mpath mprescripts none "
+    "path pattern polygon polyline radialgradient rect set stop svg symbol tspan use view"
+).split()
 
 # Possessive groups: no backtracking and no stack growth on long or broken input.
 TOKEN = (
@@ -95,7 +101,7 @@ def page_tokens(
         .when(tag.isin("script", "style") & ~tok.startswith("</"), "raw")
         .when(~tok.endswith(">"), "cut")
         .when(tok.startswith("</"), "close")
-        .when(tag.isin(VOID_TAGS) | tok.endswith("/>"), "void")
+        .when(tag.isin(VOID_TAGS) | tag.isin(FOREIGN_TAGS) & tok.endswith("/>"), "void")
         .otherwise("open")
     )
     return tagged.withColumn("kind", kind)
@@ -103,7 +109,8 @@ def page_tokens(
 
 def attribute(tok: Column, name: str) -> Column:
     """Decoded value of attribute `name` of a tag; '' without value, NULL if absent."""
-    body = F.regexp_replace(tok, r"^</?[A-Za-z][^\s/>]*|/?>$", "")
+    # A slash before the end belongs to the value where that has no quotes.
+    body = F.regexp_replace(tok, r"^</?[A-Za-z][^\s/>]*|>$", "")
     pairs = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
     named = F.filter(pairs, lambda p: p.rlike(f"(?i)^{name}\\s*(=|$)"))
     raw = F.regexp_replace(F.try_element_at(named, F.lit(1)), r"(?s)^[^=]*=?\s*", "")

@@ -11,13 +11,16 @@ from corpusloom.operators.bodies import lookup_manifests, pick_body, probe_nativ
 from corpusloom.operators.manifest import classified_links, manifest_page_links
 from corpusloom.operators.markdown import html_to_markdown
 from corpusloom.operators.selectors import parse_selector
-from corpusloom.plans.crawl import crawl_plan, followed_pages, taken_pages
-from corpusloom.sources.captures import captured
+from corpusloom.plans.crawl import crawl_plan, followed_pages, selectors_in_use, taken_pages
+from corpusloom.sources.captures import captured, newest
 from corpusloom.sources.scratch import stored
 
 
 def plan_jobs(
-    jobs: DataFrame, manifests: DataFrame, pages: DataFrame, follow_selectors: list[str]
+    jobs: DataFrame,
+    manifests: DataFrame,
+    pages: DataFrame,
+    follow_selectors: list[str] | None = None,
 ) -> DataFrame:
     """Page lists of jobs with settings (see `apply_mode`); jobs should be a stored table.
 
@@ -33,28 +36,32 @@ def plan_jobs(
 
 
 def converted_pages(
-    plan: DataFrame, pages: DataFrame, content_selectors: list[str]
+    plan: DataFrame, pages: DataFrame, content_selectors: list[str] | None = None
 ) -> DataFrame:
     """(content_selector, url, markdown, error) of planned pages, once per selector in use.
 
     Where captures carry a status, pages that did not answer give `HTTP <status>`.
     """
-    parts = []
-    for selector in content_selectors:
+    none = "SELECT '' AS content_selector, '' AS url, '' AS markdown, '' AS error WHERE false"
+    parts = [plan.sparkSession.sql(none)]
+    for selector in selectors_in_use(plan, "content_selector", content_selectors):
         parse_selector(selector)
         urls = plan.where(F.col("content_selector") == selector).select("url").distinct()
         taken, known = taken_pages(pages, urls)
-        markdown = html_to_markdown(taken, selector, clustered=True).join(known, "page_id")
+        markdown = html_to_markdown(taken, selector).join(known, "page_id")
         parts.append(
             markdown.select(F.lit(selector).alias("content_selector"), "url", "markdown", "error")
         )
     if "status" in pages.columns:
-        refused = captured(pages).where(~F.col("ok")).select(
+        seen = captured(pages)
+        wanted = plan.select("content_selector", "url").distinct()
+        tried = seen.where(~F.col("ok")).join(wanted, "url", "left_semi")
+        refused = tried.groupBy("url").agg(F.max_by("status", newest(seen, "page_id")).alias("status"))
+        refused = refused.join(seen.where("ok").select("url"), "url", "left_anti").select(
             "url",
             F.lit(None).cast("string").alias("markdown"),
             F.concat(F.lit("HTTP "), F.col("status").cast("string")).alias("error"),
         )
-        wanted = plan.select("content_selector", "url").distinct()
         parts.append(wanted.join(refused, "url"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -65,7 +72,7 @@ def build_documents(
     pages: DataFrame,
     md_bodies: DataFrame,
     full_bodies: DataFrame,
-    content_selectors: list[str],
+    content_selectors: list[str] | None = None,
 ) -> DataFrame:
     """(site, domain, ord, url, title, source, body, error) of every planned page.
 

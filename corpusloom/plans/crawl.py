@@ -12,38 +12,71 @@ from corpusloom.functions.urls import path_title
 from corpusloom.operators.links import follow_links
 from corpusloom.operators.selectors import parse_selector
 from corpusloom.plans.settings import wants_links
-from corpusloom.sources.captures import captured
+from corpusloom.sources.captures import captured, newest
 
 
-def followed_pages(jobs: DataFrame, pages: DataFrame, selectors: list[str]) -> DataFrame:
+def selectors_in_use(jobs: DataFrame, column: str, given: list[str] | None = None) -> list[str]:
+    """The selectors in `column` of jobs without an error, one pass over the pages for each.
+
+    With `given`, all of them must be in it: no job is left out without a word.
+    """
+    used = jobs.where(wants_links(F.col(column)))
+    if "error" in jobs.columns:
+        used = used.where(F.col("error").isNull())
+    found = sorted(r[0] for r in used.select(column).distinct().collect())
+    if given is not None and not set(found) <= set(given):
+        raise ValueError(f"jobs use other {column}s than given: {sorted(set(found) - set(given))}")
+    return found
+
+
+def checked_selectors(jobs: DataFrame) -> DataFrame:
+    """Give jobs whose follow or content selector is not supported an `error`."""
+    for column in ("follow_selector", "content_selector"):
+        bad = []
+        for selector in selectors_in_use(jobs, column):
+            try:
+                parse_selector(selector)
+            except ValueError:
+                bad.append(selector)
+        if bad:
+            text = F.concat(F.lit("unsupported selector: "), F.col(column))
+            wrong = F.col(column).isin(bad) & F.col("error").isNull()
+            jobs = jobs.withColumn("error", F.when(wrong, text).otherwise(F.col("error")))
+    return jobs
+
+
+def followed_pages(
+    jobs: DataFrame, pages: DataFrame, selectors: list[str] | None = None
+) -> DataFrame:
     """(site, ord, url, title) linked from each job's entry page.
 
-    `selectors` are the follow selectors in use, each run once over the entry pages
-    of its jobs. Entry pages are matched by URL; a page that did not answer gives
-    no links.
+    Each follow selector of the jobs runs once over the entry pages of its jobs; those
+    that are not supported raise (see `checked_selectors`). Entry pages are matched by
+    URL, the newest answered capture counts; a page that did not answer gives no links.
     """
-    parts = []
-    for selector in selectors:
+    none = "SELECT '' AS site, 0 AS ord, '' AS url, '' AS title WHERE false"
+    parts = [jobs.sparkSession.sql(none)]
+    for selector in selectors_in_use(jobs, "follow_selector", selectors):
         parse_selector(selector)
         asking = jobs.where(F.col("follow_selector") == selector).select(
             "site", F.col("base_url").alias("url")
         )
         entries, known = taken_pages(pages, asking.select("url").distinct())
-        links = follow_links(entries, selector, clustered=True, urls=known)
+        links = follow_links(entries, selector, urls=known)
         owners = known.join(asking, "url").select("page_id", "site")
         parts.append(links.join(owners, "page_id").select("site", "ord", "url", "title"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def taken_pages(pages: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Answered pages with one of `urls`, and their (page_id, url).
+    """The newest answered capture of each of `urls`, and their (page_id, url).
 
-    URLs are matched without the markup. The markup then meets the few page ids by
-    page_id, the layout the structure jobs need anyway: treat it as clustered, so
-    that Spark adds a shuffle only where the join left none.
+    URLs are matched without the markup, which then meets the few page ids.
     """
     answered = captured(pages).where("ok")
-    known = answered.select("page_id", "url").join(urls, "url", "left_semi")
+    matched = answered.join(urls, "url", "left_semi")
+    last = F.max_by("page_id", newest(answered, "page_id")).alias("page_id")
+    known = matched.groupBy("url").agg(last).select("page_id", "url")
     wanted = answered.select("page_id", "html").join(known.select("page_id"), "page_id", "left_semi")
     return wanted, known
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,8 @@ PAGES = T.StructType(
         T.StructField("page_id", T.LongType()),
         T.StructField("url", T.StringType()),
         T.StructField("html", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+        T.StructField("captured_at", T.TimestampType()),
     ]
 )
 
@@ -29,7 +31,10 @@ SITE_CONFIG = T.StructType(
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages (page_id, url, html) from parquet; unused columns are not read."""
+    """Captured pages from parquet; unused columns are not read.
+
+    A table without status or captured_at gives NULLs there: answered, time unknown.
+    """
     return spark.read.schema(PAGES).parquet(path)
 
 
@@ -50,10 +55,16 @@ def write_clustered_pages(pages: DataFrame, table: str, buckets: int) -> None:
 def captured(pages: DataFrame) -> DataFrame:
     """Add `ok`; captures without a recorded status count as answered."""
     if "status" in pages.columns:
-        return pages.withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
+        return pages.withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(True)))
     return pages.withColumn("ok", F.lit(True))
 
 
+def newest(df: DataFrame, *rest: str) -> Column:
+    """Order of captures of one key: by `captured_at` where the table has it, then `rest`."""
+    time = ["captured_at"] if "captured_at" in df.columns else []
+    return F.struct(*time, *rest)
+
+
 def read_site_config(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Per-domain settings from a file set with the fixed schema."""
     return spark.read.schema(SITE_CONFIG).format(fmt).load(path)

@@ -20,8 +20,12 @@ CORPUS = T.StructType(
 
 
 def corpus_documents(documents: DataFrame, order: list[str]) -> DataFrame:
-    """(domain, slug, url, title, body): the last document per name, bodies only."""
+    """(domain, slug, url, title, body): the last document per name, bodies only.
+
+    Where `order` leaves two documents equal, site and URL decide.
+    """
     named = named_documents(documents.where(F.col("body").isNotNull()))
+    order = [*order, *(c for c in ("site", "url") if c in named.columns and c not in order)]
     return last_per_name(named, order).select(
         "slug", "url", "title", "body", "domain"
     )

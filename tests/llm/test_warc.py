@@ -1,0 +1,96 @@
+import base64
+import hashlib
+import re
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from corpusloom.llm.warc import export_warc, page_records, read_archive, record_bytes, write_archive
+from corpusloom.sources.scratch import scratch_path
+
+ROWS = [
+    (3, "https://a.example/x", "<p>one</p>"), (1, "https://a.example/y", "<p>one</p>"), (2, None, None),
+    (4, "https://b.example/\r\nX: y", ""), (5, "https://c.example/", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", "<p>one</p>"),
+    (7, "v", "z" * 200_000), (8, "v", "z" * 200_000), (9, "w", "<p>rep</p>"), (9, "w", "<p>rep</p>"),
+]
+DATE = "2024-05-06T07:08:09Z"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def archived(spark, rows, **options):
+    path = scratch_path(spark, "warc-test")
+    write_archive(pages(spark, rows), path, DATE, **options)
+    return path
+
+
+def expected(rows, least=0):
+    first = {}
+    for page_id, _, html in rows:
+        first[html or ""] = min(page_id, first.get(html or "", page_id))
+    out = []
+    for page_id, _, html in rows:
+        body = (html or "").encode()
+        head = first[html or ""]
+        again = page_id != head and len(body) >= least
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        out.append((page_id, len(body), digest, "revisit" if again else "response", head if again else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [0, 11])
+def test_records(spark, least):
+    path = archived(spark, ROWS, min_bytes=least)
+    assert sorted((tuple(r) for r in page_records(read_archive(spark, path)).collect()), key=str) == expected(ROWS, least)
+    bodies = [bytes(r.payload) for r in spark.read.parquet(f"{path}/objects").collect()]
+    assert len(bodies) == len(set(bodies)) == 5  # one, empty, é, z, rep
+
+
+def test_empty_table_null_ids_and_clashing_columns(spark):
+    assert page_records(read_archive(spark, archived(spark, []))).collect() == []
+    path = scratch_path(spark, "warc-test")
+    df = pages(spark, [(None, "u", "a"), (1, "u", "a"), (None, None, "b")])
+    for name in ("payload", "digest", "key", "bytes", "first_id"):
+        df = df.withColumn(name, F.lit("x"))
+    write_archive(df, path, DATE)
+    got = sorted(str((r.page_id, r.record_type, r.refers_to)) for r in page_records(read_archive(spark, path)).collect())
+    assert got == ["(1, 'response', None)", "(None, 'response', None)", "(None, 'revisit', 1)"]
+
+
+def test_export_is_a_warc_file(spark, tmp_path):
+    records = read_archive(spark, archived(spark, ROWS))
+    export_warc(records, str(tmp_path / "out"))
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    seen = []
+    while data:
+        head, rest = data.split(b"\r\n\r\n", 1)
+        assert head.startswith(b"WARC/1.1\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        block, data = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]) :]
+        assert data.startswith(b"\r\n\r\n")
+        data = data[4:]
+        http, payload = block.split(b"\r\n\r\n", 1)
+        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        assert len(payload) == (size if fields["WARC-Type"] == "response" else 0)
+        seen.append((int(fields["WARC-Record-ID"][10:-1]), payload if payload else None))
+        assert fields["WARC-Date"] == DATE
+        if fields["WARC-Type"] == "response":
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            assert fields["WARC-Payload-Digest"] == f"sha1:{digest}"
+    html = {i: (h or "").encode() for i, _, h in ROWS}
+    assert sorted(i for i, _ in seen) == sorted(i for i, _, _ in ROWS)
+    assert all(body is None or body == html[i] for i, body in seen)
+    assert len({bytes(r[0]) for r in records.select(record_bytes(records)).collect()}) == 9
+
+
+def test_a_damaged_object_stops_the_read(spark):
+    path = archived(spark, ROWS[:3])
+    objects = spark.read.parquet(f"{path}/objects")
+    damaged = scratch_path(spark, "warc-test")
+    objects.withColumn("payload", F.lit(b"other")).write.parquet(f"{damaged}/objects")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{damaged}/headers")
+    with pytest.raises(PySparkException, match="does not match"):
+        page_records(read_archive(spark, damaged)).collect()

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.sources.scratch import stored
 
 
+# Links that one task takes on; a small graph needs no more tasks than that.
+_LINKS_PER_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in `edges` (a, b): root is the component's least node.
 
@@ -22,22 +26,23 @@ def components(edges: DataFrame) -> DataFrame:
     links = stored(links, "links")
     before, now = None, _mark(links)
     while now != before:
+        tasks = 1 + 2 * now[0] // _LINKS_PER_TASK
         both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
         least = F.least(F.min("v"), F.col("u"))
-        links = _hung(both, least, F.col("v") > F.col("u")).distinct()
+        links = stored(_hung(both, least, F.col("v") > F.col("u"), tasks).coalesce(tasks), "links").distinct()
         least = F.min("v")
         # The least neighbour itself has nothing lower here; its node keeps the link.
-        kept = _hung(links, least, F.col("v") > F.col("m"))
+        kept = _hung(links, least, F.col("v") > F.col("m"), tasks)
         tops = links.groupBy("u").agg(F.min("v").alias("v"))
-        links = stored(kept.union(tops).distinct(), "links")
+        links = stored(kept.union(tops).distinct().coalesce(tasks), "links")
         before, now = now, _mark(links)
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def _hung(links: DataFrame, least: Column, moved: Column) -> DataFrame:
+def _hung(links: DataFrame, least: Column, moved: Column, tasks: int) -> DataFrame:
     """Link every `moved` neighbour v of u to the least of u's neighbours instead."""
-    minima = stored(links.groupBy("u").agg(least.alias("m")), "minima")
+    minima = stored(links.groupBy("u").agg(least.alias("m")).coalesce(tasks), "minima")
     joined = links.join(minima, "u").where(moved)
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
 

@@ -12,8 +12,10 @@ emitting all pairs of a group of copies:
    equal subsets are links. Large sets scan inverted lists over the rarest shingles of
    each set (a prefix that every link must meet). The size that parts small from large
    is the one with the least rows to move, by the measured sizes and list lengths.
-4. Lists are scanned against one hub each, first. What hubs already connect needs no
-   further pairs, so only pairs between different components are left to compare.
+4. Lists are scanned against one hub each, then against ever more. What hubs already
+   connect needs no further pairs, so only pairs between different components are left
+   to compare in the end. A sketch of each set bounds the pair's difference from below,
+   inside the join, so that of a group of nearly similar texts only likely links leave it.
 
 Sets are kept as 64-bit shingle hashes; overlaps are counted exactly on them.
 """
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm import golomb
 from corpusloom.llm.graph import components
@@ -43,10 +46,17 @@ _SENT = 44
 _SMALL = 40
 # A row of an inverted list is shuffled, joined and compared; a subset key is only grouped.
 _LIST_COST = 4
-# Scan lists against further hubs while this many pairs per list row would be left.
-_PAIRS_PER_ROW = 4
+# Hubs of a list after the first, and how much their number grows from round to round,
+# as long as more pairs than hubs are left per row.
+_HUBS = 16
+# Words of a sketch: bit k of 512 is the parity of the items that hash to k. Sketches of
+# two sets differ in at most as many bits as the sets differ in items.
+_SKETCH = 8
 
-_NODES = "digest binary, doc_id {id}, n_shingles long, tokens array<long>, places array<int>, items binary"
+# Rows of a list, and pairs of sets, that one task takes on at least.
+_ROWS_PER_TASK, _PAIRS_PER_TASK = 50_000, 500
+
+_NODES = "digest binary, doc_id {id}, n_shingles long, tokens array<long>, places array<int>, items binary, sketch array<long>"
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -68,6 +78,11 @@ def _digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
+def _sketch(items: np.ndarray) -> list[int]:
+    parity = np.bincount(items & np.uint64(64 * _SKETCH - 1), minlength=64 * _SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _bucket_sets(table: pa.Table, width: int) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
     """Sets and digests of a bucket's rows, and the sent part of its distinct sets."""
     sets = shingle_sets(table["text"], width)
@@ -133,7 +148,7 @@ def _answers(table: pa.Table) -> pa.Table:
 
 def _prefixes(width: int, percent: int, id_type: pa.DataType):
     def meet(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("digest", "doc_id", "n_shingles", "tokens", "places", "items")}
+        out: dict[str, list] = {k: [] for k in ("digest", "doc_id", "n_shingles", "tokens", "places", "items", "sketch")}
         if docs.num_rows:
             sets, digests, sent = _bucket_sets(docs, width)
             values = distinct(sent)
@@ -144,7 +159,7 @@ def _prefixes(width: int, percent: int, id_type: pa.DataType):
             # The least doc_id of equal sets carries the set; a null id comes last.
             for row in sorted(range(len(ids)), key=lambda r: (ids[r] is None, ids[r])):
                 items, digest = sets[row], digests[row]
-                n, tokens, places, kept = len(items), None, None, None
+                n, tokens, places, kept, sketch = len(items), None, None, None, None
                 if n == 0:
                     # Empty texts link with nothing; an own digest keeps them apart and spread.
                     digest = hashlib.blake2b(f"empty {ids[row]}".encode(), digest_size=16).digest()
@@ -155,10 +170,11 @@ def _prefixes(width: int, percent: int, id_type: pa.DataType):
                     head = order[: n - -(-percent * n // 100) + 1]
                     places = np.flatnonzero(rank[head]).astype(np.int32)
                     tokens = items[head[places]].view(np.int64)
-                    kept = items.tobytes() if len(tokens) or n <= _SMALL else None
-                for name, value in zip(out, (digest, ids[row], n, tokens, places, kept), strict=True):
+                    if len(tokens) or n <= _SMALL:
+                        kept, sketch = items.tobytes(), _sketch(items)
+                for name, value in zip(out, (digest, ids[row], n, tokens, places, kept, sketch), strict=True):
                     out[name].append(value)
-        types = (pa.binary(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        types = (pa.binary(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     return meet
@@ -254,25 +270,42 @@ class _Join:
         low, high = F.least(n, m), F.greatest(n, m)
         return low * 100 >= high * self.percent
 
-    def hub_pairs(self, lists: DataFrame, seed: int) -> DataFrame:
-        """Every list row against its list's hub, unless both are already connected."""
-        rank = F.xxhash64(F.lit(seed), "node")
+    def first_pairs(self, lists: DataFrame) -> DataFrame:
+        """Every list row against its list's hub, the node that ranks first everywhere."""
+        rank = F.xxhash64("node")
         hub = F.min(F.struct(rank.alias("rank"), "node", "n", "root")).alias("hub")
         hubs = lists.groupBy("token").agg(hub, F.count("*").alias("rows")).where("rows > 1")
         hubs = stored(hubs.select("token", "hub"), "list-hubs")
-        pairs = lists.join(hubs, "token").where("root <> hub.root")
-        pairs = pairs.where(self.fits("n", "hub.n"))
+        pairs = lists.join(hubs, "token").where("root <> hub.root").where(self.fits("n", "hub.n"))
         return self.ordered(F.col("node"), F.col("hub.node"), pairs)
 
-    def open_pairs(self, lists: DataFrame) -> DataFrame:
-        """All pairs of list rows that a link allows and no component joins yet."""
-        other = lists.toDF(*[f"{c}_" for c in lists.columns])
+    def opened(self, lists: DataFrame) -> DataFrame:
+        """Rows of lists that still hold several components, with the nodes' sketches."""
+        roots = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        tokens = stored(roots.where("low <> high").select("token"), "open-tokens")
+        lists = lists.join(tokens, "token")
+        if "s0" not in lists.columns:
+            words = [F.col("sketch")[k].alias(f"s{k}") for k in range(_SKETCH)]
+            lists = lists.join(self.nodes.select(F.col("digest").alias("node"), *words), "node")
+        return stored(lists, "open-lists")
+
+    def hubs(self, lists: DataFrame, count: int) -> DataFrame:
+        """`count` rows of each list, drawn anew for every list."""
+        drawn = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
+        return stored(lists.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= count).drop("nth"), "hubs")
+
+    def open_pairs(self, lists: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs of rows of one list that a link allows and no component joins yet."""
+        other = others.toDF(*[f"{c}_" for c in others.columns])
+        both = F.col("n") + F.col("n_")
         room = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_"))
+        apart = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_"))) for k in range(_SKETCH))
         pairs = (
             lists.join(other, F.col("token") == F.col("token_"))
-            .where("root < root_")
+            .where("root < root_" if others is lists else "root <> root_")
             .where(self.fits("n", "n_"))
-            .where(room * (100 + self.percent) >= (F.col("n") + F.col("n_")) * self.percent)
+            .where(room * (100 + self.percent) >= both * self.percent)
+            .where(apart * (100 + self.percent) <= both * (100 - self.percent))
         )
         return self.ordered(F.col("node"), F.col("node_"), pairs)
 
@@ -283,14 +316,15 @@ class _Join:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose sets are similar enough, compared item by item."""
         pairs = stored(pairs, "pairs")
+        tasks = 1 + pairs.count() // _PAIRS_PER_TASK
         for side in ("a", "b"):
             sets = self.nodes.select(F.col("digest").alias(side), F.col("items").alias(f"items_{side}"))
             pairs = pairs.join(sets, side)
-        rows = pairs.select("a", "b", "items_a", "items_b")
+        rows = pairs.select("a", "b", "items_a", "items_b").coalesce(tasks)
         return stored(rows.mapInArrow(_compare(self.percent), "a binary, b binary"), "linked")
 
     def rooted(self, lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the lists with each node's root, without closed lists."""
+        """Components of `links`, and the lists with each node's root."""
         roots = stored(components(links), "roots")
         lists = lists.drop("root").join(roots, "node", "left")
         lists = lists.withColumn("root", F.coalesce("root", "node"))
@@ -299,20 +333,17 @@ class _Join:
     def run(self) -> DataFrame:
         """(node, root) of every node with a link."""
         most = self.boundary()
-        links = self.small_links(most)
-        roots, lists = self.rooted(self.lists(most), links)
-        lists = stored(lists, "rooted-lists")
-        rows = lists.count()
-        for seed in itertools.count():
-            found = self.linked(self.hub_pairs(lists, seed))
-            progress = found.limit(1).count() > 0
-            if progress:
-                links = links.union(found)
-                roots, lists = self.rooted(lists, roots.toDF("a", "b").union(found))
-                lists = stored(lists, "rooted-lists")
-            if not progress or self.left(lists) <= _PAIRS_PER_ROW * rows:
-                break
-        last = self.linked(self.open_pairs(lists))
+        roots, lists = self.rooted(self.lists(most), self.small_links(most))
+        tasks = 1 + lists.count() // _ROWS_PER_TASK
+        lists = stored(lists.coalesce(tasks), "rooted-lists")
+        found = self.linked(self.first_pairs(lists))
+        roots, lists = self.rooted(lists, roots.toDF("a", "b").union(found))
+        lists, hubs = self.opened(lists), _HUBS
+        while self.left(lists) > hubs * lists.count():
+            found = self.linked(self.open_pairs(lists, self.hubs(lists, hubs)))
+            roots, lists = self.rooted(lists, roots.toDF("a", "b").union(found))
+            lists, hubs = self.opened(lists), _HUBS * hubs
+        last = self.linked(self.open_pairs(lists, lists))
         return components(roots.toDF("a", "b").union(last)) if last.limit(1).count() else roots
 
     @staticmethod

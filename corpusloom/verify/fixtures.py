@@ -67,23 +67,29 @@ SELECT page_id, url, CAST(k AS INT) AS attempt, 1704067200000 + page_id * 60000
   CASE WHEN k < page_id % 4 THEN CASE WHEN page_id % 3 = 0 THEN 'connect ETIMEDOUT' WHEN page_id % 3 = 1 THEN 'read ECONNRESET' ELSE 'bad certificate' END
        WHEN page_id % 10 = 9 THEN 'HTTP 503' WHEN page_id % 10 = 8 THEN 'HTTP 404' END AS error
 FROM (SELECT page_id, url, $EXPLODE AS k FROM {pages} AS p) AS a""",
-    # Answers to Markdown candidates; HTML pages and tiny ones do not count.
+    # Every page, and a page of its own for each document that has none.
+    "sheets": """
+SELECT page_id, url FROM {pages} AS p UNION ALL
+SELECT doc_id, concat('https://', coalesce(source, 'none'), '.example.com/', coalesce(lang, 'und'), '/text', doc_id)
+FROM {documents} AS d WHERE NOT EXISTS (SELECT 1 FROM {pages} AS q WHERE q.page_id = d.doc_id)""",
+    # Answers to Markdown candidates, one per document; a third did not answer, and HTML
+    # pages and tiny ones do not count.
     "md_bodies": f"""
-SELECT concat(o, b, '.md') AS md_url, 200 AS status,
+SELECT concat(o, b, '.md') AS md_url, CASE WHEN page_id % 3 = 2 THEN 404 ELSE 200 END AS status,
   CASE WHEN page_id % 11 = 0 THEN '<!DOCTYPE html><p>no</p>' WHEN page_id % 13 = 0 THEN 'tiny' ELSE text END AS body
-FROM (SELECT page_id, {_ROOT} AS o, {_STEM} AS b FROM {{pages}} AS p) AS u
-JOIN {{documents}} AS d ON d.doc_id = u.page_id WHERE page_id % 3 < 2""",
+FROM (SELECT page_id, {_ROOT} AS o, {_STEM} AS b FROM {{sheets}} AS p) AS u
+JOIN {{documents}} AS d ON d.doc_id = u.page_id""",
     # Planned pages; every fifth is a full-content text.
     "planned": f"""
 SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat({_ROOT}, {_STEM}, '.txt') ELSE url END AS url,
   page_id % 5 = 0 AS is_full_content
-FROM {{pages}} AS p""",
-    # One text is empty once its system note is gone.
-    "full_bodies": """
+FROM {{sheets}} AS p""",
+    # A full text per document; some are empty once their system note is gone.
+    "full_bodies": f"""
 SELECT url, 200 AS status, CASE WHEN page_id % 15 = 0 THEN '<SYSTEM>only</SYSTEM> '
   ELSE concat('<SYSTEM>tool note', chr(10), page_id, '</SYSTEM>', chr(10), text) END AS body
-FROM (SELECT url, min(page_id) AS page_id FROM {planned} AS q WHERE is_full_content GROUP BY url) AS f
-JOIN {documents} AS d ON d.doc_id = f.page_id""",
+FROM (SELECT page_id, concat({_ROOT}, {_STEM}, '.txt') AS url FROM {{sheets}} AS q) AS f
+JOIN {{documents}} AS d ON d.doc_id = f.page_id""",
 }
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"

@@ -211,11 +211,14 @@ plan AS (SELECT * FROM listed
 # --- bodies and reports ----------------------------------------------------------------------
 
 _STEM = f"regexp_replace({_PATH}, '/$', '')"
-_CANDIDATES = rf"""
+
+
+def _candidates(table: str) -> str:
+    return rf"""
 candidates AS (SELECT page_id, CAST(unnest(range(2)) AS INTEGER) AS rank, unnest(CASE
   WHEN regexp_matches({_STEM}, '^.+[.][A-Za-z0-9]+$') THEN [{_ROOT} || regexp_replace({_STEM}, '[.][A-Za-z0-9]+$', '') || '.md', {_ROOT} || {_STEM} || '.md']
   WHEN ends_with(url, '/') THEN [{_ROOT} || {_PATH} || 'index.md', {_ROOT} || {_STEM} || '.md']
-  ELSE [{_ROOT} || {_STEM} || '.md', {_ROOT} || {_STEM} || '/index.md'] END) AS md_url FROM pages)"""
+  ELSE [{_ROOT} || {_STEM} || '.md', {_ROOT} || {_STEM} || '/index.md'] END) AS md_url FROM {table})"""
 
 
 def _usable(status: str, body: str) -> str:
@@ -225,7 +228,7 @@ def _usable(status: str, body: str) -> str:
     )
 
 
-_NATIVE = f"""{_CANDIDATES},
+_NATIVE = f"""{_candidates(_fixture("sheets"))},
 native AS (SELECT c.page_id, c.md_url, c.rank, m.body FROM candidates c JOIN (SELECT * FROM {_fixture("md_bodies")} WHERE {_usable("status", "body")}) m ON c.md_url = m.md_url
   QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY c.rank, m.body) = 1)"""
 
@@ -236,7 +239,7 @@ def _cleaned(x: str) -> str:
 
 _NAMED = f"""
 named AS (SELECT {_DOMAIN} AS domain, {_slug("title")} AS slug, page_id, url, title, text AS body
-  FROM (SELECT page_id, url, coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], 'index') AS title FROM pages) JOIN documents ON doc_id = page_id),
+  FROM (SELECT page_id, url, coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], 'index') AS title FROM {_fixture("sheets")}) JOIN documents ON doc_id = page_id),
 corpus AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY domain, slug ORDER BY page_id DESC) = 1)"""
 
 # The area `article b`: from the first such tag to its close or the next block tag.
@@ -268,7 +271,7 @@ def oracles() -> dict[str, str]:
         "corpus_listing": _query(_NAMED, "SELECT domain, count(*) AS n_files FROM corpus GROUP BY domain"),
         "site_config_scan": f"SELECT domain, follow_selector, content_selector, CAST(NULL AS VARCHAR) AS output_dir, use_native_md, CAST(NULL AS BOOLEAN) AS use_manifest, CAST(NULL AS BOOLEAN) AS include_optional FROM {_fixture('site_config')}",
         "domain_rollup": f"SELECT {_DOMAIN} AS domain, count(*) AS n_pages FROM pages GROUP BY 1",
-        "md_candidates": _query(_CANDIDATES, "SELECT * FROM candidates"),
+        "md_candidates": _query(_candidates("pages"), "SELECT * FROM candidates"),
         "name_collisions": _query(_followed(), f"SELECT {_DOMAIN} AS domain, {_slug('title')} AS slug, count(*) AS n, arg_max(url, (page_id, ord)) AS kept_url FROM followed GROUP BY 1, 2 HAVING count(*) > 1"),
         "path_titles": f"SELECT page_id, coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], 'index') AS title FROM pages",
         "resolve_links": _query(_followed(), "SELECT page_id, ord, href, url FROM resolved"),
@@ -300,9 +303,9 @@ def oracles() -> dict[str, str]:
         "crawl_preview": _query(_PLAN, "SELECT p.site, p.ord AS n, p.title, p.url, count(*) OVER (PARTITION BY p.site) AS total_pages, CASE source WHEN 'manifest' THEN 'auto' ELSE source END AS mode, content_selector, rtrim(output_dir, '/') || '/' || r.domain AS output_directory, use_native_md FROM plan p JOIN ready r ON p.site = r.site"),
         "full_content_clean": f"SELECT url, {_cleaned('body')} AS body FROM {_fixture('full_bodies')}",
         "native_md_filter": f"SELECT 'document' AS origin, doc_id AS id, {_usable('200', 'text')} AS usable FROM documents UNION ALL SELECT 'page', page_id, {_usable('200', 'html')} FROM pages",
-        "pick_body": _query(f"{_NATIVE}, {_markdown('article')}", f"""SELECT p.page_id, p.url, CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN 'full' WHEN NOT is_full_content AND n.body IS NOT NULL THEN 'native' ELSE 'html' END AS source,
+        "pick_body": _query(f"{_NATIVE}, {_markdown('article')}", f"""SELECT p.page_id, p.url, CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN 'full' WHEN NOT is_full_content AND n.body IS NOT NULL THEN 'native' WHEN s.markdown IS NOT NULL THEN 'html' END AS source,
  CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN {_cleaned('f.body')} WHEN NOT is_full_content AND n.body IS NOT NULL THEN n.body ELSE s.markdown END AS body
- FROM {_fixture('planned')} p LEFT JOIN {_fixture('full_bodies')} f ON f.url = p.url LEFT JOIN native n ON n.page_id = p.page_id LEFT JOIN settled s ON s.page_id = p.page_id"""),
+ FROM {_fixture('planned')} p LEFT JOIN (SELECT url, max(body) AS body FROM {_fixture('full_bodies')} GROUP BY url) f ON f.url = p.url LEFT JOIN native n ON n.page_id = p.page_id LEFT JOIN settled s ON s.page_id = p.page_id"""),
         "fetch_outcomes": _query(_OUTCOMES, "SELECT page_id, url, outcome, error, done_ms FROM outcomes"),
         "retry_audit": f"""SELECT page_id, url, count(*) AS n_attempts, count(*) FILTER (status IS NULL AND error <> 'bad certificate') AS n_retryable, count(*) FILTER (status IS NULL AND error = 'bad certificate') AS n_final,
  count(*) FILTER (status = 503) AS http_only, coalesce(CAST(sum(CASE WHEN status IS NULL THEN 1000 * CAST(pow(2, attempt) AS BIGINT) END) AS BIGINT), 0) AS backoff_ms,

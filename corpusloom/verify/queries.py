@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.urls import domain
+from corpusloom.functions.urls import domain, path_title
 from corpusloom.operators import bodies, manifest, naming, reports
 from corpusloom.operators.content import content_area
 from corpusloom.operators.links import absolute_links, extract_links, follow_links
@@ -57,15 +57,14 @@ def manifest_lookup(i: Inputs) -> DataFrame:
 
 @_register
 def native_md_probe(i: Inputs) -> DataFrame:
-    return bodies.probe_native_md(i.pages, i.derived("md_bodies"))
+    return bodies.probe_native_md(i.derived("sheets"), i.derived("md_bodies"))
 
 
 def _titled_documents(i: Inputs) -> DataFrame:
-    """Full texts of the planned pages, titled by their path."""
-    pages = i.pages
-    titles = naming.path_titles(pages)
+    """The text of every document, titled by the path of its page."""
+    titled = i.derived("sheets").select("page_id", "url", path_title(F.col("url")).alias("title"))
     texts = i.documents.select(F.col("doc_id").alias("page_id"), F.col("text").alias("body"))
-    return pages.select("page_id", "url").join(titles, "page_id").join(texts, "page_id")
+    return titled.join(texts, "page_id")
 
 
 def _written(i: Inputs) -> str:
@@ -285,9 +284,8 @@ def native_md_filter(i: Inputs) -> DataFrame:
 
 @_register
 def pick_body(i: Inputs) -> DataFrame:
-    pages = i.pages
-    native = bodies.probe_native_md(pages, i.derived("md_bodies"))
-    html = html_to_markdown(pages, "article")
+    native = bodies.probe_native_md(i.derived("sheets"), i.derived("md_bodies"))
+    html = html_to_markdown(i.pages, "article")
     picked = bodies.pick_body(i.derived("planned"), i.derived("full_bodies"), native, html)
     return picked.select("page_id", "url", "source", "body")
 

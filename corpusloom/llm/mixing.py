@@ -70,8 +70,11 @@ def mixed(docs: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int =
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = with_words(docs, name="mix_size").withColumn("mix_order", order)
     sized = sized.withColumn("mix_slice", F.substring("mix_order", 1, _SLICE_DIGITS))
+    # A key without nulls: the join and the window then share one layout.
+    key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    sized = sized.withColumn("mix_source", key)
 
-    slices = sized.groupBy("source", F.col("mix_slice").alias("slice")).agg(F.sum("mix_size").alias("slice_size"))
+    slices = sized.groupBy("source", "mix_source", "mix_slice").agg(F.sum("mix_size").alias("slice_size"))
     slices = stored(slices, "slices")
     sizes = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     weights = weights.select(F.col("source").alias("named"), "weight")
@@ -83,20 +86,19 @@ def mixed(docs: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int =
     targets = stored(targets.withColumn("rest", rest).withColumnRenamed("source", "named"), "targets")
 
     # Slices before this one take part of the rest; what remains is the slice's room.
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("rest") - F.coalesce(F.sum("slice_size").over(before), F.lit(0))
     slices = slices.join(targets, F.col("source").eqNullSafe(F.col("named")))
-    slices = slices.withColumn("room", room).withColumnRenamed("source", "mix_source")
-    slices = stored(slices.select("mix_source", "slice", "source_size", "target", "whole", "rest", "room"), "rooms")
-
-    same = F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_slice") == F.col("slice"))
-    placed = sized.join(slices, same)
-    inside = Window.partitionBy("mix_source", "slice").orderBy("mix_order", "doc_id", "mix_size")
+    facts = ["source_size", "target", "whole", "rest", "room"]
+    slices = slices.withColumn("room", room).select("mix_source", "mix_slice", *[F.col(c).alias(f"mix_{c}") for c in facts])
+    placed = sized.join(stored(slices, "rooms"), ["mix_source", "mix_slice"])
+    inside = Window.partitionBy("mix_source", "mix_slice").orderBy("mix_order", "doc_id", "mix_size")
     earlier = F.coalesce(F.sum("mix_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The document on the edge is in if at least half of it fits.
-    extra = (earlier + F.col("mix_size") / 2 <= F.col("room")) & (F.col("rest") > 0)
-    copies = (F.col("whole") + extra.cast("long")).alias("copies")
-    rows = placed.select(*docs.columns, F.col("mix_size").alias("size"), "source_size", "target", copies)
+    extra = (earlier + F.col("mix_size") / 2 <= F.col("mix_room")) & (F.col("mix_rest") > 0)
+    copies = (F.col("mix_whole") + extra.cast("long")).alias("copies")
+    found = [F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target")]
+    rows = placed.select(*docs.columns, *found, copies)
     return rows.withColumn("taken", F.col("copies") * F.col("size"))
 
 

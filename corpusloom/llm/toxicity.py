@@ -30,7 +30,7 @@ _BITS = 22
 _FEATURES, _LEAST_SHARE = 128, 0.003
 _FOLDS, _PENALTY = 5, 3.0
 # Text bytes scored at once.
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def features(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

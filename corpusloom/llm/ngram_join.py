@@ -387,8 +387,10 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     roots = stored(_Join(spark, nodes, percent).run().withColumnRenamed("node", "digest"), "classes")
 
     least = F.min("least").alias("reached")
-    reached = roots.join(carried, "digest").groupBy("root").agg(least)
-    labels = carried.join(roots, "digest", "left").join(reached, "root", "left")
+    # Written first, so that a root with very many nodes meets a plain side and is split.
+    reached = stored(roots.join(carried, "digest").groupBy("root").agg(least), "reached")
+    linked = roots.join(reached, "root").select("digest", "reached")
+    labels = carried.join(linked, "digest", "left")
     labels = stored(labels.select("digest", F.coalesce("reached", "least").alias("component_id")), "labels")
     rows = sets.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
     own = F.coalesce("component_id", "doc_id").alias("component_id")

@@ -59,7 +59,7 @@ def test_any_boundary_gives_the_same(spark, monkeypatch, most):
 
 
 def test_many_hub_rounds_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "_HUBS", 1)
+    monkeypatch.setattr(ngram_join, "_HUBS", 2)
     rows = varied(3, [40] * 4, 25)
     assert found(spark, rows, 4, 85) == expected(rows, 4, 85)
 

@@ -35,8 +35,9 @@ def fetch_outcomes(attempts: DataFrame, areas: DataFrame) -> DataFrame:
     attempts (page_id, url, attempt, at_ms, status, error); areas as from
     `content_area`. Outcomes: success, http_error, no_content, exception.
     """
-    last = attempts.groupBy("page_id", "url").agg(
-        F.max_by(F.struct("status", "error", "at_ms"), F.col("attempt")).alias("_last")
+    # One layout for the group and the join: a page has one URL.
+    last = attempts.groupBy("page_id").agg(
+        F.max_by(F.struct("url", "status", "error", "at_ms"), F.col("attempt")).alias("_last")
     )
     joined = last.join(areas.select("page_id", F.col("error").alias("_area")), "page_id", "left")
     status, text = F.col("_last")["status"], F.col("_last")["error"]
@@ -54,7 +55,7 @@ def fetch_outcomes(attempts: DataFrame, areas: DataFrame) -> DataFrame:
     )
     return joined.select(
         "page_id",
-        "url",
+        "_last.url",
         outcome.alias("outcome"),
         error.alias("error"),
         F.col("_last")["at_ms"].alias("done_ms"),

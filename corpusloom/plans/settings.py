@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.layout import computed
 from corpusloom.functions.text import js_trim
-from corpusloom.functions.urls import domain
+from corpusloom.functions.urls import domain, origin
 
 # Defaults and the modes a job may ask for.
 DEFAULT_CONTENT = "body"
@@ -65,9 +65,11 @@ def apply_mode(jobs: DataFrame) -> DataFrame:
     """Make follow_selector and use_manifest agree with `mode`; `error` instead of failing.
 
     single: neither links nor manifest; follow: no manifest, a selector is a must;
-    auto (also NULL): as set.
+    auto (also NULL): as set. An entry page must have a URL with a host.
     """
     mode = F.coalesce("mode", F.lit("auto"))
+    # Settings alone, without entry pages, are fine too.
+    url = F.col("base_url") if "base_url" in jobs.columns else F.lit("https://unnamed")
     selector = F.col("follow_selector")
     has_selector = F.coalesce(selector, F.lit("")) != ""
     return jobs.withColumns(
@@ -79,6 +81,8 @@ def apply_mode(jobs: DataFrame) -> DataFrame:
             ),
             "error": F.when(~mode.isin(MODES), F.concat(F.lit("unknown mode: "), mode)).when(
                 (mode == "follow") & ~has_selector, "follow mode needs a follow selector"
+            ).when(
+                origin(url).isNull(), F.concat(F.lit("invalid entry URL: "), F.coalesce(url, F.lit("")))
             ),
         }
     )

@@ -33,9 +33,11 @@ SITE_CONFIG = T.StructType(
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages from parquet; unused columns are not read.
 
-    A table without status or captured_at gives NULLs there: answered, time unknown.
+    Status and captured_at are there where the table records them.
     """
-    return spark.read.schema(PAGES).parquet(path)
+    rows = spark.read.parquet(path)
+    fields = [f for f in PAGES.fields if f.name in rows.columns]
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def write_clustered_pages(pages: DataFrame, table: str, buckets: int) -> None:
@@ -53,9 +55,9 @@ def write_clustered_pages(pages: DataFrame, table: str, buckets: int) -> None:
 
 
 def captured(pages: DataFrame) -> DataFrame:
-    """Add `ok`; captures without a recorded status count as answered."""
+    """Add `ok`; where no status is recorded at all, captures count as answered."""
     if "status" in pages.columns:
-        return pages.withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(True)))
+        return pages.withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
     return pages.withColumn("ok", F.lit(True))
 
 

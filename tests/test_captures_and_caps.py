@@ -10,6 +10,7 @@ from corpusloom.operators.bodies import lookup_manifests, pick_body
 from corpusloom.operators.links import extract_links
 from corpusloom.operators.tokens import attribute, page_tokens
 from corpusloom.plans.build import build_documents, plan_jobs
+from corpusloom.plans.settings import apply_mode
 from corpusloom.plans.crawl import checked_selectors, followed_pages, selectors_in_use, taken_pages
 from corpusloom.sources.captures import captured, read_pages
 from corpusloom.sources.corpus import corpus_documents
@@ -152,6 +153,15 @@ def test_repeated_captures_give_each_document_once(spark):
     assert all(r.body for r in docs)
 
 
+@pytest.mark.parametrize(
+    ("url", "error"),
+    [("https://a.com/x", None), ("nonsense", "invalid entry URL: nonsense"), (None, "invalid entry URL: "), ("https://a:99999/", "invalid entry URL: https://a:99999/")],
+)
+def test_entry_urls(spark, url, error):
+    kind = "base_url string, mode string, follow_selector string, use_manifest boolean"
+    assert apply_mode(spark.createDataFrame([(url, None, None, None)], kind)).first().error == error
+
+
 def test_equal_order_is_settled_by_site_and_url(spark):
     rows = [(1, s, f"https://{s}.com/", "T", f"body {s}", "d.com") for s in "cab"]
     df = spark.createDataFrame(rows, "ord int, site string, url string, title string, body string, domain string")

@@ -15,7 +15,7 @@ def test_js_trim(spark):
 
 
 SLUGS = {
-    "API > Bun.Glob": "api_bun_glob",
+    "Guide > Big.Table": "guide_big_table",
     "a_b": "ab",
     "中文": "",
     "a b": "a_b",

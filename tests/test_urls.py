@@ -52,8 +52,8 @@ def test_resolve(spark):
 
 
 DOMAINS = [
-    ("https://www.bun.com/docs", "bun.com"),
-    ("https://WWW.Bun.com:8080/docs", "bun.com"),
+    ("https://www.site.com/docs", "site.com"),
+    ("https://WWW.Site.com:8080/docs", "site.com"),
     ("https://wwwx.com", "wwwx.com"),
     ("https://docs.www.com/", "docs.www.com"),
     ("http://a_b.com/x", "a_b.com"),

@@ -83,6 +83,29 @@ def probe_native_md(pages: DataFrame, md_bodies: DataFrame) -> DataFrame:
     )
 
 
+def _full_bodies(full: DataFrame) -> DataFrame:
+    """(url, _full): the cleaned full text of each URL; of several captures the newest answered."""
+    last = F.max_by("body", newest(full, "body")).alias("body")
+    answered = full.where(is_ok(F.col("status"))).groupBy("url").agg(last)
+    return computed(answered, _full=clean_full_content(F.col("body"))).drop("body")
+
+
+def pages_left_to_html(
+    plan: DataFrame, full: DataFrame, native: DataFrame, use_native: bool | str = True
+) -> DataFrame:
+    """page_id of planned pages without a full or native body: only those need conversion.
+
+    Takes what `pick_body` takes; decided on ids and URLs, no body moves for it.
+    """
+    native_on = F.col(use_native) if isinstance(use_native, str) else F.lit(use_native)
+    is_full = F.col("is_full_content")
+    there = _full_bodies(full).where(F.col("_full") != "").select("url")
+    emptied = plan.where(is_full).join(there, "url", "left_anti").select("page_id")
+    others = plan.where(~is_full).select("page_id", native_on.alias("_on"))
+    asked = others.where("_on").join(native.select("page_id"), "page_id", "left_anti")
+    return emptied.union(asked.select("page_id")).union(others.where(~F.col("_on")).select("page_id"))
+
+
 def pick_body(
     plan: DataFrame,
     full: DataFrame,
@@ -99,10 +122,7 @@ def pick_body(
     page.
     """
     native_on = F.col(use_native) if isinstance(use_native, str) else F.lit(use_native)
-    # Of several captures of one text the newest answered one counts.
-    last = F.max_by("body", newest(full, "body")).alias("body")
-    answered = full.where(is_ok(F.col("status"))).groupBy("url").agg(last)
-    cleaned = computed(answered, _full=clean_full_content(F.col("body"))).drop("body")
+    cleaned = _full_bodies(full)
     is_full = F.col("is_full_content")
     joined = (
         plan.join(cleaned, "url", "left")

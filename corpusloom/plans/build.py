@@ -7,7 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.bodies import lookup_manifests, pick_body, probe_native_md
+from corpusloom.operators.bodies import (
+    lookup_manifests,
+    pages_left_to_html,
+    pick_body,
+    probe_native_md,
+)
 from corpusloom.operators.manifest import classified_links, manifest_page_links
 from corpusloom.operators.markdown import html_to_markdown
 from corpusloom.operators.selectors import parse_selector
@@ -83,13 +88,16 @@ def build_documents(
     rows = stored(
         plan.join(settings, "site").withColumn("page_id", F.struct("site", "ord")), "planned"
     )
-    html = rows.select("page_id", "content_selector", "url").join(
-        converted_pages(rows, pages, content_selectors), ["content_selector", "url"]
-    )
     asking = rows.where(F.col("use_native_md") & ~F.col("is_full_content"))
     native = probe_native_md(asking.select("page_id", "url"), md_bodies)
+    taken = rows.select("page_id", "url", "is_full_content", "use_native_md")
+    left = pages_left_to_html(taken, full_bodies, native, use_native="use_native_md")
+    to_convert = rows.join(left, "page_id", "left_semi")
+    html = to_convert.select("page_id", "content_selector", "url").join(
+        converted_pages(to_convert, pages, content_selectors), ["content_selector", "url"]
+    )
     picked = pick_body(
-        rows.select("page_id", "url", "is_full_content", "use_native_md"),
+        taken,
         full_bodies,
         native,
         html.select("page_id", "markdown", "error"),

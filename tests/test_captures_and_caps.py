@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.layout import PARTITIONS, spread
 from corpusloom.functions.text import decode_entities
 from corpusloom.functions.urls import hostname, resolve_links
-from corpusloom.operators.bodies import lookup_manifests, pick_body
+from corpusloom.operators.bodies import lookup_manifests, pages_left_to_html, pick_body
 from corpusloom.operators.links import extract_links
 from corpusloom.operators.tokens import attribute, page_tokens
 from corpusloom.plans.build import build_documents, plan_jobs
@@ -162,6 +162,20 @@ def test_entry_urls(spark, url, error):
     assert apply_mode(spark.createDataFrame([(url, None, None, None)], kind)).first().error == error
 
 
+def test_only_pages_without_a_body_are_converted(spark):
+    plan = spark.createDataFrame(
+        [(1, "f", True), (2, "e", True), (3, "n", False), (4, "h", False), (5, "x", True)],
+        "page_id long, url string, is_full_content boolean",
+    )
+    full = spark.createDataFrame([("f", 200, "text"), ("e", 200, "<SYSTEM>s</SYSTEM> "), ("h", 200, "not asked")], "url string, status int, body string")
+    native = spark.createDataFrame([(3, "md"), (1, "never")], "page_id long, body string")
+    assert sorted(r.page_id for r in pages_left_to_html(plan, full, native).collect()) == [2, 4, 5]
+    assert sorted(r.page_id for r in pages_left_to_html(plan, full, native, False).collect()) == [2, 3, 4, 5]
+    html = pages(spark, "a", "<p>b</p>").join(pages_left_to_html(plan, full, native), "page_id", "left_semi")
+    planned = page_tokens(html)._jdf.queryExecution().optimizedPlan().toString()
+    assert planned.index("Generate") < planned.index("LeftSemi") < planned.index("LeftAnti")
+
+
 def test_equal_order_is_settled_by_site_and_url(spark):
     rows = [(1, s, f"https://{s}.com/", "T", f"body {s}", "d.com") for s in "cab"]
     df = spark.createDataFrame(rows, "ord int, site string, url string, title string, body string, domain string")

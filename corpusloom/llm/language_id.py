@@ -31,7 +31,7 @@ _STEPS, _PENALTY = 80, 1e-3
 # A second language this close in probability makes an answer ambiguous.
 _CLOSE = 0.2
 # Text bytes and texts counted at once: bounds the memory of one step.
-_SLICE, _ROWS = 4 << 20, 512
+_SLICE, _ROWS = 1 << 20, 512
 
 _IS_LETTER = np.zeros(256, dtype=bool)
 _IS_LETTER[65:91] = _IS_LETTER[97:123] = True
@@ -112,13 +112,15 @@ def _counted(data: np.ndarray, begin: int, at: int, offsets: np.ndarray, rows: i
 
 def has_letter(column) -> np.ndarray:
     """Whether each text holds any letter of any script."""
-    data, offsets = flat(column)
-    seen = np.concatenate(([0], np.cumsum(_IS_LETTER[data])))[offsets]
-    out = np.diff(seen) > 0
-    for row in np.flatnonzero(~out & (np.diff(offsets) > 0)):
-        text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
-        out[row] = any(c.isalpha() for c in text)
-    return out
+    found = [np.zeros(0, dtype=bool)]
+    for data, offsets in _slices(column):
+        seen = np.concatenate(([0], np.cumsum(_IS_LETTER[data], dtype=np.int32)))[offsets]
+        out = np.diff(seen) > 0
+        for row in np.flatnonzero(~out & (np.diff(offsets) > 0)):
+            text = data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
+            out[row] = any(c.isalpha() for c in text)
+        found.append(out)
+    return np.concatenate(found)
 
 
 @dataclass(frozen=True)

@@ -238,12 +238,12 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def _probabilities(chain: list[Model], column) -> np.ndarray:
-    """A row per text, a column per category."""
+def _probabilities(chain: list[Model], column) -> tuple[np.ndarray, np.ndarray]:
+    """A row per text with a column per category, and whether each text has no words."""
     every = distinct(np.concatenate([m.chosen for m in chain]))
     place = np.full(1 << _BITS, -1, dtype=np.int16)
     place[every] = np.arange(len(every))
-    out = []
+    out, blank = [np.zeros((0, len(chain)))], [np.zeros(0, dtype=bool)]
     for _, row, feature, words in features(column):
         at = place[feature]
         hit = np.flatnonzero(at >= 0)
@@ -254,7 +254,8 @@ def _probabilities(chain: list[Model], column) -> np.ndarray:
         for model in chain:
             earlier.append(model.probability(values[:, np.searchsorted(every, model.chosen)], earlier))
         out.append(np.column_stack(earlier))
-    return np.concatenate(out) if out else np.zeros((0, len(chain)))
+        blank.append(words == 0)
+    return np.concatenate(out), np.concatenate(blank)
 
 
 def scored(docs: DataFrame, chain: list[Model], categories: list[str]) -> DataFrame:
@@ -284,9 +285,7 @@ def _judged(models: list[Model], column, categories: int) -> tuple[list[np.ndarr
     if not models:
         none = np.full(len(column), np.nan)
         return [none] * categories, [np.zeros(len(column), dtype=bool)] * categories
-    p = _probabilities(models, column)
-    data, offsets = flat(column)
-    blank = np.diff(Words(data, offsets).first) == 0
+    p, blank = _probabilities(models, column)
     return list(p.T), [(p[:, k] >= m.threshold) & ~blank for k, m in enumerate(models)]
 
 

@@ -137,7 +137,6 @@ class Codes:
         """Index of the language, its probability and whether it is ambiguous, per row."""
         margins = x @ self.weights + self.bias
         losses = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust
-        # Losses add up over bits that say much the same; their mean is the scale.
         chance = np.exp(-(losses - losses.min(1, keepdims=True)))
         chance /= chance.sum(1, keepdims=True)
         best = losses.argmin(1)
@@ -190,7 +189,6 @@ def train(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Codes | N
     Each language gives up to an equal part, by the hash of the id. Texts without a
     letter and rows without a language teach nothing. None if no row is left.
     """
-    # A third of the ids' hash range would do as well: only narrow columns are sampled.
     known = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:

@@ -285,8 +285,9 @@ def native_md_filter(i: Inputs) -> DataFrame:
 @_register
 def pick_body(i: Inputs) -> DataFrame:
     native = bodies.probe_native_md(i.derived("sheets"), i.derived("md_bodies"))
+    native = stored(native, "native")  # asked twice: who has one, and which
     plan, full = i.derived("planned"), i.derived("full_bodies")
-    left = bodies.pages_left_to_html(plan, full, native)
+    left = stored(bodies.pages_left_to_html(plan, full, native), "left-to-html")
     html = html_to_markdown(i.pages.join(left, "page_id", "left_semi"), "article")
     picked = bodies.pick_body(plan, full, native, html)
     return picked.select("page_id", "url", "source", "body")

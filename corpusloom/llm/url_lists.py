@@ -16,8 +16,6 @@ from corpusloom.functions.layout import computed
 
 # Days per period: an entry is joined once for each period in which it is active.
 PERIOD_DAYS = 32
-# Domain labels and path segments of a URL that entries may name.
-MAX_LABELS, MAX_SEGMENTS = 6, 4
 
 
 def validity(changes: DataFrame) -> DataFrame:
@@ -39,28 +37,39 @@ def validity(changes: DataFrame) -> DataFrame:
     return spans.where("action <> 'remove'").select("list", "target", "action", "valid_from", "valid_to")
 
 
-def url_targets(url: Column) -> Column:
-    """Targets that cover a URL, most specific first: path prefixes, host, parents."""
+def url_targets(
+    url: Column, depths: Column | None = None, sizes: Column | None = None, top_level: bool = False
+) -> Column:
+    """Targets that cover a URL, most specific first: path prefixes, host, parents.
+
+    All of them, however long the path or the host is. `depths` and `sizes` (falling
+    numbers of path segments and of domain labels) leave only the prefixes and parents
+    that have so many; the host always stays. A parent of one label, such as a top-level
+    domain, is among them only with `top_level`.
+    """
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     path = F.regexp_extract(url, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
     labels = F.split(host, r"\.")
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    count = F.least(F.size(segments), F.lit(MAX_SEGMENTS))
+    least = 1 if top_level else 2
     prefixes = F.transform(
-        F.when(count > 0, F.sequence(count, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")),
+        _falling(depths, F.lit(1), F.size(segments)),
         lambda n: F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(segments, 1, n), "/"))),
     )
-    size = F.size(labels)
-    first = F.greatest(F.lit(1), size - MAX_LABELS + 1)
-    last = F.greatest(first, size - 1)
     parents = F.transform(
-        F.sequence(first, last), lambda n: F.array_join(F.slice(labels, n, size), ".")
+        _falling(sizes, F.lit(least), F.size(labels) - 1), lambda n: F.array_join(F.slice(labels, -n, n), ".")
     )
-    exact = F.array_distinct(F.concat(prefixes, F.array(host), parents))
-    return F.when(host != "", exact).otherwise(F.array().cast("array<string>"))
+    return F.when(host != "", F.concat(prefixes, F.array(host), parents)).otherwise(F.array().cast("array<string>"))
+
 
+def _falling(numbers: Column | None, first: Column, last: Column) -> Column:
+    """`numbers`, by default all, that are between the two, largest first."""
+    if numbers is not None:
+        return F.filter(numbers, lambda n: (n >= first) & (n <= last))
+    return F.when(first <= last, F.sequence(last, first, F.lit(-1))).otherwise(F.array().cast("array<int>"))
 
-def judged(captures: DataFrame, changes: DataFrame) -> DataFrame:
+
+def judged(captures: DataFrame, changes: DataFrame, top_level: bool = False) -> DataFrame:
     """Per row of `captures` (page_id, url, fetched): the verdict of the lists that day.
 
     Returns page_id, fetched, action ('block', 'allow' or null if no entry was active),
@@ -69,14 +78,24 @@ def judged(captures: DataFrame, changes: DataFrame) -> DataFrame:
     among equals block goes before allow, then the least list name. A null or
     unparsable url and a null day match nothing. page_id tells rows apart: rows that
     repeat it are judged together if url and day are equal too, and give one row each.
-    Other columns are not looked at; no rows give no rows.
+    Other columns are not looked at; no rows give no rows. Entries may name any number of
+    path segments and domain labels; one on a bare top-level domain covers the hosts
+    below it only with `top_level`, and else just a host of that name.
 
-    Both sides are keyed by target and period of days, so that a host with very many
+    A URL is keyed by those prefixes and parents whose length occurs among the entries,
+    so that a very long path does not grow with the square of its length. Both sides are keyed by target and period of days, so that a host with very many
     captures is split by time, and further by adaptive execution.
     """
     day = F.col("fetched").cast("date")
     rows = captures.select("page_id", "url", day.alias("fetched"))
-    keyed = computed(rows.distinct(), targets=url_targets(F.col("url")))
+    target = F.regexp_replace(F.lower("target"), "/+$", "")
+    named = changes.select(
+        (F.size(F.split(target, "/")) - 1).alias("depth"),
+        F.when(~F.contains(target, F.lit("/")), F.size(F.split(target, r"\."))).alias("size"),
+    )
+    lengths = named.agg(*[F.sort_array(F.collect_set(c), asc=False).alias(f"{c}s") for c in ("depth", "size")])
+    keyed = rows.distinct().crossJoin(F.broadcast(lengths))  # one row of two short arrays
+    keyed = computed(keyed, targets=url_targets(F.col("url"), F.col("depths"), F.col("sizes"), top_level))
     keyed = keyed.select("page_id", "url", "fetched", F.posexplode("targets").alias("depth", "target"))
     keyed = keyed.withColumn("period", _period(F.col("fetched")))
 

@@ -82,3 +82,21 @@ def test_hot_host_is_keyed_by_time(spark):
     rows = [(k, "https://hot.example/", k % 700) for k in range(2000)]
     plan = judged(captures(spark, rows), changes(spark, [("l", "hot.example", 1, "block")]))
     assert plan.where("action = 'block'").count() == sum(k % 700 >= 1 for k in range(2000))
+
+
+def test_long_paths_and_hosts(spark):
+    deep, host = "/".join("abcdefg"), ".".join("klmnopqrs") + ".example"
+    rows = [(1, f"https://a.example/{deep}", 5), (2, f"https://{host}/x", 5), (3, "https://b.example/" + "s/" * 20_000, 5)]
+    dated = [("l", "a.example/A/b/c/d/e/", 0, "block"), ("l", "a.example/a/b/c/d", 0, "allow"), ("l", "l.m.n.o.p.q.r.s.example", 0, "block"),
+             ("l", "m.n.o.p.q.r.s.example", 0, "allow"), ("l", "b.example" + "/s" * 20_000, 0, "block")]
+    got = sorted((r.page_id, r.action, r.target, r.active) for r in judged(captures(spark, rows), changes(spark, dated)).collect())
+    assert [g[:2] + g[3:] for g in got] == [(1, "block", 2), (2, "block", 2), (3, "block", 1)]
+    assert [g[2] for g in got] == ["a.example/a/b/c/d/e", "l.m.n.o.p.q.r.s.example", "b.example" + "/s" * 20_000]
+    every = spark.range(1).select(url_targets(F.lit(f"https://{host}/{deep}"))).first()[0]
+    assert every == [f"{host}/{deep[:n]}" for n in range(13, 0, -2)] + [host[n:] for n in range(0, 18, 2)]
+
+
+def test_top_level_domains(spark):
+    rows, dated = [(1, "https://www.a.example/x", 5), (2, "https://example/", 5)], [("l", "example", 0, "block")]
+    seen = [sorted((r.page_id, r.active) for r in judged(captures(spark, rows), changes(spark, dated), **k).collect()) for k in ({}, {"top_level": True})]
+    assert seen == [[(1, 0), (2, 1)], [(1, 1), (2, 1)]]

@@ -74,7 +74,8 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
     """Conversations in which assistants call tools and the next user turn is the result.
 
     Names, arguments and what a call waits for follow from the texts; some arguments
-    break their schema, some calls name no known tool, some results answer no call.
+    break their schema, some calls name no known tool, some results answer no call. In
+    half of the conversations the numbers of the ids start again every four turns.
     """
     words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
     lot = drawn(F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "text"), 60)
@@ -90,7 +91,12 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
             (F.col("lot") % 4).cast("double").alias("retries"),
         )
     )
-    turn = F.col("turn").cast("string")
+    again = drawn(F.concat(F.lit("ids "), F.col("conv_id").cast("string")), 2) == 0
+
+    def number(turn: Column) -> Column:
+        return F.when(again, F.pmod(turn, F.lit(4))).otherwise(turn).cast("string")
+
+    turn = number(F.col("turn"))
 
     def call(suffix: str, name: Column, arguments: Column, after: Column) -> Column:
         return F.struct(
@@ -98,11 +104,11 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
             name.alias("name"), arguments.alias("arguments"), after.alias("after"),
         )
 
-    before = F.when(F.col("lot") % 2 == 0, F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string")))
+    before = F.when(F.col("lot") % 2 == 0, F.concat(F.lit("call-"), number(F.col("turn") - 2)))
     first = call("", F.when(F.col("lot") % 11 == 0, "guess").otherwise("search"), search, before)
     second = call("-b", F.lit("fetch"), fetch, F.concat(F.lit("call-"), turn))
     calls = F.when(F.col("lot") % 3 == 0, F.array(first, second)).otherwise(F.array(first))
-    answers = F.when(F.col("turn") > 0, F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")))
+    answers = F.when(F.col("turn") > 0, F.concat(F.lit("call-"), number(F.col("turn") - 1)))
     return rows.select(
         "conv_id", "turn", "text",
         F.when(F.col("role") == "assistant", calls).alias("calls"),

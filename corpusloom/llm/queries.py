@@ -75,7 +75,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = derived.tool_messages(_table(spark, sf_dir, "conversations"))
-    return linked_calls(messages, derived.TOOLS)
+    return linked_calls(messages, derived.TOOLS, every=True)
 
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

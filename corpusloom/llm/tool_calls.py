@@ -6,8 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.sources.scratch import stored
 
@@ -109,7 +110,68 @@ def _levels(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
-def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def _by_turn() -> tuple[Column, Column]:
+    """Sort keys: a message's turn, messages without one last."""
+    return F.col("turn").isNull(), F.col("turn")
+
+
+def _waits(calls: DataFrame) -> DataFrame:
+    """`calls` with `wanted`: which of the calls named `after` each waits for.
+
+    The last one before the call, or else the first. Only references to ids that repeat
+    are sorted with them, so an id that is not repeated may have any number of them.
+    """
+    several = calls.where("nth = 2").select("key", F.col("call_id").alias("after"), F.lit(True).alias("several"))
+    calls = calls.join(several, ["key", "after"], "left")
+    plain = calls.where("several IS NULL").withColumn("wanted", F.lit(1)).drop("several")
+    refer = calls.where("several").drop("several")
+    named = calls.where("call_id IS NOT NULL").join(
+        several.select("key", F.col("after").alias("call_id")), ["key", "call_id"], "left_semi"
+    )
+    marks = named.select("key", F.col("call_id").alias("id"), "turn", "place", F.lit(1).alias("kind"), "nth", F.lit(None).alias("row"))
+    row = F.struct(*[c for c in refer.columns])
+    marks = marks.unionByName(
+        refer.select("key", F.col("after").alias("id"), "turn", "place", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("nth"), row.alias("row"))
+    )
+    order = Window.partitionBy("key", "id").orderBy(*_by_turn(), "place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("wanted", F.coalesce(F.last("nth", ignorenulls=True).over(order), F.lit(1)))
+    return plain.unionByName(marks.where("kind = 0").select("row.*", "wanted"))
+
+
+def _paired(calls: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every call and every result once, those of one id that belong together in one row.
+
+    A result goes to the calls in the last turn before it that has any of its id, in
+    turn; what is left on both sides is paired in turn as well.
+    """
+    call = F.struct(*[c for c in calls.columns if c not in ("key", "call_id")])
+    none = F.lit(None)
+    answer = F.struct("conv_id", "turn", "text")
+    calls = calls.select("key", "call_id", "turn", F.lit(True).alias("is_call"), call.alias("call"))
+    answers = answers.select("key", F.col("answers").alias("call_id"), "turn", F.lit(False).alias("is_call"), answer.alias("answer"))
+    events = calls.withColumn("answer", none).unionByName(answers.withColumn("call", none))
+
+    same = Window.partitionBy("key", "call_id")
+    order = ("is_call", *_by_turn(), "call.nth", "answer.text")
+    so_far = same.orderBy(*_by_turn(), "is_call").rowsBetween(Window.unboundedPreceding, 0)
+    block = F.when(F.col("is_call"), F.col("turn")).otherwise(F.last(F.when(F.col("is_call"), F.col("turn")), ignorenulls=True).over(so_far))
+    events = events.withColumn("block", block).withColumn("known", F.max("is_call").over(same))
+    events = events.withColumn("k", F.row_number().over(Window.partitionBy("key", "call_id", "block", "is_call").orderBy(*order[1:])))
+    both = [F.first("call", ignorenulls=True).alias("call"), F.first("answer", ignorenulls=True).alias("answer"), F.first("known").alias("known")]
+    pairs = events.groupBy("key", "call_id", "block", "k").agg(*both).drop("block", "k")
+    whole = F.col("call").isNotNull() & F.col("answer").isNotNull()
+    turn = F.coalesce("call.turn", "answer.turn")
+    pairs = pairs.withColumns({"whole": whole, "is_call": F.col("call").isNotNull(), "turn": turn})
+    k = F.row_number().over(Window.partitionBy("key", "call_id", "whole", "is_call").orderBy(*order[1:]))
+    pairs = pairs.withColumn("k", k).groupBy("key", "call_id", "whole", "k", F.when(F.col("whole"), F.col("call.nth")).alias("nth"))
+    return pairs.agg(*both).select(
+        "key", "call_id", "call.*", F.col("call").isNotNull().alias("called"), F.col("answer.conv_id").alias("answer_conv"),
+        F.col("answer.turn").alias("answer_turn"), F.col("answer.text").alias("result"),
+        F.when(F.col("answer").isNotNull(), True).alias("answered"), "known",
+    ).withColumn("called", F.when(F.col("called"), True))
+
+
+def linked_calls(messages: DataFrame, schemas: dict[str, dict], every: bool = False) -> DataFrame:
     """A row per tool call, and per result without a call.
 
     `messages` has conv_id, turn, text, calls (array of struct id, name, arguments,
@@ -118,12 +180,19 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     conversation are in order by (level, turn, place): a call comes after the one whose
     result it needs.
 
-    Of calls that share an id in a conversation, and of results that share one, the
-    first counts (by turn, place). status is answered, early (the result's turn is not
-    after the call's), unanswered or orphan (a result only). A call without an id is
+    With `every`, calls and results that share an id in a conversation each give a row, as
+    where ids start again in every turn. A result then belongs to the calls in the last
+    turn before it that has any of its id, in turn, and else to one still without a
+    result; results left over are duplicate. A call waits for the last call of that id
+    before it, or else for the first. The repeats of one id in one conversation are sorted
+    by one task. Without `every` only the first call and the first result of an id count
+    (by turn, place), and later ones give no row.
+
+    status is answered, early (the result's turn is not after the call's), unanswered,
+    orphan (a result only) or duplicate. A call without an id is
     unanswered and has none. level is null where calls wait for each other in a circle;
     waiting for a call that does not exist is waiting for none. valid is null for
-    orphans; unknown tools and arguments that are no JSON object are invalid; errors
+    results only; unknown tools and arguments that are no JSON object are invalid; errors
     lists why. record is canonical JSON of call and result; arguments that are no JSON stay
     a string in it. Messages without calls and answers give nothing. Conversations of
     any length are spread by call; none is gathered.
@@ -134,27 +203,37 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         "key", "conv_id", "turn", "place", F.col("call.id").alias("call_id"), "call.name", "call.arguments", "call.after"
     )
     unnamed = calls.where("call_id IS NULL").drop("key")
-    head = F.min(F.struct(F.col("turn").isNull(), "turn", "place", "name", "arguments", "after")).alias("first")
-    calls = calls.where("call_id IS NOT NULL").groupBy("key", "conv_id", "call_id").agg(head)
-    calls = calls.select(
-        "key", "conv_id", "call_id", "first.turn", "first.place", "first.name", "first.arguments", "first.after"
-    )
-    calls = stored(calls, "calls")
+    calls = calls.where("call_id IS NOT NULL")
     answers = messages.where("answers IS NOT NULL").select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"), "conv_id", "turn", "text", "answers"
     )
-    head = F.min(F.struct(F.col("turn").isNull(), "turn", "text")).alias("first")
-    answers = answers.groupBy("key", "conv_id", F.col("answers").alias("call_id")).agg(head)
-    answers = answers.select(
-        "key", F.col("conv_id").alias("answer_conv"), "call_id", F.col("first.turn").alias("answer_turn"),
-        F.col("first.text").alias("result"), F.lit(True).alias("answered"),
-    )
+    if every:
+        order = Window.partitionBy("key", "call_id").orderBy(*_by_turn(), "place", "name", "arguments", "after")
+        calls = _waits(stored(calls.withColumn("nth", F.row_number().over(order)), "calls"))
+    else:
+        head = F.min(F.struct(F.col("turn").isNull(), "turn", "place", "name", "arguments", "after")).alias("first")
+        calls = calls.groupBy("key", "conv_id", "call_id").agg(head)
+        calls = calls.select(
+            "key", "conv_id", "call_id", "first.turn", "first.place", "first.name", "first.arguments", "first.after",
+            F.lit(1).alias("nth"), F.lit(1).alias("wanted"),
+        )
+        head = F.min(F.struct(F.col("turn").isNull(), "turn", "text")).alias("first")
+        answers = answers.groupBy("key", "conv_id", "answers").agg(head)
+        answers = answers.select("key", "conv_id", "answers", "first.turn", "first.text")
+    calls = stored(calls, "calls")
 
-    levels = _levels(calls.drop("conv_id").withColumnRenamed("key", "conv_id")).withColumnRenamed("conv_id", "key")
-    calls = calls.join(levels, ["key", "call_id"])
-    rows = calls.withColumn("called", F.lit(True)).join(answers, ["key", "call_id"], "full")
+    item, wanted = F.struct(F.col("call_id").alias("id"), "nth"), F.struct(F.col("after").alias("id"), F.col("wanted").alias("nth"))
+    waiting = calls.select(F.col("key").alias("conv_id"), item.alias("call_id"), F.when(F.col("after").isNotNull(), wanted).alias("after"))
+    levels = _levels(waiting).select(F.col("conv_id").alias("key"), "call_id.id", "call_id.nth", "level").withColumnRenamed("id", "call_id")
+    calls = calls.drop("wanted").join(levels, ["key", "call_id", "nth"])
+    if every:
+        rows = _paired(calls, answers)
+    else:
+        answers = answers.toDF("key", "answer_conv", "call_id", "answer_turn", "result").withColumn("answered", F.lit(True))
+        rows = calls.withColumn("called", F.lit(True)).join(answers, ["key", "call_id"], "full").withColumn("known", F.col("called"))
     status = (
-        F.when(F.col("called").isNull(), "orphan")
+        F.when(F.col("called").isNull() & F.col("known"), "duplicate")
+        .when(F.col("called").isNull(), "orphan")
         .when(F.col("answered").isNull(), "unanswered")
         .when(F.col("answer_turn") <= F.col("turn"), "early")
         .otherwise("answered")
@@ -177,7 +256,7 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 def _records(schemas: dict[str, dict]):
     def record(row: dict) -> tuple[bool | None, list[str], str]:
         errors, arguments = [], row["arguments"]
-        if row["status"] == "orphan":
+        if row["status"] in ("orphan", "duplicate"):
             out = {"conv_id": row["conv_id"], "id": row["call_id"], "result": row["result"]}
             return None, errors, canonical(out)
         try:

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import derived, queries
 from corpusloom.llm.tool_calls import canonical, linked_calls, parsed, violations
 
 KIND = (
@@ -116,3 +117,82 @@ def test_canonical():
 )
 def test_violations(value, schema, count):
     assert len(violations(value, schema)) == count
+
+
+def brute_force_of_every(rows):
+    """Replay: a result goes to the last turn's open calls of its id, else to any open one."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        calls = [[turn, place, *c] for _, turn, _, made, _ in mine for place, c in enumerate(made or [])]
+        results = [(turn, text, answers) for _, turn, text, _, answers in mine if answers is not None]
+        link, rest = {}, []
+        for k, (turn, _, name) in enumerate(results):
+            last = max((c[0] for c in calls if c[2] == name and c[0] < turn), default=None)
+            free = [j for j, c in enumerate(calls) if c[2] == name and c[0] == last and j not in link]
+            link.update({free[0]: k}) if free else rest.append(k)
+        for k in list(rest):
+            free = [j for j, c in enumerate(calls) if c[2] == results[k][2] and j not in link]
+            if free:
+                link[free[0]] = k
+                rest.remove(k)
+
+        def wanted(j):
+            named = [i for i, c in enumerate(calls) if c[2] == calls[j][5]]
+            return next((i for i in reversed(named) if i < j), named[0] if named else None)
+
+        for j, (turn, place, name, tool, _, _) in enumerate(calls):
+            level, seen, at = 0, {j}, wanted(j)
+            while level is not None and at is not None:
+                level = None if at in seen else level + 1
+                seen.add(at)
+                at = wanted(at)
+            state = "unanswered" if j not in link else "early" if results[link[j]][0] <= turn else "answered"
+            out.append((conv, name, turn, place, tool, state, level, results[link[j]][1] if j in link else None))
+        for k in rest:
+            turn, text, name = results[k]
+            out.append((conv, name, turn, None, None, "duplicate" if any(c[2] == name for c in calls) else "orphan", None, text))
+    return sorted(out, key=str)
+
+
+def run_every(spark, rows):
+    got = linked_calls(spark.createDataFrame(rows, KIND), SCHEMAS, every=True).collect()
+    return sorted(((*r[:7], json.loads(r.record)["result"]) for r in got), key=str)
+
+
+def test_every_call_and_result_is_a_row(spark):
+    rng = random.Random(4)
+    rows = []
+    for conv in range(12):
+        length = 150 if conv == 0 else rng.randrange(1, 14)
+        names = [f"c{k}" for k in range(40 if conv == 0 else 3)]
+        for turn in range(length):
+            calls = [(rng.choice(names), "f", f'{{"x":{turn}}}', rng.choice([None, *names])) for _ in range(rng.randrange(3))]
+            rows.append((conv, turn, f"t{turn}", calls, rng.choice([None, *names, "lost"])))
+    got = run_every(spark, rows)
+    assert got == brute_force_of_every(rows)
+    assert {"answered", "early", "unanswered", "orphan", "duplicate"} == {r[5] for r in got}
+
+
+def test_ids_that_start_again_each_turn(spark):
+    rows = [(1, 1, "", [("call_0", "f", '{"x":1}', None)], None), (1, 3, "", [("call_0", "f", '{"x":3}', "call_0"), ("call_1", "f", '{"x":-4}', "call_0")], None),
+            (1, 4, "four", None, "call_0"), (1, 5, "again", None, "call_1"), (1, 6, "more", None, "call_1")]
+    assert run_every(spark, rows) == [
+        (1, "call_0", 1, 0, "f", "unanswered", 0, None), (1, "call_0", 3, 0, "f", "answered", 1, "four"),
+        (1, "call_1", 3, 1, "f", "answered", 2, "again"), (1, "call_1", 6, None, None, "duplicate", None, "more"),
+    ]
+    odd = [(3, 1, "t", [("a", "f", "{}", None)] * 2, None), (None, None, "t", [("z", "f", "{}", "z"), (None, "f", "{}", None)], "z")]
+    assert [r[:7] for r in run_every(spark, odd)] == sorted(
+        [(3, "a", 1, 0, "f", "unanswered", 0), (3, "a", 1, 1, "f", "unanswered", 0),
+         (None, "z", None, 0, "f", "answered", None), (None, None, None, 1, "f", "unanswered", 0)], key=str
+    )
+    assert run_every(spark, []) == []
+
+
+def test_registered_query_keeps_repeated_ids(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    messages = derived.tool_messages(conversations)
+    calls = messages.select("conv_id", "turn", F.posexplode("calls"))
+    got = queries.registered()["op8_tool_calls"](spark, "/root/testdata/sf0.001").where("place IS NOT NULL").collect()
+    assert sorted((r.conv_id, r.turn, r.place) for r in got) == sorted((r.conv_id, r.turn, r.pos) for r in calls.collect())
+    assert len({(r.conv_id, r.call_id) for r in got}) < len(got)

@@ -94,17 +94,19 @@ def write_archive(pages: DataFrame, path: str, date: str, min_bytes: int = 0) ->
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Records of an archive, rebuilt: warc, http (exact header text), payload, digest.
 
-    `payload` is the full payload, also of a revisit. Digest and length are taken anew
-    from the payload and must equal what the record's headers say, or the read fails.
+    `payload` is the full payload, also of a revisit. Digests and length are taken anew
+    from the payload and must equal the SHA-256 it lies under and what the record's
+    headers say, or the read fails.
     """
     headers = spark.read.parquet(f"{path}/headers")
     objects = spark.read.parquet(f"{path}/objects")
-    records = computed(headers.join(objects, "digest", "left"), sha1=base32_sha1(F.col("payload")))
+    filed = F.unhex(F.sha2("payload", 256)) == F.col("digest")
+    records = computed(headers.join(objects, "digest", "left"), sha1=base32_sha1(F.col("payload")), filed=filed)
     said = header_field("warc", "WARC-Payload-Digest")
     length = F.regexp_extract("http", r"(?md)^Content-Length: (\d+)\r$", 1).cast("long")
-    sound = (said == F.concat(F.lit("sha1:"), "sha1")) & (length == F.length("payload"))
+    sound = F.col("filed") & (said == F.concat(F.lit("sha1:"), "sha1")) & (length == F.length("payload"))
     bad = F.raise_error(F.concat(F.lit("payload does not match its record: "), "warc"))
-    return records.withColumn("warc", F.when(sound, F.col("warc")).otherwise(bad))
+    return records.withColumn("warc", F.when(sound, F.col("warc")).otherwise(bad)).drop("filed")
 
 
 def header_field(header: str, name: str) -> Column:

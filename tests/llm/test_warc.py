@@ -94,3 +94,12 @@ def test_a_damaged_object_stops_the_read(spark):
     spark.read.parquet(f"{path}/headers").write.parquet(f"{damaged}/headers")
     with pytest.raises(PySparkException, match="does not match"):
         page_records(read_archive(spark, damaged)).collect()
+
+
+def test_an_object_under_a_wrong_key_stops_the_read(spark):
+    path, moved = archived(spark, ROWS[:3]), scratch_path(spark, "warc-test")
+    for table in ("objects", "headers"):
+        rows = spark.read.parquet(f"{path}/{table}")
+        rows.withColumn("digest", F.unhex(F.sha2("digest", 256))).write.parquet(f"{moved}/{table}")
+    with pytest.raises(PySparkException, match="does not match"):
+        page_records(read_archive(spark, moved)).collect()

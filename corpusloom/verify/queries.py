@@ -18,7 +18,7 @@ from corpusloom.operators.tokens import page_nodes, page_tokens
 from corpusloom.plans.build import plan_jobs
 from corpusloom.plans.crawl import crawl_preview
 from corpusloom.plans.settings import apply_mode, effective_config
-from corpusloom.sources.captures import as_site_config
+from corpusloom.sources.captures import as_site_config, read_site_config
 from corpusloom.sources.corpus import list_corpus, read_corpus, write_corpus
 from corpusloom.sources.scratch import scratch_path, stored
 from corpusloom.verify.fixtures import Inputs
@@ -85,7 +85,9 @@ def corpus_listing(i: Inputs) -> DataFrame:
 
 @_register
 def site_config_scan(i: Inputs) -> DataFrame:
-    return as_site_config(i.derived("site_config"))
+    path = scratch_path(i.spark, "site-config")
+    i.derived("site_config").write.json(path)
+    return read_site_config(i.spark, path)
 
 
 # --- URLs and names --------------------------------------------------------------

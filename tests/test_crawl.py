@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans.crawl import crawl_plan, crawl_preview, followed_pages
 from corpusloom.plans.settings import apply_mode, effective_config
 from corpusloom.sources.captures import as_site_config, read_site_config
+from corpusloom.verify.queries import registered
 
 JOB = "site string, base_url string, mode string"
 OVERRIDE = (
@@ -116,3 +117,8 @@ def test_unknown_selector_fails_early(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     with pytest.raises(ValueError):
         followed_pages(jobs, pages, ["a:hover"])
+
+
+def test_site_config_scan_reads_files(spark):
+    names = registered()["site_config_scan"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert names and all(name.endswith(".json") for name in names)

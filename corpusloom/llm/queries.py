@@ -12,9 +12,12 @@ from corpusloom.llm.decontam import leaks
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import mixed, ranked_weights
 from corpusloom.llm.ngram_join import similarity_classes
+from corpusloom.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt_turns
 from corpusloom.llm.sharding import placed
+from corpusloom.llm.suffix_dedup import repeated_spans
 from corpusloom.llm.tool_calls import linked_calls
 from corpusloom.llm.warc import page_records, read_archive, write_archive
+from corpusloom.llm.whitening import whitened
 from corpusloom.sources.scratch import scratch_path
 
 
@@ -88,13 +91,31 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = numbered_turns(_table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    taken = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie(*rebuilt_turns(turns, conv - conv % 5, taken, most=8))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents"), length=200)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_lists, op6_language_id, op7_mixing, op8_tool_calls, op9_warc_archive, op10_ngram_join)
+    found = (
+        op1_toxicity, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_lists, op6_language_id, op7_mixing,
+        op8_tool_calls, op9_warc_archive, op10_ngram_join, op11_whitening, op12_prefix_trie, op13_suffix_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op5_url_lists": _OP5, "op7_mixing": _OP7, "op9_warc_archive": _OP9}
+    return {"op4_exact_dedup": _OP4, "op5_url_lists": _OP5, "op7_mixing": _OP7, "op9_warc_archive": _OP9, "op12_prefix_trie": _OP12}
 
 
 _OP4 = r"""
@@ -196,3 +217,42 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM payloads
 """
+
+# crc32 is folded bit by bit; a node's subtree is all nodes that its path leads on to.
+_OP12 = """
+WITH ids AS (
+  SELECT conv_id, list_reduce(
+           list_prepend(4294967295::UBIGINT, list_transform(range(len(conv_id::VARCHAR)), lambda i: ord((conv_id::VARCHAR)[i + 1])::UBIGINT)),
+           lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda k: 0::UBIGINT)),
+                                      lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))) AS crc,
+         list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+              ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(length(coalesce(role, '')), ' ', coalesce(role, ''), coalesce(text, '')))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), taking AS (
+  SELECT *, (xor(crc, 4294967295::UBIGINT) % 9)::BIGINT AS h FROM ids
+), rebuilt AS (
+  SELECT t.conv_id, list_concat(list_slice(d.own, 1, t.h), list_slice(t.own, t.h + 1, len(t.own))) AS said
+  FROM taking t LEFT JOIN ids d ON d.conv_id = t.conv_id - t.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, len(said) AS total, unnest(range(len(said) + 1)) AS depth, said FROM rebuilt
+), members AS (
+  SELECT conv_id, depth, total, list_slice(said, 1, depth) AS path, CASE WHEN depth > 0 THEN strlen(said[depth].text) ELSE 0 END AS bytes FROM prefixes
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+         list(conv_id ORDER BY conv_id) FILTER (WHERE depth = total) AS ends
+  FROM members GROUP BY path, depth
+), children AS (
+  SELECT list_slice(path, 1, depth - 1) AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path, depth)
+), above AS (
+  SELECT unnest(range(depth + 1)) AS up, path, n_children, saved FROM counted
+), totals AS (
+  SELECT list_slice(path, 1, up) AS path, up AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM above GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens,
+       sha256(coalesce(array_to_string(n.ends, ','), '')) AS ends_sha256
+FROM counted n JOIN totals t USING (path, depth)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = list_slice(n.path, 1, n.depth - 1) AND n.depth > 0
+"""

@@ -27,7 +27,7 @@ def test_matches_sql(spark, name):
 
 def test_entry_registers_all():
     assert set(queries.registered()) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in queries.registered()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.registered()} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_join_equals_brute_force(spark, rows):

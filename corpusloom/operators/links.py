@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.layout import computed
 from corpusloom.functions.text import decode_entities, js_trim, ordered_concat
 from corpusloom.functions.urls import base_parts, resolve_against
+from corpusloom.operators.own_selectors import OwnSelectors, own_tokens
 from corpusloom.operators.selectors import (
     Selector,
     as_selector,
@@ -27,22 +28,31 @@ from corpusloom.operators.tokens import (
 RESOURCE_MARKS = ["_next", "sitemap", "favicon"]
 
 
+def _flagged(
+    pages: DataFrame, selector: str | Selector | OwnSelectors, clustered: bool
+) -> DataFrame:
+    """Tokens that links are made of, with the selected elements marked."""
+    if isinstance(selector, OwnSelectors):
+        return own_tokens(pages, selector, clustered)
+    wanted = as_selector(selector)
+    if needs_pairs(wanted):
+        return flag_matches(pair_for(page_tokens(pages, clustered), wanted), wanted)
+    # Only the named tags decide; the rest need not be sorted.
+    tags = selector_tags(wanted)
+    return flag_matches(page_tokens(pages, clustered, tags | {"a"} if tags else None), wanted)
+
+
 def extract_links(
-    pages: DataFrame, selector: str | Selector, clustered: bool = False
+    pages: DataFrame, selector: str | Selector | OwnSelectors, clustered: bool = False
 ) -> DataFrame:
     """Selected anchors as (page_id, ord, href, title), in document order.
 
     An anchor ends at its close tag or at the next anchor. Anchors without href
-    or text and those pointing at site resources are left out.
+    or text and those pointing at site resources are left out. With `OwnSelectors`,
+    each page is asked by the selector in its key.
     """
-    wanted = as_selector(selector)
     kind = F.col("kind")
-    if needs_pairs(wanted):
-        rows = pair_for(page_tokens(pages, clustered), wanted)
-    else:  # only the named tags decide; the rest need not be sorted
-        tags = selector_tags(wanted)
-        rows = page_tokens(pages, clustered, tags | {"a"} if tags else None)
-    rows = flag_matches(rows, wanted)
+    rows = _flagged(pages, selector, clustered)
 
     link_edge = (F.col("tag") == "a") & kind.isin("open", "close")
     current = F.last(
@@ -73,7 +83,7 @@ def absolute_links(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def follow_links(
     pages: DataFrame,
-    selector: str | Selector,
+    selector: str | Selector | OwnSelectors,
     clustered: bool = False,
     urls: DataFrame | None = None,
 ) -> DataFrame:

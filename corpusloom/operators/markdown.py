@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import decode_entities, js_trim, ordered_concat
 from corpusloom.operators.content import area_tokens, missing_area
 from corpusloom.functions.layout import computed, fixed_rows
+from corpusloom.operators.own_selectors import OwnSelectors
 from corpusloom.operators.tokens import (
     BLOCK_TAGS,
     LIST_TAGS,
@@ -53,7 +54,7 @@ def _escape_target(c: Column) -> Column:
 
 
 def html_to_markdown(
-    pages: DataFrame, selector: str = "body", clustered: bool = False
+    pages: DataFrame, selector: str | OwnSelectors = "body", clustered: bool = False
 ) -> DataFrame:
     """(page_id, markdown, error) of every page; markdown is NULL without content area."""
     rows = area_tokens(pages, selector, clustered)

@@ -152,7 +152,7 @@ def selector_tags(selector: Selector) -> set[str] | None:
     return None if None in tags or child else tags
 
 
-def _with_depths(df: DataFrame) -> DataFrame:
+def with_open_count(df: DataFrame) -> DataFrame:
     """Add `_depth`: how many elements are open around each opening row."""
     starts = F.col("end_pos").isNotNull()
     row = F.struct(*df.columns)
@@ -196,7 +196,7 @@ def flag_matches(tokens: DataFrame, selector: str | Selector, flag: str = "match
     base = tokens.columns
     df = tokens
     if any(s.combinator == ">" for steps in steps_list for s in steps[1:]):
-        df = _with_depths(df)
+        df = with_open_count(df)
     page = page_window()
     flags = []
     for a, steps in enumerate(steps_list):
@@ -224,12 +224,23 @@ def flag_matches(tokens: DataFrame, selector: str | Selector, flag: str = "match
                     closed = closed & inside
                 depth = f"{name}_depth"
                 df = with_depth(df, depth, opened, closed, page)
-                inside = (F.col(depth) > 0) & inside
+                # An element does not lie inside itself, as `ul ul` shows.
+                around = F.col(depth) - F.when(opened, 1).otherwise(0)
+                inside = (around > 0) & inside
     return df.withColumn(flag, reduce(lambda a, b: a | b, flags)).select(*base, flag)
 
 
 def _child_of(df: DataFrame, parent: str, name: str) -> tuple[DataFrame, Column]:
-    """Test of `parent` on the enclosing element, looked up as the latest row one level up."""
+    """Test of `parent` on the enclosing element."""
+    up = f"{name}_up"
+    return enclosing(df, parent, up), F.coalesce(F.col(up), F.lit(False))
+
+
+def enclosing(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add `name`: the value of `column` on the enclosing element, NULL where there is none.
+
+    Rows carry `_depth` (see `with_open_count`); it is the latest element one level up.
+    """
     cols = df.columns
     row = F.struct(*cols)
     roles = df.select(
@@ -245,12 +256,10 @@ def _child_of(df: DataFrame, parent: str, name: str) -> tuple[DataFrame, Column]
     )
     starting = F.col("_row")["end_pos"].isNotNull()
     family = Window.partitionBy("page_id", "_role.level").orderBy("pos")
-    is_parent = F.when(F.col("_role")["as_parent"] & starting, F.col("_row")[parent])
-    up = f"{name}_up"
-    seen = roles.withColumn(up, F.last(is_parent, ignorenulls=True).over(before(family)))
+    is_parent = F.when(F.col("_role")["as_parent"] & starting, F.col("_row")[column])
+    seen = roles.withColumn(name, F.last(is_parent, ignorenulls=True).over(before(family)))
     rest = [F.col("_row")[c].alias(c) for c in cols if c != "page_id"]
-    kept = seen.where(~F.col("_role")["as_parent"]).select("page_id", *rest, up)
-    return kept, F.coalesce(F.col(up), F.lit(False))
+    return seen.where(~F.col("_role")["as_parent"]).select("page_id", *rest, name)
 
 
 def select_nodes(tokens: DataFrame, selector: str | Selector) -> DataFrame:

@@ -67,7 +67,10 @@ def before(window):
 
 
 def page_tokens(
-    pages: DataFrame, clustered: bool = False, tags: Iterable[str] | None = None
+    pages: DataFrame,
+    clustered: bool = False,
+    tags: Iterable[str] | None = None,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Tokens of every page: (page_id, n_tok, pos, tok, tag, kind).
 
@@ -76,16 +79,25 @@ def page_tokens(
     so no page is lost. Pages move once, before they grow into tokens; pass
     `clustered=True` for a table that is bucketed by page_id already. With `tags`,
     only text and tokens of those tags are kept, before anything else looks at them.
+    `also` names columns that are worked out once per page, each from those before it, and
+    given to all its tokens.
     """
+    also = also or {}
     source = pages.select("page_id", "html")
     if not clustered:
         source = spread(source, "page_id")
+    for name, column in also.items():
+        source = computed(source, **{name: column})
     split = source.select(
-        "page_id", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("_toks")
+        "page_id",
+        *also,
+        F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("_toks"),
     )
     # The count is taken below the explode, so that no row carries the whole array.
-    sized = split.select("page_id", F.size("_toks").alias("n_tok"), "_toks")
-    rows = sized.select("page_id", "n_tok", F.posexplode_outer("_toks").alias("pos", "tok"))
+    sized = split.select("page_id", *also, F.size("_toks").alias("n_tok"), "_toks")
+    rows = sized.select(
+        "page_id", *also, "n_tok", F.posexplode_outer("_toks").alias("pos", "tok")
+    )
     tok = F.col("tok")
     if tags is not None:
         named = rf"(?i)^</?(?:{'|'.join(sorted(tags))})[\s/>]"
@@ -107,18 +119,35 @@ def page_tokens(
     return tagged.withColumn("kind", kind)
 
 
-def attribute(tok: Column, name: str) -> Column:
-    """Decoded value of attribute `name` of a tag; '' without value, NULL if absent."""
+def _attribute_pairs(tok: Column) -> Column:
     # A slash before the end belongs to the value where that has no quotes.
     body = F.regexp_replace(tok, r"^</?[A-Za-z][^\s/>]*|>$", "")
-    pairs = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
-    named = F.filter(pairs, lambda p: p.rlike(f"(?i)^{name}\\s*(=|$)"))
-    raw = F.regexp_replace(F.try_element_at(named, F.lit(1)), r"(?s)^[^=]*=?\s*", "")
+    return F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
+
+
+def _attribute_value(pair: Column) -> Column:
+    raw = F.regexp_replace(pair, r"(?s)^[^=]*=?\s*", "")
     value = F.regexp_replace(raw, """(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
+    return decode_entities(value, in_attribute=True)
+
+
+def attributes(tok: Column) -> Column:
+    """All attributes of a tag in order, as array of struct (name, value); names in lower case."""
+
+    def named(pair: Column) -> Column:
+        name = F.lower(F.regexp_extract(pair, r"^[^\s=]+", 0))
+        return F.struct(name.alias("name"), _attribute_value(pair).alias("value"))
+
+    return F.transform(_attribute_pairs(tok), named)
+
+
+def attribute(tok: Column, name: str) -> Column:
+    """Decoded value of attribute `name` of a tag; '' without value, NULL if absent."""
+    pairs = _attribute_pairs(tok)
+    named = F.filter(pairs, lambda p: p.rlike(f"(?i)^{name}\\s*(=|$)"))
+    value = _attribute_value(F.try_element_at(named, F.lit(1)))
     # Cheap test first: most tags carry no attribute of that name.
-    return F.when(
-        F.contains(F.lower(tok), F.lit(name)), decode_entities(value, in_attribute=True)
-    )
+    return F.when(F.contains(F.lower(tok), F.lit(name)), value)
 
 
 def with_depths(

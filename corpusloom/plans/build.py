@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,9 @@ from corpusloom.operators.bodies import (
 )
 from corpusloom.operators.manifest import classified_links, manifest_page_links
 from corpusloom.operators.markdown import html_to_markdown
-from corpusloom.operators.selectors import parse_selector
-from corpusloom.plans.crawl import crawl_plan, followed_pages, selectors_in_use, taken_pages
+from corpusloom.operators.own_selectors import OwnSelectors, asked_pages
+from corpusloom.plans.crawl import check_given, crawl_plan, followed_pages, taken_pages
+from corpusloom.plans.settings import wants_links
 from corpusloom.sources.captures import captured, newest
 from corpusloom.sources.scratch import stored
 
@@ -43,20 +42,24 @@ def plan_jobs(
 def converted_pages(
     plan: DataFrame, pages: DataFrame, content_selectors: list[str] | None = None
 ) -> DataFrame:
-    """(content_selector, url, markdown, error) of planned pages, once per selector in use.
+    """(content_selector, url, markdown, error) of planned pages, once per selector asked.
+
+    The pages are read and split once, whatever the selectors are.
 
     Where captures carry a status, pages that did not answer give `HTTP <status>`.
     """
-    none = "SELECT '' AS content_selector, '' AS url, '' AS markdown, '' AS error WHERE false"
-    parts = [plan.sparkSession.sql(none)]
-    for selector in selectors_in_use(plan, "content_selector", content_selectors):
-        parse_selector(selector)
-        urls = plan.where(F.col("content_selector") == selector).select("url").distinct()
-        taken, known = taken_pages(pages, urls)
-        markdown = html_to_markdown(taken, selector).join(known, "page_id")
-        parts.append(
-            markdown.select(F.lit(selector).alias("content_selector"), "url", "markdown", "error")
-        )
+    check_given(content_selectors, plan, "content_selector")
+    asking = plan.where(wants_links(F.col("content_selector")))
+    asking = asking.select("url", F.col("content_selector").alias("selector")).distinct()
+    taken, known = taken_pages(pages, asking.select("url").distinct())
+    own = OwnSelectors.of(asking, "selector")
+    asked = known.join(asking, "url")
+    units = asked_pages(taken, asked.select("page_id", "selector"))
+    urls = asked.select(F.struct("page_id", "selector").alias("page_id"), "url")
+    markdown = html_to_markdown(units, own).join(urls, "page_id")
+    converted = markdown.select(
+        F.col("page_id")["selector"].alias("content_selector"), "url", "markdown", "error"
+    )
     if "status" in pages.columns:
         seen = captured(pages)
         wanted = plan.select("content_selector", "url").distinct()
@@ -67,8 +70,8 @@ def converted_pages(
             F.lit(None).cast("string").alias("markdown"),
             F.concat(F.lit("HTTP "), F.col("status").cast("string")).alias("error"),
         )
-        parts.append(wanted.join(refused, "url"))
-    return reduce(DataFrame.unionByName, parts)
+        converted = converted.unionByName(wanted.join(refused, "url"))
+    return converted
 
 
 def build_documents(

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import corpus_folder
 from corpusloom.functions.urls import path_title
 from corpusloom.operators.links import follow_links
+from corpusloom.operators.own_selectors import OwnSelectors, asked_pages, is_supported
 from corpusloom.operators.selectors import parse_selector
 from corpusloom.plans.settings import wants_links
 from corpusloom.sources.captures import captured, newest
 
 
 def selectors_in_use(jobs: DataFrame, column: str, given: list[str] | None = None) -> list[str]:
-    """The selectors in `column` of jobs without an error, one pass over the pages for each.
+    """The selectors in `column` of jobs without an error.
 
     With `given`, all of them must be in it: no job is left out without a word.
     """
@@ -30,42 +29,46 @@ def selectors_in_use(jobs: DataFrame, column: str, given: list[str] | None = Non
 
 
 def checked_selectors(jobs: DataFrame) -> DataFrame:
-    """Give jobs whose follow or content selector is not supported an `error`."""
+    """Give jobs whose follow or content selector is not supported an `error`, row by row."""
     for column in ("follow_selector", "content_selector"):
-        bad = []
-        for selector in selectors_in_use(jobs, column):
-            try:
-                parse_selector(selector)
-            except ValueError:
-                bad.append(selector)
-        if bad:
-            text = F.concat(F.lit("unsupported selector: "), F.col(column))
-            wrong = F.col(column).isin(bad) & F.col("error").isNull()
-            jobs = jobs.withColumn("error", F.when(wrong, text).otherwise(F.col("error")))
+        selector = F.col(column)
+        text = F.concat(F.lit("unsupported selector: "), selector)
+        wrong = wants_links(selector) & ~is_supported(selector)
+        jobs = jobs.withColumn("error", F.coalesce("error", F.when(wrong, text)))
     return jobs
 
 
+def check_given(selectors: list[str] | None, table: DataFrame, column: str) -> None:
+    """Raise where a given list of selectors is not supported or lacks one in use."""
+    if selectors is not None:
+        for selector in selectors:
+            parse_selector(selector)
+        selectors_in_use(table, column, selectors)
+
+
 def followed_pages(
     jobs: DataFrame, pages: DataFrame, selectors: list[str] | None = None
 ) -> DataFrame:
     """(site, ord, url, title) linked from each job's entry page.
 
-    Each follow selector of the jobs runs once over the entry pages of its jobs; those
-    that are not supported raise (see `checked_selectors`). Entry pages are matched by
+    Entry pages are read once, whatever the jobs' follow selectors are: each page brings
+    those that are asked of it. Selectors that are not supported raise (see
+    `checked_selectors`), as do those beyond a given list. Entry pages are matched by
     URL, the newest answered capture counts; a page that did not answer gives no links.
     """
-    none = "SELECT '' AS site, 0 AS ord, '' AS url, '' AS title WHERE false"
-    parts = [jobs.sparkSession.sql(none)]
-    for selector in selectors_in_use(jobs, "follow_selector", selectors):
-        parse_selector(selector)
-        asking = jobs.where(F.col("follow_selector") == selector).select(
-            "site", F.col("base_url").alias("url")
-        )
-        entries, known = taken_pages(pages, asking.select("url").distinct())
-        links = follow_links(entries, selector, urls=known)
-        owners = known.join(asking, "url").select("page_id", "site")
-        parts.append(links.join(owners, "page_id").select("site", "ord", "url", "title"))
-    return reduce(DataFrame.unionByName, parts)
+    check_given(selectors, jobs, "follow_selector")
+    asking = jobs.where(wants_links(F.col("follow_selector")))
+    if "error" in jobs.columns:
+        asking = asking.where(F.col("error").isNull())
+    asking = asking.select("site", F.col("base_url").alias("url"), F.col("follow_selector").alias("selector"))
+    entries, known = taken_pages(pages, asking.select("url").distinct())
+    owners = known.join(asking, "url").select("site", F.struct("page_id", "selector").alias("page_id"))
+    own = OwnSelectors.of(asking, "selector")
+    asked = known.join(asking.select("url", "selector").distinct(), "url")
+    units = asked_pages(entries, asked.select("page_id", "selector"))
+    urls = asked.select(F.struct("page_id", "selector").alias("page_id"), "url")
+    links = follow_links(units, own, urls=urls)
+    return links.join(owners, "page_id").select("site", "ord", "url", "title")
 
 
 def taken_pages(pages: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,8 +9,6 @@ site per 4,096 page ids, so no manifest outgrows a single text at any scale.
 from __future__ import annotations
 
 import re
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.sources.captures import read_pages
@@ -129,7 +127,8 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.dir = Path(sf_dir)
+        # Not a Path: that would fold the two slashes of `viewfs://` or `s3a://`.
+        self.dir = sf_dir.rstrip("/")
 
     @property
     def pages(self) -> DataFrame:

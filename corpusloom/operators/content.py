@@ -59,7 +59,7 @@ def _in_match() -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def _head_row() -> Column:
+def head_row() -> Column:
     """Tags that belong to the head of a page without a body tag."""
     kind = F.col("kind")
     row = F.col("tag").isin(HEAD_TAGS) & kind.isin("open", "close", "void")
@@ -72,7 +72,7 @@ def _own_area(rows: DataFrame) -> DataFrame:
     opened = (F.col("tag") == "body") & (F.col("kind") == "open")
     whole = {
         "_any": F.max(opened).over(whole_page()),
-        "_head_end": F.max(F.when(_head_row(), pos)).over(whole_page()),
+        "_head_end": F.max(F.when(head_row(), pos)).over(whole_page()),
     }
     plain = (js_trim(F.col("page_id")["selector"]) == "body") & ~F.coalesce("_any", F.lit(False))
     inside = _in_match() | plain & (pos > F.coalesce("_head_end", F.lit(-1)))
@@ -91,7 +91,7 @@ def _bare_area(tokens: DataFrame, tag: str) -> DataFrame:
     first = {"_first": F.min(F.when(opened, pos)).over(so_far(page))}
     if tag == "body":
         first["_any"] = F.min(F.when(opened, pos)).over(whole_page())
-        first["_head_end"] = F.max(F.when(_head_row(), pos)).over(whole_page())
+        first["_head_end"] = F.max(F.when(head_row(), pos)).over(whole_page())
     df = tokens.withColumns(first)
     # Counted from the first opening on; its element ends where the depth is 0 again.
     step = F.when(opened, 1).when(closed & F.col("_first").isNotNull(), -1).otherwise(0)

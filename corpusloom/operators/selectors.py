@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.tokens import (
     FLAT_TAGS,
     INLINE_TAGS,
+    RANKS,
     VOID_TAGS,
     attribute,
     before,
@@ -40,7 +41,7 @@ class Step:
     @property
     def bare(self) -> bool:
         """A tag name alone whose nesting a running depth describes."""
-        implied = {"p", "li", *FLAT_TAGS, *INLINE_TAGS, *VOID_TAGS}
+        implied = {"p", *RANKS, *FLAT_TAGS, *INLINE_TAGS, *VOID_TAGS}
         return (
             self.tag is not None
             and self.tag not in implied
@@ -142,7 +143,7 @@ def needs_pairs(selector: Selector) -> bool:
 def pair_for(tokens: DataFrame, selector: Selector) -> DataFrame:
     """Pair tags as far as `selector` needs it."""
     tags = selector_tags(selector)
-    return pair_tags(tokens, items=tags is None or "li" in tags)
+    return pair_tags(tokens, items=tags is None or bool(tags & set(RANKS)))
 
 
 def selector_tags(selector: Selector) -> set[str] | None:
@@ -262,12 +263,16 @@ def enclosing(df: DataFrame, column: str, name: str) -> DataFrame:
     return seen.where(~F.col("_role")["as_parent"]).select("page_id", *rest, name)
 
 
+def with_parents(nodes: DataFrame) -> DataFrame:
+    """Add `parent_pos`, the place of the element around each, and `depth`, how many there are."""
+    deep = enclosing(with_open_count(nodes), "pos", "parent_pos")
+    return deep.withColumn("depth", F.col("_depth").cast("int")).drop("_depth")
+
+
 def select_nodes(tokens: DataFrame, selector: str | Selector) -> DataFrame:
     """Selected elements as (page_id, pos, end_pos, tag)."""
     wanted = as_selector(selector)
-    tags = selector_tags(wanted)
+    # Tags of other names count too: an unclosed element ends with the one around it.
     rows = tokens.where(F.col("kind").isin("open", "close", "void"))
-    if tags is not None and not tags & {"p", "li", *FLAT_TAGS, *INLINE_TAGS}:
-        rows = rows.where(F.col("tag").isin(sorted(tags)))
     hits = flag_matches(pair_for(rows, wanted), wanted).where("matched")
     return hits.select("page_id", "pos", "end_pos", "tag")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import decode_entities, js_trim, ordered_concat
+from corpusloom.operators.content import head_row
 from corpusloom.operators.tokens import (
     attribute,
     pair_tags,
@@ -46,14 +47,40 @@ def _with_open_tag(df: DataFrame, tok: Column, tag: Column) -> DataFrame:
     return named.withColumn("_head", head).drop("_id", "_class", "_role", "_href")
 
 
+def _with_body(rows: DataFrame) -> DataFrame:
+    """Put a body element in front of what follows the head, on pages without body and html tag."""
+    starts, pos = F.col("end_pos").isNotNull(), F.col("pos")
+    df = rows.withColumns(
+        {
+            "_any": F.max(starts & F.col("tag").isin("body", "html")).over(whole_page()),
+            "_head_end": F.max(F.when(head_row(), pos)).over(whole_page()),
+        }
+    )
+    missing = ~F.coalesce("_any", F.lit(False))
+    place = F.coalesce("_head_end", F.lit(-1))
+    made = {
+        "pos": place, "tok": F.lit("<body>"), "tag": F.lit("body"), "kind": F.lit("open"),
+        "end_pos": F.greatest(place, F.col("n_tok") - 1), "closed": F.lit(False),
+    }
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    body = F.struct(*[made.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in rows.columns if c != "page_id"])
+    own = F.struct(*[c for c in rows.columns if c != "page_id"])
+    # The last row of the head makes room for it, or else the first row of the page is doubled.
+    at = F.coalesce(pos, F.lit(-1)) == F.coalesce("_head_end", F.lit(0))
+    at = missing & (at | pos.isNull())
+    both = F.when(at & F.col("_head_end").isNull(), F.array(body, own)).when(at, F.array(body)).otherwise(F.array(own))
+    return df.select("page_id", F.explode(both).alias("_row")).select("page_id", "_row.*")
+
+
 def html_skeleton(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """Outline per page as (page_id, skeleton), from body, else from the page root.
+    """Outline per page as (page_id, skeleton), from body, else html; every page gives one row.
 
-    Elements without children show their text; others show only their children.
+    Elements without children show their text; others show only their children. What
+    follows the head of a page with neither tag is its body.
     """
     page = page_window()
     kind, pos = F.col("kind"), F.col("pos")
-    rows = pair_tags(page_tokens(pages, clustered))
+    rows = _with_body(pair_tags(page_tokens(pages, clustered)))
     starts = F.col("end_pos").isNotNull()
 
     # Leave out dropped subtrees and what lies outside the root element.
@@ -63,7 +90,6 @@ def html_skeleton(pages: DataFrame, clustered: bool = False) -> DataFrame:
         return F.min(F.when(starts & (F.col("tag") == tag), span)).over(whole_page())
 
     dropped = F.max(F.when(starts & F.col("tag").isin(DROPPED_TAGS), F.col("end_pos")))
-    everything = F.struct(F.lit(0).alias("pos"), (F.col("n_tok") - 1).alias("end_pos"))
     kept = (
         rows.withColumns(
             {
@@ -72,7 +98,7 @@ def html_skeleton(pages: DataFrame, clustered: bool = False) -> DataFrame:
                 "_html": first("html"),
             }
         )
-        .withColumn("_root", F.coalesce("_body", "_html", everything))
+        .withColumn("_root", F.coalesce("_body", "_html"))
         .where(kind.isin("text", "open", "void"))
         .where(F.coalesce(F.col("_drop") < pos, F.lit(True)))
         .where(pos.between(F.col("_root")["pos"], F.col("_root")["end_pos"]))

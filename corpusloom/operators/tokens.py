@@ -24,8 +24,17 @@ INLINE_TAGS = (
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
     "span strong sub sup time tt u var"
 ).split()
-FLAT_TAGS = ["a", "button", "option"]
+FLAT_TAGS = ["a", "button"]
 LIST_TAGS = ["ul", "ol"]
+# Fixed values of HTML: elements whose end tag may be left out, by the containers that they
+# belong to. One ends where the next of its rank or a lower one begins or ends.
+OPTIONAL_ENDS = {
+    ("ul", "ol", "menu"): {"li": 1},
+    ("dl",): {"dt": 1, "dd": 1},
+    ("table",): {"thead": 1, "tbody": 1, "tfoot": 1, "tr": 2, "td": 3, "th": 3},
+    ("select",): {"optgroup": 1, "option": 2},
+}
+RANKS = {tag: rank for items in OPTIONAL_ENDS.values() for tag, rank in items.items()}
 # Elements of drawings and formulas that HTML itself lacks: only there `/>` closes a tag.
 FOREIGN_TAGS = (
     "animate animatemotion animatetransform circle clippath defs ellipse fecolormatrix feflood "
@@ -184,28 +193,30 @@ def with_depth(df: DataFrame, name: str, is_open: Column, is_close: Column, wind
 def pair_tags(tokens: DataFrame, items: bool = True) -> DataFrame:
     """Add `end_pos` and `closed` to the opening and void rows of a token table.
 
-    An element reaches to its close tag. Without one: p and li end before the
-    next token that must end them, inline elements before the next block, links
-    before the next link, all others at the page end. Each tag is paired on its
-    own, so one broken element does not spoil the others. `items=False` saves the
-    list pass where no list item is asked for.
+    An element reaches to its close tag. Without one: p ends before the next block tag,
+    list items, cells, rows and the like before the next tag of their container that must
+    end them, inline elements before the next block, links before the next link. All
+    end with the element around them at the latest, others there or at the page end.
+    Each tag is paired on its own, so one broken element does not spoil the others.
+    `items=False` saves a pass where no element of `RANKS` is asked for.
     """
     tag, kind, pos = F.col("tag"), F.col("kind"), F.col("pos")
     page = page_window()
     is_open, is_close = kind == "open", kind == "close"
     is_tag = kind.isin("open", "close", "void")
 
-    # Document order: the next block boundary, the list depth.
+    # Document order: the block boundaries around, the containers open.
     edge = F.struct("pos", "tag", "kind")
     boundary = is_tag & tag.isin(BLOCK_TAGS)
-    lists = tag.isin(LIST_TAGS)
+    depths = {f"_in{k}": names for k, names in enumerate(OPTIONAL_ENDS)} if items else {}
     df = with_depths(
         tokens.withColumn("_edge", F.when(boundary, edge)),
         page,
-        {"_lists": (lists & is_open, lists & is_close)} if items else {},
+        {name: (tag.isin(*tags) & is_open, tag.isin(*tags) & is_close) for name, tags in depths.items()},
         _next_block=_next_in_page("_edge"),
+        _last_block=F.last("_edge", ignorenulls=True).over(before(page)),
     )
-    df = _next_item(df) if items else df.withColumn("_next_item", F.when(F.lit(False), edge))
+    df = _item_events(df) if items else df.withColumns({c: F.when(F.lit(False), edge) for c in ("_next_item", "_last_item")})
 
     # Per tag: nesting level, then the next tag of the same level.
     per_tag = Window.partitionBy("page_id", "tag").orderBy("pos")
@@ -216,24 +227,29 @@ def pair_tags(tokens: DataFrame, items: bool = True) -> DataFrame:
     df = df.withColumn("_level", F.when(is_open | is_close, level))
     per_level = Window.partitionBy("page_id", "tag", "_level").orderBy("pos")
     df = df.withColumns(
-        {"_next_pos": F.lead("pos").over(per_level), "_next_kind": F.lead("kind").over(per_level)}
+        {
+            "_next_pos": F.lead("pos").over(per_level),
+            "_next_kind": F.lead("kind").over(per_level),
+            "_last_kind": F.lag("kind").over(per_level),
+        }
     )
 
     page_end = F.col("n_tok") - 1
+    ranked = tag.isin(*RANKS)
 
-    def own_end(edge: str, own: str) -> Column:
-        return (F.col(edge)["tag"] == own) & (F.col(edge)["kind"] == "close")
+    def own_end(edge: str) -> Column:
+        return (F.col(edge)["tag"] == tag) & (F.col(edge)["kind"] == "close")
 
-    def implied(edge: str, own: str) -> Column:
+    def implied(edge: str) -> Column:
         at = F.col(edge)["pos"]
-        return F.coalesce(F.when(own_end(edge, own), at).otherwise(at - 1), page_end)
+        return F.coalesce(F.when(own_end(edge), at).otherwise(at - 1), page_end)
 
     paired = F.when(F.col("_next_kind") == "close", F.col("_next_pos"))
     before_block = F.coalesce(F.col("_next_block")["pos"] - 1, page_end)
     end = (
         F.when(kind == "void", pos)
-        .when(tag == "p", implied("_next_block", "p"))
-        .when(tag == "li", implied("_next_item", "li"))
+        .when(tag == "p", implied("_next_block"))
+        .when(ranked, implied("_next_item"))
         .when(
             tag.isin(FLAT_TAGS),
             F.coalesce(paired, F.least(F.col("_next_pos") - 1, before_block)),
@@ -241,19 +257,50 @@ def pair_tags(tokens: DataFrame, items: bool = True) -> DataFrame:
         .when(tag.isin(INLINE_TAGS), F.coalesce(paired, before_block))
         .otherwise(F.coalesce(paired, page_end))
     )
-
     own_close = (
         F.when(kind == "void", True)
-        .when(tag == "p", own_end("_next_block", "p"))
-        .when(tag == "li", own_end("_next_item", "li"))
+        .when(tag == "p", own_end("_next_block"))
+        .when(ranked, own_end("_next_item"))
         .otherwise(paired.isNotNull())
     )
+    # The same seen from a close tag: whether it ends an element.
+    opened = F.struct(tag.alias("tag"), F.lit("open").alias("kind"))
+
+    def own_start(edge: str) -> Column:
+        return F.struct(F.col(edge)["tag"].alias("tag"), F.col(edge)["kind"].alias("kind")) == opened
+
+    ends_one = (
+        F.when(tag == "p", own_start("_last_block"))
+        .when(ranked, own_start("_last_item"))
+        .otherwise(F.col("_last_kind") == "open")
+    )
     starts = kind.isin("open", "void")
-    return (
-        df.withColumn("end_pos", F.when(starts, end).cast("int"))
-        .withColumn("closed", F.when(starts, F.coalesce(own_close, F.lit(False))))
-        .select(*tokens.columns, "end_pos", "closed")
+    df = df.withColumns(
+        {
+            "end_pos": F.when(starts, end).cast("int"),
+            "closed": F.when(starts, F.coalesce(own_close, F.lit(False))),
+            "_shuts": is_close & F.coalesce(ends_one, F.lit(False)),
+        }
     )
+    return _within_parents(df).select(*tokens.columns, "end_pos", "closed")
+
+
+def _within_parents(df: DataFrame) -> DataFrame:
+    """Let elements without a close tag end before that of the closed element around them.
+
+    That is the next close tag of their own depth, as counted over closed elements.
+    """
+    pos, shuts, void = F.col("pos"), F.col("_shuts"), F.col("kind") == "void"
+    step = F.when(F.col("closed") & ~void, 1).when(shuts, -1).otherwise(0)
+    df = df.withColumn("_around", F.sum(step).over(so_far(page_window())))
+    level = F.col("_around") + F.when(shuts, 1).otherwise(0)
+    df = df.withColumns({"_around": level, "_shut_at": F.when(shuts, pos)})
+    shut_at = F.expr("lead(_shut_at) IGNORE NULLS OVER (PARTITION BY page_id, _around ORDER BY pos)")
+    df = df.withColumn("_parent_end", shut_at)
+    # Depth 0 has nothing around it.
+    limit = F.when(F.col("_around") > 0, F.col("_parent_end") - 1)
+    end = F.when(~F.col("closed"), F.least("end_pos", limit)).otherwise(F.col("end_pos"))
+    return df.withColumn("end_pos", end)
 
 
 def _next_in_page(column: str) -> Column:
@@ -261,23 +308,44 @@ def _next_in_page(column: str) -> Column:
     return F.expr(f"lead({column}) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)")
 
 
-def _next_item(df: DataFrame) -> DataFrame:
-    """Add `_next_item`: the next row of the same list depth that ends a list item."""
-    lists, kind = F.col("tag").isin(LIST_TAGS), F.col("kind")
-    ends_item = (F.col("tag") == "li") & kind.isin("open", "close") | lists & (kind == "close")
-    return df.withColumns(
-        {
-            "_list_depth": F.col("_lists") + F.when(lists & (kind == "close"), 1).otherwise(0),
-            "_item": F.when(ends_item, F.struct("pos", "tag", "kind")),
-        }
-    ).withColumn(
-        "_next_item",
-        F.expr("lead(_item) IGNORE NULLS OVER (PARTITION BY page_id, _list_depth ORDER BY pos)"),
-    )
+def _item_events(df: DataFrame) -> DataFrame:
+    """Add `_next_item` and `_last_item`: the tags around that end an element of `RANKS`.
+
+    They are of the same container, and of its rank or a lower one.
+    """
+    tag, kind = F.col("tag"), F.col("kind")
+    scope, depth, rank = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, (containers, ranks) in enumerate(OPTIONAL_ENDS.items()):
+        shut = tag.isin(*containers) & (kind == "close")
+        member = tag.isin(*ranks) & kind.isin("open", "close")
+        scope = F.when(shut | member, k).otherwise(scope)
+        depth = F.when(shut | member, F.col(f"_in{k}") + F.when(shut, 1).otherwise(0)).otherwise(depth)
+        for name, own in ranks.items():
+            rank = F.when((tag == name) & kind.isin("open", "close"), own).otherwise(rank)
+        rank = F.when(shut, 0).otherwise(rank)
+    df = df.withColumns({"_scope": scope, "_depth_in": depth, "_rank": rank})
+    event = F.struct("pos", "tag", "kind")
+    levels = sorted(set(RANKS.values()))
+    df = df.withColumns({f"_upto{r}": F.when(F.col("_rank") <= r, event) for r in levels})
+    within = "OVER (PARTITION BY page_id, _scope, _depth_in ORDER BY pos)"
+    ordered = Window.partitionBy("page_id", "_scope", "_depth_in").orderBy("pos")
+    around = {f"_next{r}": F.expr(f"lead(_upto{r}) IGNORE NULLS {within}") for r in levels}
+    around |= {f"_prev{r}": F.last(f"_upto{r}", ignorenulls=True).over(before(ordered)) for r in levels}
+
+    def own(name: str) -> Column:
+        picked = F.when(F.col("_rank") == levels[0], F.col(f"{name}{levels[0]}"))
+        for r in levels[1:]:
+            picked = picked.when(F.col("_rank") == r, F.col(f"{name}{r}"))
+        return picked
+
+    return df.withColumns(around).withColumns({"_next_item": own("_next"), "_last_item": own("_prev")})
 
 
 def page_nodes(tokens: DataFrame) -> DataFrame:
-    """Element intervals (page_id, pos, end_pos, tag, id, classes, role, href, tok)."""
+    """Element intervals (page_id, pos, end_pos, tag, id, classes, role, href, tok).
+
+    `with_parents` adds the tree that they form.
+    """
     tags = tokens.where(F.col("kind").isin("open", "close", "void"))
     nodes = pair_tags(tags).where(F.col("end_pos").isNotNull())
     tok = F.col("tok")

@@ -24,6 +24,15 @@ FIXTURES = {
 SELECT page_id, site, concat('https://', site, regexp_replace(url, '^[a-z]+://[^/?#]*', '')) AS url, html
 FROM (SELECT page_id, url, html,
   concat('d', CAST(floor(page_id / $PAGES_PER_SITE) AS BIGINT), '.', {_HOST}) AS site FROM {{pages}}) AS s""",
+    # All pages, and broken ones, each as often as there are fifty of the others.
+    "structured": """
+SELECT page_id, url, html FROM {pages} AS p UNION ALL
+SELECT -10 * page_id - 1 - kind AS page_id, concat(url, '#broken') AS url, markup AS html FROM {pages} AS p
+  JOIN (SELECT 0 AS kind, '<table><tr><td>a<td>b<tr><th>c</table><p>x' AS markup
+    UNION ALL SELECT 1, '<body><dl><dt>k<dd>v<dt>l</dl>z</body>'
+    UNION ALL SELECT 2, '<div id=d><iframe src=x>in</div><footer>f</footer>'
+    UNION ALL SELECT 3, 'just text'
+    UNION ALL SELECT 4, '<ul><li>a<ul><li>b</ul><li>c</ul><select><option>x<option>y</select>') AS b ON p.page_id % 50 = 0""",
     # (site, status, content): about 1 of 7 sites has no manifest, 1 of 7 a useless one.
     "manifest_texts": f"""
 SELECT site, CASE WHEN length(site) % 7 = 0 THEN 404 ELSE 200 END AS status,
@@ -49,12 +58,13 @@ SELECT site, min_by(url, page_id) AS base_url,
 FROM {captures} AS c GROUP BY site""",
     "site_config": """
 SELECT site AS domain, CASE WHEN length(site) % 2 = 0 THEN 'article' END AS content_selector,
-  CASE WHEN length(site) % 3 > 0 THEN 'nav a' END AS follow_selector,
+  CASE (length(site) + ascii(substring(site, 4, 1))) % 8 WHEN 1 THEN 'nav a' WHEN 2 THEN 'nav li > a' WHEN 3 THEN 'ul > li > a, footer a'
+    WHEN 4 THEN 'nav ul a' WHEN 5 THEN 'a[href^="/th"]' WHEN 6 THEN 'article a, .ad a' WHEN 7 THEN 'nav a[href*=e]' END AS follow_selector,
   CASE WHEN length(site) % 5 = 0 THEN false WHEN length(site) % 5 = 1 THEN true END AS use_native_md
 FROM (SELECT DISTINCT site FROM {captures} AS c) AS d WHERE length(site) % 4 > 0""",
     "overrides": """
-SELECT site, CASE WHEN length(site) % 9 = 0 THEN 'nav a' END AS follow_selector,
-  CASE WHEN length(site) % 10 = 0 THEN 'main' END AS content_selector,
+SELECT site, CASE WHEN length(site) % 9 = 0 THEN 'nav a' WHEN length(site) % 9 = 2 THEN 'nav ul a' END AS follow_selector,
+  CASE WHEN length(site) % 10 = 0 THEN 'main' WHEN length(site) % 10 = 4 THEN 'article > p' END AS content_selector,
   CASE WHEN length(site) % 4 = 2 THEN './docs/' END AS output_dir,
   length(site) % 5 = 0 AS no_native_md, length(site) % 8 = 4 AS no_manifest, length(site) % 6 = 0 AS with_optional
 FROM (SELECT DISTINCT site FROM {captures} AS c) AS d WHERE length(site) % 2 = 0""",

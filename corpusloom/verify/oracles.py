@@ -7,10 +7,11 @@ by text patterns over whole pages, self-joins on intervals, ordered aggregates.
 from __future__ import annotations
 
 from corpusloom.functions.text import JS_SPACE
-from corpusloom.operators.skeleton import PREVIEW_NOTE
 from corpusloom.operators.tokens import BLOCK_TAGS, FOREIGN_TAGS, VOID_TAGS
 from corpusloom.verify.fixtures import fixture_sql
 
+_PREVIEW_NOTE = "...\n\n[truncated - see full file for complete structure]"
+
 
 def _fixture(name: str) -> str:
     sql = fixture_sql(name, "duckdb")
@@ -155,6 +156,27 @@ events AS (SELECT page_id, pos AS place, 0 AS shut, pos AS nth, CASE WHEN NOT le
   UNION ALL SELECT page_id, end_pos, 1, -pos, chr(10) || '</' || tag || '>' FROM drawn WHERE NOT leaf),
 skeletons AS (SELECT page_id, string_agg(piece, '' ORDER BY place, shut, nth) AS skeleton FROM events GROUP BY page_id)"""
 
+# The broken pages of the fixture, elements and outlines by hand: kind, pos, end, parent, depth, tag, id.
+_BROKEN_NODES = """
+broken_nodes AS (SELECT * FROM (VALUES
+  (0, 0, 9, NULL, 0, 'table', NULL), (0, 1, 5, 0, 1, 'tr', NULL), (0, 2, 3, 1, 2, 'td', NULL), (0, 4, 5, 1, 2, 'td', NULL),
+  (0, 6, 8, 0, 1, 'tr', NULL), (0, 7, 8, 6, 2, 'th', NULL), (0, 10, 11, NULL, 0, 'p', NULL),
+  (1, 0, 10, NULL, 0, 'body', NULL), (1, 1, 8, 0, 1, 'dl', NULL), (1, 2, 3, 1, 2, 'dt', NULL), (1, 4, 5, 1, 2, 'dd', NULL), (1, 6, 7, 1, 2, 'dt', NULL),
+  (2, 0, 3, NULL, 0, 'div', 'd'), (2, 1, 2, 0, 1, 'iframe', NULL), (2, 4, 6, NULL, 0, 'footer', NULL),
+  (4, 0, 9, NULL, 0, 'ul', NULL), (4, 1, 6, 0, 1, 'li', NULL), (4, 3, 6, 1, 2, 'ul', NULL), (4, 4, 5, 3, 3, 'li', NULL), (4, 7, 8, 0, 1, 'li', NULL),
+  (4, 10, 15, NULL, 0, 'select', NULL), (4, 11, 12, 10, 1, 'option', NULL), (4, 13, 14, 10, 1, 'option', NULL)) AS v(kind, pos, end_pos, parent_pos, depth, tag, id))"""
+_BROKEN_OUTLINES = {
+    0: "<body>|  <table>|  <tr>|  <td>a</td>|  <td>b</td>|</tr>|  <tr>|  <th>c</th>|</tr>|</table>|  <p>x</p>|</body>",
+    1: "<body>|  <dl>|  <dt>k</dt>|  <dd>v</dd>|  <dt>l</dt>|</dl>|</body>",
+    2: '<body>|  <div id="d" />|  <footer>f</footer>|</body>',
+    3: "<body>just text</body>",
+    4: "<body>|  <ul>|  <li>|  <ul>|  <li>b</li>|</ul>|</li>|  <li>c</li>|</ul>|  <select>|  <option>x</option>|  <option>y</option>|</select>|</body>",
+}
+_OUTLINES = "SELECT page_id, skeleton FROM skeletons" + "".join(
+    f" UNION ALL SELECT -10 * page_id - {1 + kind}, replace('{text}', '|', chr(10)) FROM pages WHERE page_id % 50 = 0"
+    for kind, text in _BROKEN_OUTLINES.items()
+)
+
 # --- manifests ---------------------------------------------------------------------------
 
 _LINES = f"""
@@ -200,12 +222,36 @@ config AS (SELECT j.site, j.base_url, j.mode, j.site AS domain, coalesce(o.follo
 ready AS (SELECT * REPLACE (CASE WHEN mode = 'single' THEN NULL ELSE follow_selector END AS follow_selector, mode = 'auto' AND use_manifest AS use_manifest),
   CASE WHEN mode = 'follow' AND follow_selector IS NULL THEN 'follow mode needs a follow selector' END AS error FROM config)"""
 
-_PLAN = f"""captured AS {_fixture("captures")}, {_CONFIG}, {_FATES}, {_LOOKUP}, {_followed("captured", "nav_links")},
+# What each follow selector of the fixtures means, by the elements around an anchor.
+_SELECTED = {
+    "nav a": "list_contains(around, 'nav')",
+    "nav ul a": "list_contains(around[list_position(around, 'nav'):], 'ul')",
+    "nav li > a": "list_contains(around, 'nav') AND around[-1] = 'li'",
+    "ul > li > a, footer a": "around[-1] = 'li' AND around[-2] = 'ul' OR list_contains(around, 'footer')",
+    'a[href^="/th"]': "starts_with(href, '/th')",
+    "article a, .ad a": "list_contains(around, 'article') OR list_contains(around, 'ad')",
+    "nav a[href*=e]": "list_contains(around, 'nav') AND contains(href, 'e')",
+}
+_OWN_CASES = "\n".join(f"  WHEN '{name}' THEN {test}" for name, test in _SELECTED.items())
+_OWN_LINKS = f"""{_NODES},
+own_anchors AS (SELECT a.page_id, a.pos, a.end_pos, coalesce({_attr("href").replace("tok", "a.tok")}, '') AS href,
+  list(CASE WHEN {_attr("class").replace("tok", "u.tok")} = 'ad' THEN 'ad' ELSE u.tag END ORDER BY u.pos) AS around
+  FROM nodes a LEFT JOIN nodes u ON u.page_id = a.page_id AND u.pos < a.pos AND a.pos <= u.end_pos WHERE a.tag = 'a' GROUP BY ALL),
+own_texts AS (SELECT a.page_id, a.pos, {_trim(_decoded("string_agg(t.tok, '' ORDER BY t.pos)"))} AS title FROM own_anchors a JOIN tokens t
+  ON t.page_id = a.page_id AND t.kind = 'text' AND t.pos BETWEEN a.pos AND a.end_pos GROUP BY ALL),
+own_links AS (SELECT w.follow_selector, w.site, a.pos, title, regexp_extract(w.base_url, '^([a-z]+://[^/?#]*)', 1) || {_encoded("href")} AS url
+  FROM ready w JOIN captured c ON c.url = w.base_url JOIN own_anchors a ON a.page_id = c.page_id JOIN own_texts t ON t.page_id = a.page_id AND t.pos = a.pos
+  WHERE href <> '' AND title <> '' AND NOT contains(href, '_next') AND NOT contains(href, 'sitemap') AND NOT contains(href, 'favicon') AND CASE w.follow_selector
+{_OWN_CASES} END),
+own_firsts AS (SELECT * FROM own_links QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY pos) = 1),
+own_followed AS (SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY pos) AS INTEGER) AS ord, url, title FROM own_firsts)"""
+
+_PLAN = f"""captured AS {_fixture("captures")}, {_CONFIG}, {_FATES}, {_LOOKUP}, {_OWN_LINKS},
 listed AS (SELECT f.site, 'manifest' AS source, CAST(row_number() OVER (PARTITION BY f.site ORDER BY pos) AS INTEGER) AS ord, regexp_replace(c.base_url, '^([a-z]+://[^/]*).*$', '\\1') || ref AS url, title, ends_with(ref, '.txt') AS is_full_content
   FROM fates f JOIN ready c ON f.site = c.site JOIN looked_up u ON f.site = u.site WHERE c.error IS NULL AND c.use_manifest AND u.usable AND (fate = 'kept' OR fate = 'optional' AND c.include_optional)),
 rest AS (SELECT * FROM ready WHERE error IS NULL AND site NOT IN (SELECT site FROM listed)),
 plan AS (SELECT * FROM listed
-  UNION ALL SELECT r.site, 'follow', l.ord, l.url, l.title, false FROM rest r JOIN captured p ON p.url = r.base_url JOIN followed l ON l.page_id = p.page_id WHERE r.follow_selector = 'nav a'
+  UNION ALL SELECT r.site, 'follow', l.ord, l.url, l.title, false FROM rest r JOIN own_followed l ON l.site = r.site
   UNION ALL SELECT site, 'single', 1, base_url, coalesce(list_filter(string_split({_PATH.replace("url", "base_url")}, '/'), lambda s: s <> '')[-1], 'index'), false FROM rest WHERE follow_selector IS NULL)"""
 
 # --- bodies and reports ----------------------------------------------------------------------
@@ -276,7 +322,10 @@ def oracles() -> dict[str, str]:
         "path_titles": f"SELECT page_id, coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], 'index') AS title FROM pages",
         "resolve_links": _query(_followed(), "SELECT page_id, ord, href, url FROM resolved"),
         "page_tokens": _query(_TOKENS, "SELECT page_id, pos, tok, tag, kind FROM tokens"),
-        "page_nodes": _query(_NODES, f"SELECT page_id, pos, end_pos, tag, {_attr('id')} AS id, {_attr('class')} AS classes, {_attr('role')} AS role, {_attr('href')} AS href FROM nodes"),
+        "page_nodes": _query(f"{_NODES}, {_BROKEN_NODES}", f"""SELECT n.page_id, n.pos, n.end_pos, max(u.pos) AS parent_pos, CAST(count(u.pos) AS INTEGER) AS depth, n.tag, any_value({_attr('id').replace('tok', 'n.tok')}) AS id,
+ any_value({_attr('class').replace('tok', 'n.tok')}) AS classes, any_value({_attr('role').replace('tok', 'n.tok')}) AS role, any_value({_attr('href').replace('tok', 'n.tok')}) AS href
+ FROM nodes n LEFT JOIN nodes u ON u.page_id = n.page_id AND u.pos < n.pos AND n.pos <= u.end_pos GROUP BY n.page_id, n.pos, n.end_pos, n.tag
+ UNION ALL SELECT -10 * p.page_id - 1 - kind, b.pos, b.end_pos, b.parent_pos, b.depth, b.tag, b.id, NULL, NULL, NULL FROM pages p JOIN broken_nodes b ON p.page_id % 50 = 0"""),
         "select_nodes": _query(_NODES, f"""SELECT DISTINCT n.page_id, n.pos, n.end_pos, n.tag FROM nodes n
  LEFT JOIN nodes a ON a.page_id = n.page_id AND a.pos < n.pos AND n.pos <= a.end_pos AND a.tag IN ('nav', 'article')
  LEFT JOIN (SELECT c.page_id, c.pos, arg_max(u.tag, u.pos) AS up FROM nodes c JOIN nodes u ON u.page_id = c.page_id AND u.pos < c.pos AND c.pos <= u.end_pos WHERE c.tag = 'a' GROUP BY ALL) q ON q.page_id = n.page_id AND q.pos = n.pos
@@ -285,8 +334,8 @@ def oracles() -> dict[str, str]:
         "follow_links": _query(_followed(), "SELECT page_id, ord, url, title FROM followed"),
         "content_area": _query(_AREA, 'SELECT page_id, "inner", error FROM areas'),
         "html_to_markdown": _query(_markdown("body"), "SELECT page_id, markdown FROM settled"),
-        "html_skeleton": _query(_SKELETON, "SELECT page_id, skeleton FROM skeletons"),
-        "skeleton_preview": _query(_SKELETON, f"SELECT page_id, CAST(length(skeleton) AS INTEGER) AS size, CASE WHEN length(skeleton) > 1000 THEN substring(skeleton, 1, 1000) || '{PREVIEW_NOTE}' ELSE skeleton END AS preview FROM skeletons"),
+        "html_skeleton": _query(_SKELETON, _OUTLINES),
+        "skeleton_preview": _query(_SKELETON, f"SELECT page_id, CAST(length(skeleton) AS INTEGER) AS size, CASE WHEN length(skeleton) > 1000 THEN substring(skeleton, 1, 1000) || '{_PREVIEW_NOTE}' ELSE skeleton END AS preview FROM ({_OUTLINES}) AS o"),
         "manifest_lines": _query(_LINES, "SELECT site, pos, line, kind FROM lines"),
         "manifest_header": _query(f"{_LINES}, {_HEADER}", "SELECT site, title, description FROM header"),
         "manifest_details": _query(_LINES, f"""SELECT site, {_trim("string_agg(CASE kind WHEN 'blank' THEN '' ELSE line END, chr(10) ORDER BY pos)")} AS details FROM lines l

@@ -12,7 +12,7 @@ from corpusloom.operators import bodies, manifest, naming, reports
 from corpusloom.operators.content import content_area
 from corpusloom.operators.links import absolute_links, extract_links, follow_links
 from corpusloom.operators.markdown import html_to_markdown
-from corpusloom.operators.selectors import select_nodes
+from corpusloom.operators.selectors import select_nodes, with_parents
 from corpusloom.operators.skeleton import html_skeleton, skeleton_preview
 from corpusloom.operators.tokens import page_nodes, page_tokens
 from corpusloom.plans.build import plan_jobs
@@ -131,8 +131,10 @@ def page_tokens_(i: Inputs) -> DataFrame:
 
 @_register
 def page_nodes_(i: Inputs) -> DataFrame:
-    nodes = page_nodes(page_tokens(i.pages))
-    return nodes.select("page_id", "pos", "end_pos", "tag", "id", "classes", "role", "href")
+    nodes = with_parents(page_nodes(page_tokens(i.derived("structured"))))
+    return nodes.select(
+        "page_id", "pos", "end_pos", "parent_pos", "depth", "tag", "id", "classes", "role", "href"
+    )
 
 
 @_register
@@ -162,12 +164,12 @@ def html_to_markdown_(i: Inputs) -> DataFrame:
 
 @_register
 def html_skeleton_(i: Inputs) -> DataFrame:
-    return html_skeleton(i.pages)
+    return html_skeleton(i.derived("structured"))
 
 
 @_register
 def skeleton_preview_(i: Inputs) -> DataFrame:
-    return skeleton_preview(html_skeleton(i.pages))
+    return skeleton_preview(html_skeleton(i.derived("structured")))
 
 
 # --- manifests -------------------------------------------------------------------
@@ -238,7 +240,7 @@ def _jobs_and_plan(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Jobs and their page lists; what several steps read is written once."""
     jobs = stored(_ready_jobs(i), "jobs")
     pages = i.derived("captures").drop("site")
-    return jobs, plan_jobs(jobs, i.derived("captured_manifests"), pages, [NAV_LINKS])
+    return jobs, plan_jobs(jobs, i.derived("captured_manifests"), pages)
 
 
 @_register

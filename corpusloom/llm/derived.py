@@ -80,7 +80,7 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
     words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
     lot = drawn(F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "text"), 60)
     rows = conversations.select("conv_id", "turn", "role", "text", words.alias("words"), lot.alias("lot"))
-    query = F.array_join(F.slice("words", 1, 5), " ")
+    query = F.trim(F.coalesce("text", F.lit("")))
     limit = F.col("lot") % 60
     search = F.when(
         F.col("lot") % 7 == 0, F.to_json(F.struct(query.alias("query"), limit.cast("string").alias("limit")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,7 +62,10 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
 
 
 def parsed(text: str):
-    """Strict JSON: no repeated keys, no NaN or infinities. ValueError otherwise."""
+    """Strict JSON: no repeated keys, no NaN, infinities or numbers beyond a double, no lone
+    surrogates, no more nesting than can be walked. ValueError otherwise. Integers may have
+    any number of digits.
+    """
 
     def pairs(items: list[tuple]) -> dict:
         if len(dict(items)) < len(items):
@@ -70,8 +75,18 @@ def parsed(text: str):
     def refuse(name: str):
         raise ValueError(f"{name} is not JSON")
 
+    def bounded(digits: str) -> float:
+        value = float(digits)
+        return refuse(digits[:40]) if math.isinf(value) else value
+
+    sys.set_int_max_str_digits(0)
     try:
-        return json.loads(text, object_pairs_hook=pairs, parse_constant=refuse)
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=refuse, parse_float=bounded)
+        # What cannot be written in UTF-8 or walked to the end is not taken either.
+        canonical(value).encode()
+        return value
+    except UnicodeEncodeError:
+        raise ValueError("lone surrogate") from None
     except RecursionError:
         raise ValueError("nested too deeply") from None
 
@@ -171,7 +186,7 @@ def _paired(calls: DataFrame, answers: DataFrame) -> DataFrame:
     ).withColumn("called", F.when(F.col("called"), True))
 
 
-def linked_calls(messages: DataFrame, schemas: dict[str, dict], every: bool = False) -> DataFrame:
+def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row per tool call, and per result without a call.
 
     `messages` has conv_id, turn, text, calls (array of struct id, name, arguments,
@@ -180,57 +195,40 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict], every: bool = Fa
     conversation are in order by (level, turn, place): a call comes after the one whose
     result it needs.
 
-    With `every`, calls and results that share an id in a conversation each give a row, as
-    where ids start again in every turn. A result then belongs to the calls in the last
-    turn before it that has any of its id, in turn, and else to one still without a
-    result; results left over are duplicate. A call waits for the last call of that id
-    before it, or else for the first. The repeats of one id in one conversation are sorted
-    by one task. Without `every` only the first call and the first result of an id count
-    (by turn, place), and later ones give no row.
+    Calls and results that share an id in a conversation each give a row, as where ids
+    start again in every turn. A result belongs to the calls in the last turn before it
+    that has any of its id, in turn, and else to one still without a result; results left
+    over are duplicate. A call waits for the last call of that id before it, or else for the
+    first. The repeats of one id in one conversation are sorted by one task. Messages without
+    conv_id are one conversation, apart from one with an empty name.
 
     status is answered, early (the result's turn is not after the call's), unanswered,
     orphan (a result only) or duplicate. A call without an id is
     unanswered and has none. level is null where calls wait for each other in a circle;
     waiting for a call that does not exist is waiting for none. valid is null for
     results only; unknown tools and arguments that are no JSON object are invalid; errors
-    lists why. record is canonical JSON of call and result; arguments that are no JSON stay
-    a string in it. Messages without calls and answers give nothing. Conversations of
+    lists why. record is canonical JSON of call and result; arguments that are no JSON (see
+    `parsed`) stay a string in it. Messages without calls and answers give nothing. Conversations of
     any length are spread by call; none is gathered.
     """
     call = F.posexplode("calls").alias("place", "call")
-    calls = messages.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"), "conv_id", "turn", call)
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key")
+    calls = messages.select(key, "conv_id", "turn", call)
     calls = calls.where("call IS NOT NULL").select(
         "key", "conv_id", "turn", "place", F.col("call.id").alias("call_id"), "call.name", "call.arguments", "call.after"
     )
     unnamed = calls.where("call_id IS NULL").drop("key")
     calls = calls.where("call_id IS NOT NULL")
-    answers = messages.where("answers IS NOT NULL").select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"), "conv_id", "turn", "text", "answers"
-    )
-    if every:
-        order = Window.partitionBy("key", "call_id").orderBy(*_by_turn(), "place", "name", "arguments", "after")
-        calls = _waits(stored(calls.withColumn("nth", F.row_number().over(order)), "calls"))
-    else:
-        head = F.min(F.struct(F.col("turn").isNull(), "turn", "place", "name", "arguments", "after")).alias("first")
-        calls = calls.groupBy("key", "conv_id", "call_id").agg(head)
-        calls = calls.select(
-            "key", "conv_id", "call_id", "first.turn", "first.place", "first.name", "first.arguments", "first.after",
-            F.lit(1).alias("nth"), F.lit(1).alias("wanted"),
-        )
-        head = F.min(F.struct(F.col("turn").isNull(), "turn", "text")).alias("first")
-        answers = answers.groupBy("key", "conv_id", "answers").agg(head)
-        answers = answers.select("key", "conv_id", "answers", "first.turn", "first.text")
+    answers = messages.where("answers IS NOT NULL").select(key, "conv_id", "turn", "text", "answers")
+    order = Window.partitionBy("key", "call_id").orderBy(*_by_turn(), "place", "name", "arguments", "after")
+    calls = _waits(stored(calls.withColumn("nth", F.row_number().over(order)), "calls"))
     calls = stored(calls, "calls")
 
     item, wanted = F.struct(F.col("call_id").alias("id"), "nth"), F.struct(F.col("after").alias("id"), F.col("wanted").alias("nth"))
     waiting = calls.select(F.col("key").alias("conv_id"), item.alias("call_id"), F.when(F.col("after").isNotNull(), wanted).alias("after"))
     levels = _levels(waiting).select(F.col("conv_id").alias("key"), "call_id.id", "call_id.nth", "level").withColumnRenamed("id", "call_id")
     calls = calls.drop("wanted").join(levels, ["key", "call_id", "nth"])
-    if every:
-        rows = _paired(calls, answers)
-    else:
-        answers = answers.toDF("key", "answer_conv", "call_id", "answer_turn", "result").withColumn("answered", F.lit(True))
-        rows = calls.withColumn("called", F.lit(True)).join(answers, ["key", "call_id"], "full").withColumn("known", F.col("called"))
+    rows = _paired(calls, answers)
     status = (
         F.when(F.col("called").isNull() & F.col("known"), "duplicate")
         .when(F.col("called").isNull(), "orphan")

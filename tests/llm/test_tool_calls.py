@@ -14,37 +14,6 @@ KIND = (
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 0}}, "additionalProperties": False}}
 
 
-def expected(rows):
-    """Brute force over whole conversations in memory."""
-    out = []
-    for conv in {r[0] for r in rows}:
-        calls, results = {}, {}
-        for _, turn, text, made, answers in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
-            for place, call in enumerate(made or []):
-                calls.setdefault(call[0], (turn, place, *call[1:]))
-            if answers is not None:
-                results.setdefault(answers, (turn, text))
-        for name, (turn, place, tool, arguments, after) in calls.items():
-            level, seen, at = 0, {name}, after
-            while level is not None and at in calls:
-                level = None if at in seen else level + 1
-                seen.add(at)
-                at = calls[at][4]
-            state = "unanswered"
-            if name in results:
-                state = "answered" if results[name][0] > turn else "early"
-            try:
-                value = parsed(arguments or "")
-                fine = isinstance(value, dict) and tool in SCHEMAS and not violations(value, SCHEMAS[tool])
-            except ValueError:
-                fine = False
-            out.append((conv, name, turn, place, tool, state, level, fine))
-        for name, (turn, _) in results.items():
-            if name not in calls:
-                out.append((conv, name, turn, None, None, "orphan", None, None))
-    return sorted(out, key=str)
-
-
 def run(spark, rows):
     got = linked_calls(spark.createDataFrame(rows, KIND), SCHEMAS)
     return got, sorted(((*r[:7], r.valid) for r in got.collect()), key=str)
@@ -62,7 +31,17 @@ def test_equals_brute_force(spark):
                 for _ in range(rng.randrange(3))
             ]
             rows.append((conv, turn, f"t{turn}", calls, rng.choice([None, f"c{rng.randrange(2 * length)}"])))
-    assert run(spark, rows)[1] == expected(rows)
+
+    def fine(tool, arguments):
+        try:
+            value = parsed(arguments or "")
+        except ValueError:
+            return False
+        return isinstance(value, dict) and tool in SCHEMAS and not violations(value, SCHEMAS[tool])
+
+    good = {(conv, turn, place): fine(c[1], c[2]) for conv, turn, _, calls, _ in rows for place, c in enumerate(calls)}
+    want = [(*r[:7], None if r[3] is None else good[r[0], r[2], r[3]]) for r in brute_force_of_every(rows)]
+    assert run(spark, rows)[1] == sorted(want, key=str)
 
 
 def test_one_long_chain(spark):
@@ -79,7 +58,7 @@ def test_odd_rows(spark):
     got, seen = run(spark, rows)
     assert seen == sorted(
         [(1, "lost", 2, None, None, "orphan", None, None), (1, None, 3, 0, None, "unanswered", 0, False), (None, "a", 4, 0, "f", "answered", 0, True),
-         (2, "z", None, 0, "f", "answered", None, False), (3, "a", 1, 0, "f", "unanswered", 0, True)], key=str
+         (2, "z", None, 0, "f", "answered", None, False), *[(3, "a", 1, k, "f", "unanswered", 0, True) for k in (0, 1, 0, 1)]], key=str
     )
     records = {r.conv_id: r.record for r in got.collect()}
     assert records[3] == '{"after":null,"arguments":{"x":100},"conv_id":3,"id":"a","name":"f","result":null}'
@@ -93,6 +72,22 @@ def test_clashing_columns(spark):
     assert linked_calls(df, SCHEMAS).first().level == 0
 
 
+def test_arguments_that_json_allows_and_rows_cannot_hold(spark):
+    odd = ['{"x":1e999}', '{"x":"\\ud800"}', "[" * 2_000 + "]" * 2_000, '{"x":' + "9" * 5_000 + "}", '{"x":"\\ud83d\\ude00"}']
+    rows = [(1, k, "t", [(f"c{k}", "f", text, None)], None) for k, text in enumerate(odd)]
+    got = linked_calls(spark.createDataFrame(rows, KIND), SCHEMAS).orderBy("turn").collect()
+    assert [r.valid for r in got] == [False, False, False, True, False]
+    assert ["not JSON" in r.errors[0] for r in got if r.errors] == [True, True, True, False]
+    assert json.loads(got[1].record)["arguments"] == odd[1] and "9" * 5_000 in got[3].record and "😀" in got[4].record
+
+
+def test_nameless_conversation_is_not_the_empty_name(spark):
+    kind = KIND.replace("conv_id long", "conv_id string")
+    rows = [(None, 1, "t", [("a", "f", '{"x":1}', None)], None), ("", 2, "t", None, "a")]
+    got = linked_calls(spark.createDataFrame(rows, kind), SCHEMAS).collect()
+    assert sorted((str(r.conv_id), r.status) for r in got) == [("", "orphan"), ("None", "unanswered")]
+
+
 @pytest.mark.parametrize("text", ['{"a":1,"a":2}', "NaN", '{"a":Infinity}', "", "{", "[" * 100_000, "1 2"])
 def test_what_is_not_json(text):
     with pytest.raises(ValueError):
@@ -156,7 +151,7 @@ def brute_force_of_every(rows):
 
 
 def run_every(spark, rows):
-    got = linked_calls(spark.createDataFrame(rows, KIND), SCHEMAS, every=True).collect()
+    got = linked_calls(spark.createDataFrame(rows, KIND), SCHEMAS).collect()
     return sorted(((*r[:7], json.loads(r.record)["result"]) for r in got), key=str)
 
 

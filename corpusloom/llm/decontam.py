@@ -16,6 +16,7 @@ from dataclasses import astuple, dataclass
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Edits allowed per character of an item; one edit in 16 leaves pieces of 16 characters.
 EDIT_RATE = 0.06
@@ -171,7 +172,7 @@ def leaks(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE) -> Da
     rows = docs.select("doc_id", "text")
     spark = docs.sparkSession
     found = [
-        rows.mapInArrow(_finder(spark.sparkContext.broadcast(astuple(block))), kind)
+        rows.mapInArrow(_finder(spark.sparkContext.broadcast(astuple(block)), to_arrow_type(items.schema["item_id"].dataType)), kind)
         for block in item_blocks(items, edit_rate)
     ]
     out = found[0] if found else spark.createDataFrame([], kind)
@@ -180,7 +181,7 @@ def leaks(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE) -> Da
     return out
 
 
-def _finder(shared):
+def _finder(shared, item_type: pa.DataType):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value)
         machine = items.automaton()
@@ -194,7 +195,7 @@ def _finder(shared):
             if rows:
                 ids, edits, starts, ends = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(at)), pa.array(ids), *(pa.array(c, pa.int32()) for c in (edits, starts, ends))],
+                    [batch["doc_id"].take(pa.array(at)), pa.array(ids, item_type), *(pa.array(c, pa.int32()) for c in (edits, starts, ends))],
                     names=["doc_id", "item_id", "edits", "start", "end"],
                 )
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import golomb
 from corpusloom.llm.words import SPACES
@@ -132,7 +133,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_name = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_name]
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     docs = docs.select("doc_id", "text")
     cards = docs.mapInArrow(_cards, f"doc_id {id_name}, chars long, digest binary")
     cards = stored(cards, "cards")

@@ -76,6 +76,24 @@ def test_pipeline_equals_brute_force(spark, rows):
     assert all(r.text == left[r.doc_id].text and queries.SHARDS[table[r.slot]] == r.shard for r in got)
 
 
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_similar_rows_go_one_by_one(spark, monkeypatch, most):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_BYTES", most)
+    one, other, third = ("alpha beta gamma delta epsilon zeta eta theta", "a b c d e f g h i j k", "r s t u v w x y z")
+    table = [(-5, third), (1, one), (2, one), (2, other), (3, other), (None, one), (None, third), (4, ""), (4, ""), (None, None), (7, one), (7, one), (-5, third)]
+    frame = docs(spark, table)
+    kept = corpus_pipeline.keep_one_of_similar(spark, frame, SF)
+    want = [(-5, third), (1, one), (2, other), (4, ""), (4, ""), (None, None)]
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_similar_rows_with_names_for_ids(spark):
+    table = [("b", "alpha beta gamma delta epsilon zeta"), ("a", "alpha beta gamma delta epsilon zeta"), ("c", "one two three four five six")]
+    frame = spark.createDataFrame(table, "doc_id string, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_similar(spark, frame, SF).collect()) == ["a", "c"]
+
+
 def test_stages_survive_odd_tables(spark):
     odd = [(1, None), (2, ""), (3, " "), (None, "x y z"), (4, "one two three four five six"), (4, "one two three four five six"), (5, "w " * 50_000)]
     for table in ([], odd):

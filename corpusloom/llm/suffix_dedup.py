@@ -17,17 +17,20 @@ lexicographic array:
   stays logarithmic in the number of batches. Once all batches are in, each block
   is told which of its suffixes occur elsewhere.
 
-Matches get longer in three rounds:
+Matches get longer from round to round:
 
 1. The 32 bytes of each anchor. A window over an anchor that occurs once occurs once.
 2. Of what is left, whole runs: all bytes that windows of the run touch. Runs that occur
-   elsewhere as a whole are repeated. An anchor with different runs, one of them
-   met only once, is mixed: windows of its runs may agree in part.
-3. Each window of the runs of mixed anchors.
-
-Rounds 2 and 3 compare 108 bits (44 of the anchor, 64 of the run or window); two different
-strings agree in them with odds of 2^-108 a pair. Round 1 sends 44 bits, which can only let
-more windows into the later rounds.
+   elsewhere as a whole are repeated.
+3. The anchors of what is left again, with whether a run of theirs occurs once. An anchor of
+   such a run that has others is mixed: windows of its runs may agree in part.
+4. Each window of the runs of mixed anchors.
+
+Rounds 2 and 4 compare 108 bits (64 of the run or window, 44 of its anchor); two different
+strings agree in them with odds of 2^-108 a pair. They are dealt by the former, so that a
+passage in very many texts, each time with other neighbours, has many owners; of an anchor
+itself, a block sends one value, however often it occurs. Rounds 1 and 3 send 44 bits,
+which can only let more windows into the later rounds.
 """
 
 from __future__ import annotations
@@ -51,12 +54,12 @@ ANCHOR, PLACES = 32, 32
 # Bits of an anchor's fingerprint that are sent.
 _SENT = 44
 # Bytes of text of a block, bytes of all blocks per owner, batches an owner takes in.
-_BLOCK, _OWNER, BATCHES = 1 << 21, 1 << 24, 8
+_BLOCK, _OWNER, BATCHES = 1 << 20, 1 << 24, 8
 # Places hashed at once: bounds the memory of one step, however long a text is.
-_STEP = 1 << 19
+_STEP = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
-_MESSAGE = "block string, round int, owner int, batch int, n int, coded binary, longer binary, marks binary"
+_MESSAGE = "block string, round int, owner int, batch int, coded binary, rest binary, again binary, alone binary"
 _ANSWER = "block string, round int, owner int, marks binary"
 
 
@@ -160,29 +163,44 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], ends[np.append(first[1:], len(ends))[: len(first)] - 1]
 
 
-def entry(key: np.ndarray, longer: np.ndarray) -> np.ndarray:
-    """Fingerprints of a prefix and of a longer one as one sortable value."""
+def entry(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The sent bits of a fingerprint and what else tells it apart, as one sortable value."""
     both = np.empty((len(key), 2), dtype=">u8")
-    both[:, 0], both[:, 1] = key, longer
+    both[:, 0], both[:, 1] = key, rest
     return both.reshape(-1).view("S16") if len(key) else np.zeros(0, "S16")
 
 
+def split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The sent bits of each value, and the rest where there is one."""
+    if values.dtype.kind != "S":
+        return values, None
+    both = values.view(">u8").reshape(-1, 2)
+    return both[:, 0].astype(np.uint64), both[:, 1].astype("<u8")
+
+
+def longer(prints: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """64 bits of a string and 44 of its anchor, sorted and dealt by the former."""
+    low = np.uint64(64 - _SENT)
+    return entry(prints >> low, prints << np.uint64(_SENT) | key)
+
+
 class Level:
-    """A suffix array: ascending distinct suffixes, and which of them occur again."""
+    """A suffix array: ascending distinct suffixes; which occur again, which were flagged alone."""
 
-    def __init__(self, values: np.ndarray, again: np.ndarray, batches: int = 1):
-        self.values, self.again, self.batches = values, again, batches
+    def __init__(self, values: np.ndarray, again: np.ndarray, alone: np.ndarray, batches: int = 1):
+        self.values, self.again, self.alone, self.batches = values, again, alone, batches
 
     @classmethod
-    def of(cls, parts: list[np.ndarray], marks: list[np.ndarray]) -> Level:
+    def of(cls, parts: list[np.ndarray], again: list[np.ndarray], alone: list[np.ndarray]) -> Level:
         """The array of one batch, from sorted parts of it."""
         values = np.concatenate(parts)
         order = np.argsort(values, kind="stable")
-        values, again = values[order], np.concatenate(marks)[order]
+        values = values[order]
         first = np.concatenate(([True], values[1:] != values[:-1]))
         starts = np.flatnonzero(first)
         copies = np.diff(np.append(starts, len(values)))
-        return cls(values[first], np.logical_or.reduceat(again, starts) | (copies > 1))
+        marked = [np.logical_or.reduceat(np.concatenate(m)[order], starts) for m in (again, alone)]
+        return cls(values[first], marked[0] | (copies > 1), marked[1])
 
     def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where `values` would lie, and whether they are there."""
@@ -196,7 +214,7 @@ class Level:
         other.again |= there
 
     def merged(self, other: Level) -> Level:
-        out = Level.of([self.values, other.values], [self.again, other.again])
+        out = Level.of([self.values, other.values], [self.again, other.again], [self.alone, other.alone])
         out.batches = self.batches + other.batches
         return out
 
@@ -224,11 +242,11 @@ class Family:
 
 
 def _decoded(table: pa.Table) -> list[np.ndarray]:
-    """The suffixes of each message: plain anchors, or anchors with what is longer."""
+    """The suffixes of each message."""
     out = []
-    for coded, longer in zip(table["coded"], table["longer"], strict=True):
+    for coded, rest in zip(table["coded"], table["rest"], strict=True):
         key = golomb.decode(coded.as_py())
-        out.append(entry(key, np.frombuffer(longer.as_py(), "<u8")) if longer.is_valid else key)
+        out.append(entry(key, np.frombuffer(rest.as_py(), "<u8")) if rest.is_valid else key)
     return out
 
 
@@ -239,28 +257,19 @@ def _bits(raw: bytes, n: int) -> np.ndarray:
 def answered(table: pa.Table) -> pa.Table:
     """Per message of one owner, a bit for each suffix: whether it occurs elsewhere.
 
-    Suffixes with a longer part have a second bit: whether their anchor is mixed.
+    In round 3 also a run of it must have been flagged as occurring once.
     """
     table = table.sort_by([("batch", "ascending"), ("block", "ascending")])
     held = _decoded(table)
-    marks = [_bits(m.as_py(), len(v)) for m, v in zip(table["marks"], held, strict=True)]
+    again, alone = ([_bits(m.as_py(), len(v)) for m, v in zip(table[c], held, strict=True)] for c in ("again", "alone"))
     batches = np.array(table["batch"].to_pylist())
     family = Family()
     for batch in np.unique(batches).tolist():
         rows = np.flatnonzero(batches == batch).tolist()
-        family.add(Level.of([held[r] for r in rows], [marks[r] for r in rows]))
+        family.add(Level.of(*([part[r] for r in rows] for part in (held, again, alone))))
     whole = family.whole()
-    bits = [whole.again]
-    if whole.values.dtype.kind == "S":
-        keys = whole.values.view(">u8").reshape(-1, 2)[:, 0]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        kinds = np.diff(np.append(starts, len(keys)))
-        alone = np.logical_or.reduceat(~whole.again, starts)
-        bits.append(np.repeat((kinds > 1) & alone, kinds))
-    replies = []
-    for values in held:
-        at, _ = whole.find(values)
-        replies.append(np.packbits(np.concatenate([b[at] for b in bits])).tobytes())
+    bits = whole.again & whole.alone if table["round"][0].as_py() == 3 else whole.again
+    replies = [np.packbits(bits[whole.find(values)[0]]).tobytes() for values in held]
     return pa.table(
         {
             "block": table["block"].combine_chunks(),
@@ -271,19 +280,22 @@ def answered(table: pa.Table) -> pa.Table:
     )
 
 
-def _messages(block: str, turn: int, owners: int, key: np.ndarray, longer: np.ndarray | None) -> pa.Table:
-    """A block's distinct suffixes, sorted and dealt to the owners of their ranges."""
-    values = key if longer is None else entry(key, longer)
-    values, copies = np.unique(values, return_counts=True)
-    if longer is not None:
-        both = values.view(">u8").reshape(-1, 2)
-        key, longer = both[:, 0].astype(np.uint64), both[:, 1].astype("<u8")
-    else:
-        key = values
+def _owner_bounds(values: np.ndarray, owners: int) -> list[int]:
+    """Where each owner's range begins in ascending values, and their end."""
     edges = np.array([(k << _SENT) // owners for k in range(owners)], dtype=np.uint64)
-    bounds = [*np.searchsorted(key, edges).tolist(), len(key)]
+    return [*np.searchsorted(split(values)[0], edges).tolist(), len(values)]
+
+
+def _messages(block: str, turn: int, owners: int, values: np.ndarray, alone: np.ndarray | None = None) -> pa.Table:
+    """A block's distinct suffixes, sorted and dealt to the owners of their ranges."""
+    found, back, copies = np.unique(values, return_inverse=True, return_counts=True)
+    flagged = np.zeros(len(found), dtype=bool)
+    if alone is not None:
+        flagged[back[alone]] = True
+    bounds = _owner_bounds(found, owners)
     parts = [(o, i, j) for o, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if i < j]
     batch = int(hashlib.blake2b(block.encode(), digest_size=4).hexdigest(), 16) % BATCHES
+    key, rest = split(found)
     n = len(parts)
     return pa.table(
         {
@@ -291,10 +303,10 @@ def _messages(block: str, turn: int, owners: int, key: np.ndarray, longer: np.nd
             "round": pa.array([turn] * n, pa.int32()),
             "owner": pa.array([o for o, _, _ in parts], pa.int32()),
             "batch": pa.array([batch] * n, pa.int32()),
-            "n": pa.array([j - i for _, i, j in parts], pa.int32()),
             "coded": pa.array([golomb.encode(key[i:j]) for _, i, j in parts], pa.binary()),
-            "longer": pa.array([None if longer is None else longer[i:j].tobytes() for _, i, j in parts], pa.binary()),
-            "marks": pa.array([np.packbits(copies[i:j] > 1).tobytes() for _, i, j in parts], pa.binary()),
+            "rest": pa.array([None if rest is None else rest[i:j].tobytes() for _, i, j in parts], pa.binary()),
+            "again": pa.array([np.packbits(copies[i:j] > 1).tobytes() for _, i, j in parts], pa.binary()),
+            "alone": pa.array([np.packbits(flagged[i:j]).tobytes() for _, i, j in parts], pa.binary()),
         }
     )
 
@@ -313,25 +325,19 @@ class _Block:
             for turn, owner, marks in zip(*(order[c].to_pylist() for c in ("round", "owner", "marks")), strict=True):
                 self.replies.setdefault(turn, []).append((owner, marks))
 
-    def told(self, turn: int, key: np.ndarray, longer: np.ndarray | None) -> list[np.ndarray]:
+    def told(self, turn: int, values: np.ndarray) -> np.ndarray:
         """The bits that owners answered for these suffixes."""
-        values = key if longer is None else entry(key, longer)
         unique, back = np.unique(values, return_inverse=True)
-        kinds = 2 if turn == 2 else 1
-        out = [np.zeros(len(unique), dtype=bool) for _ in range(kinds)]
-        heads = unique if longer is None else unique.view(">u8").reshape(-1, 2)[:, 0].astype(np.uint64)
-        edges = np.array([(k << _SENT) // self.owners for k in range(self.owners)], dtype=np.uint64)
-        bounds = [*np.searchsorted(heads, edges).tolist(), len(heads)]
+        out = np.zeros(len(unique), dtype=bool)
+        bounds = _owner_bounds(unique, self.owners)
         for owner, marks in self.replies.get(turn, []):
             i, j = bounds[owner], bounds[owner + 1]
-            bits = _bits(marks, kinds * (j - i))
-            for k in range(kinds):
-                out[k][i:j] = bits[k * (j - i) : (k + 1) * (j - i)]
-        return [b[back] for b in out]
+            out[i:j] = _bits(marks, j - i)
+        return out[back]
 
     def survivors(self) -> None:
         """Keep the windows of the runs that lie over no anchor that occurs once."""
-        (again,) = self.told(1, self.key, None)
+        again = self.told(1, self.key)
         # A window holds an anchor for sure if it holds all places one of its run was chosen from.
         back = self.length - ANCHOR - PLACES + 1
         begin = self.offsets[np.searchsorted(self.offsets, self.first, side="right") - 1]
@@ -346,32 +352,33 @@ class _Block:
         held = (run >= 0) & (stops >= starts)
         run = run[held]
         self.first, self.last, self.end, self.key = starts[held], stops[held], self.end[run], self.key[run]
-        self.longer = hashed(self.data, self.first, self.last + self.length)
+        self.body = longer(hashed(self.data, self.first, self.last + self.length), self.key)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Whether runs are repeated as a whole; places, keys, fingerprints of mixed ones' windows."""
-        whole, mixed_ = self.told(2, self.key, self.longer)
-        chosen = np.flatnonzero(mixed_)
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and suffixes of the windows in runs of mixed anchors."""
+        chosen = np.flatnonzero(self.told(3, self.key))
         sizes = self.last[chosen] - self.first[chosen] + 1
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[chosen], sizes)
-        return whole, place, np.repeat(self.key[chosen], sizes), hashed(self.data, place, place + self.length)
+        return place, longer(hashed(self.data, place, place + self.length), np.repeat(self.key[chosen], sizes))
 
     def send(self, block: str, turn: int) -> pa.Table:
         if turn == 1:
-            return _messages(block, turn, self.owners, self.key, None)
+            return _messages(block, turn, self.owners, self.key)
         self.survivors()
         if turn == 2:
-            return _messages(block, turn, self.owners, self.key, self.longer)
-        _, _, key, longer = self.windows()
-        return _messages(block, turn, self.owners, key, longer)
+            return _messages(block, turn, self.owners, self.body)
+        if turn == 3:
+            return _messages(block, turn, self.owners, self.key, ~self.told(2, self.body))
+        return _messages(block, turn, self.owners, self.windows()[1])
 
     def removed(self) -> tuple[np.ndarray, np.ndarray]:
         """Half-open intervals of bytes to remove, apart from each other, ascending."""
         self.survivors()
-        whole, place, key, longer = self.windows()
-        (again,) = self.told(3, key, longer)
-        starts = np.concatenate((self.first[whole], place[again]))
-        ends = np.concatenate((self.last[whole], place[again])) + self.length
+        whole = self.told(2, self.body)
+        place, windows = self.windows()
+        place = place[self.told(4, windows)]
+        starts = np.concatenate((self.first[whole], place))
+        ends = np.concatenate((self.last[whole], place)) + self.length
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], np.maximum.accumulate(ends[order])
         # Texts lie side by side: moving each by its number keeps their spans from touching.
@@ -440,7 +447,7 @@ def _first_round(length: int, owners: int):
 def _later_round(length: int, owners: int, turn: int):
     def send(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
-            return _messages("", turn, owners, np.zeros(0, np.uint64), None)
+            return _messages("", turn, owners, np.zeros(0, np.uint64))
         made = _Block(blocks["payload"][0].as_py(), length, owners, answers)
         return made.send(blocks["block"][0].as_py(), turn)
 
@@ -496,7 +503,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     owners = 1 + size // _OWNER
     payloads = blocks.select("block", "payload")
     answers = None
-    for turn in (1, 2, 3):
+    for turn in (1, 2, 3, 4):
         if answers is None:
             sent = payloads.groupBy("block").applyInArrow(_first_round(length, owners), _MESSAGE)
         else:

@@ -87,8 +87,9 @@ def test_family_marks_what_occurs_again(batches):
     family = sd.Family()
     for batch in batches:
         values, copies = np.unique(np.array(batch, dtype=np.uint64), return_counts=True)
-        family.add(sd.Level.of([values], [copies > 1]))
+        family.add(sd.Level.of([values], [copies > 1], [values % 3 == 0]))
         sizes = [level.batches for level in family.levels]
         assert all(a > b for a, b in zip(sizes, sizes[1:], strict=False))
     whole, seen = family.whole(), Counter(v for b in batches for v in b)
     assert dict(zip(whole.values.tolist(), whole.again.tolist(), strict=True)) == {v: n > 1 for v, n in seen.items()}
+    assert whole.alone.tolist() == [v % 3 == 0 for v in sorted(seen)]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.layout import computed
 from corpusloom.functions.text import JS_SPACE, js_trim
 from corpusloom.functions.urls import md_candidates, origin
-from corpusloom.sources.captures import newest
+from corpusloom.sources.captures import fetched, is_ok, newest_answers
+from corpusloom.sources.scratch import stored
 
 # Where a site keeps its manifest, how short a body may be.
 MANIFEST_PATH = "/llms.txt"
@@ -18,28 +19,22 @@ HTML_STARTS = ["<!DOCTYPE", "<html"]
 NOT_CAPTURED = "no body captured"
 
 
-def is_ok(status: Column) -> Column:
-    return F.coalesce(status.between(200, 299), F.lit(False))
-
-
 def lookup_manifests(sites: DataFrame, manifests: DataFrame) -> DataFrame:
     """(site, base_url, manifest_url, content, usable) per site.
 
-    A manifest is looked up at its origin; it is usable if it was answered and its
-    trimmed text has at least 10 characters.
+    A manifest is looked up at its origin. Its newest answered capture counts; it is usable
+    if its trimmed text has at least 10 characters. Texts join last, only usable ones.
     """
     wanted = computed(
         sites.select("site", "base_url"),
         manifest_url=F.concat(origin(F.col("base_url")), F.lit(MANIFEST_PATH)),
     )
-    content = F.col("content")
-    good = manifests.where(is_ok(F.col("status")) & (F.length(js_trim(content)) >= MIN_BODY))
-    # Of several captures of one manifest the newest usable one counts.
-    last = F.max_by("content", newest(manifests, "content")).alias("content")
-    good = good.groupBy("manifest_url").agg(last)
-    found = wanted.join(good, "manifest_url", "left")
+    usable = F.coalesce(F.length(js_trim(F.col("content"))) >= MIN_BODY, F.lit(False))
+    last = newest_answers(manifests, "manifest_url", "content", True, _usable=usable).where("_usable")
+    texts = fetched(last.drop("_usable"), manifests, "manifest_url", "content", "manifest_url")
+    found = wanted.join(texts, "manifest_url", "left")
     return found.select(
-        "site", "base_url", "manifest_url", "content", content.isNotNull().alias("usable")
+        "site", "base_url", "manifest_url", "content", F.col("content").isNotNull().alias("usable")
     )
 
 
@@ -63,31 +58,29 @@ def candidate_urls(pages: DataFrame) -> DataFrame:
 def probe_native_md(pages: DataFrame, md_bodies: DataFrame) -> DataFrame:
     """(page_id, md_url, rank, body): the first candidate that answers with Markdown.
 
-    Matching moves narrow rows only: candidates meet the URLs that answered, each
-    page keeps its best one, and bodies join last, one per URL. Where many pages
-    share a URL, adaptive execution splits that key's rows.
+    Of several captures of a URL the newest answered one counts. Matching moves narrow rows
+    only: candidates meet the URLs whose newest answer is Markdown, each page keeps its best
+    one, and that table is written. Bodies join it last, plain table to plain table, so that
+    adaptive execution can split a URL that very many pages share.
     """
-    usable = md_bodies.where(usable_md(F.col("status"), F.col("body")))
-    answered = usable.select("md_url")
+    usable = usable_md(F.lit(200), F.col("body"))
+    last = newest_answers(md_bodies, "md_url", "body", _usable=usable).where("_usable")
     best = (
         candidate_urls(pages)
-        .join(answered, "md_url", "left_semi")
+        .join(last.drop("_usable"), "md_url")
         .groupBy("page_id")
-        .agg(F.min(F.struct("rank", "md_url")).alias("_best"))
+        .agg(F.min(F.struct("rank", "md_url", "_at", "_digest", "_copies")).alias("_best"))
     )
-    best = best.select("page_id", "_best.rank", "_best.md_url")
-    wanted = usable.join(best.select("md_url"), "md_url", "left_semi")
-    bodies = wanted.groupBy("md_url").agg(F.min("body").alias("body"))
-    return best.join(bodies, "md_url").select(
+    best = stored(best.select("page_id", "_best.*"), "native-matches")
+    return fetched(best, md_bodies, "md_url", "body", "page_id").select(
         "page_id", "md_url", "rank", "body"
     )
 
 
 def _full_bodies(full: DataFrame) -> DataFrame:
     """(url, _full): the cleaned full text of each URL; of several captures the newest answered."""
-    last = F.max_by("body", newest(full, "body")).alias("body")
-    answered = full.where(is_ok(F.col("status"))).groupBy("url").agg(last)
-    return computed(answered, _full=clean_full_content(F.col("body"))).drop("body")
+    texts = fetched(newest_answers(full, "url", "body", True), full, "url", "body", "url")
+    return computed(texts, _full=clean_full_content(F.col("body"))).drop("body")
 
 
 def pages_left_to_html(
@@ -99,7 +92,8 @@ def pages_left_to_html(
     """
     native_on = F.col(use_native) if isinstance(use_native, str) else F.lit(use_native)
     is_full = F.col("is_full_content")
-    there = _full_bodies(full).where(F.col("_full") != "").select("url")
+    left_over = F.coalesce(clean_full_content(F.col("body")) != "", F.lit(False))
+    there = newest_answers(full, "url", "body", True, _left=left_over).where("_left").select("url")
     emptied = plan.where(is_full).join(there, "url", "left_anti").select("page_id")
     others = plan.where(~is_full).select("page_id", native_on.alias("_on"))
     asked = others.where("_on").join(native.select("page_id"), "page_id", "left_anti")

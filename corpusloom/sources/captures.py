@@ -67,6 +67,59 @@ def newest(df: DataFrame, *rest: str) -> Column:
     return F.struct(*time, *rest)
 
 
+# Characters of a text by which captures of one time are put in order.
+_HEAD = 64
+
+
+def is_ok(status: Column) -> Column:
+    return F.coalesce(status.between(200, 299), F.lit(False))
+
+
+def _stamped(captures: DataFrame, key: str, value: str) -> DataFrame:
+    """Answered captures with `_at` and `_digest`, by which one of them is found again."""
+    time = F.col("captured_at") if "captured_at" in captures.columns else F.lit(0)
+    answered = captures.where(is_ok(F.col("status")))
+    return answered.select(key, value, time.alias("_at"), F.xxhash64(value).alias("_digest"))
+
+
+def newest_answers(
+    captures: DataFrame, key: str, value: str, last: bool = False, **flags: Column
+) -> DataFrame:
+    """(key, _at, _digest, _copies, flags): each key's newest answered capture.
+
+    `flags` say what must be known of `value`; only they, its first characters and a digest
+    are grouped, never the value itself. Of captures of one time the first by their
+    beginning counts (the last, if `last`), then by digest; `_copies` counts those that are
+    equal in all. `fetched` brings the values.
+    """
+    head = F.left(F.col(value), F.lit(_HEAD)).alias("_head")
+    stamped = _stamped(captures, key, value)
+    narrow = stamped.select(key, "_at", head, "_digest", *[c.alias(name) for name, c in flags.items()])
+    copies = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("_copies"))
+    one = (F.max if last else F.min)(F.struct("_head", "_digest", "_copies", *flags)).alias("_one")
+    newest_one = F.max(F.struct("_at", "_one")).alias("_new")
+    of_each = copies.groupBy(key, "_at").agg(one).groupBy(key).agg(newest_one)
+    return of_each.select(key, "_new._at", "_new._one.*").drop("_head")
+
+
+def fetched(asked: DataFrame, captures: DataFrame, key: str, value: str, row: str) -> DataFrame:
+    """`asked` (key, _at, _digest, _copies, ...; one row per `row`) with the `value` it names.
+
+    Values move once, to where they are asked for. Only captures that were stored more than
+    once, equal in all, are grouped.
+    """
+    source = _stamped(captures, key, value).toDF("_key", value, "_at_", "_digest_")
+    same = (
+        (F.col(key) == F.col("_key"))
+        & (F.col("_digest") == F.col("_digest_"))
+        & F.col("_at").eqNullSafe(F.col("_at_"))
+    )
+    kept = [c for c in asked.columns if c not in ("_at", "_digest", "_copies")]
+    once = asked.where("_copies = 1").join(source, same).select(*kept, value)
+    again = asked.where("_copies > 1").join(source, same).select(*kept, value)
+    return once.unionByName(again.dropDuplicates([row]))
+
+
 def read_site_config(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Per-domain settings from a file set with the fixed schema."""
     return spark.read.schema(SITE_CONFIG).format(fmt).load(path)

@@ -24,15 +24,13 @@ FIXTURES = {
 SELECT page_id, site, concat('https://', site, regexp_replace(url, '^[a-z]+://[^/?#]*', '')) AS url, html
 FROM (SELECT page_id, url, html,
   concat('d', CAST(floor(page_id / $PAGES_PER_SITE) AS BIGINT), '.', {_HOST}) AS site FROM {{pages}}) AS s""",
-    # All pages, and broken ones, each as often as there are fifty of the others.
+    # All pages, and a broken one of five kinds for every tenth.
     "structured": """
 SELECT page_id, url, html FROM {pages} AS p UNION ALL
-SELECT -10 * page_id - 1 - kind AS page_id, concat(url, '#broken') AS url, markup AS html FROM {pages} AS p
-  JOIN (SELECT 0 AS kind, '<table><tr><td>a<td>b<tr><th>c</table><p>x' AS markup
-    UNION ALL SELECT 1, '<body><dl><dt>k<dd>v<dt>l</dl>z</body>'
-    UNION ALL SELECT 2, '<div id=d><iframe src=x>in</div><footer>f</footer>'
-    UNION ALL SELECT 3, 'just text'
-    UNION ALL SELECT 4, '<ul><li>a<ul><li>b</ul><li>c</ul><select><option>x<option>y</select>') AS b ON p.page_id % 50 = 0""",
+SELECT -page_id - 1 AS page_id, concat(url, '#broken') AS url, CASE page_id % 50
+  WHEN 0 THEN '<table><tr><td>a<td>b<tr><th>c</table><p>x' WHEN 10 THEN '<body><dl><dt>k<dd>v<dt>l</dl>z</body>'
+  WHEN 20 THEN '<div id=d><iframe src=x>in</div><footer>f</footer>' WHEN 30 THEN 'just text'
+  ELSE '<ul><li>a<ul><li>b</ul><li>c</ul><select><option>x<option>y</select>' END AS html FROM {pages} AS b WHERE page_id % 10 = 0""",
     # (site, status, content): about 1 of 7 sites has no manifest, 1 of 7 a useless one.
     "manifest_texts": f"""
 SELECT site, CASE WHEN length(site) % 7 = 0 THEN 404 ELSE 200 END AS status,
@@ -47,10 +45,12 @@ FROM (SELECT site, $JOIN_LINES AS content FROM (
     $SPACED_TITLE, '](',
     CASE WHEN page_id % 7 = 0 THEN concat('https://other.example.com/x', page_id) WHEN page_id % 5 = 0 THEN concat({_PATH}, '.txt') ELSE {_PATH} END, ')',
     CASE WHEN page_id % 4 = 0 THEN ': short note' ELSE '' END) FROM {{captures}}) AS l GROUP BY site) AS m""",
-    # As captured: some texts are too short to be a manifest.
+    # As captured: some texts are too short to be a manifest; older and refused captures lie about.
     "captured_manifests": """
-SELECT manifest_url, status, CASE WHEN length(site) % 7 = 1 THEN ' tiny ' ELSE content END AS content
-FROM {manifest_texts} AS t""",
+SELECT manifest_url, status, CASE WHEN length(site) % 7 = 1 THEN ' tiny ' ELSE content END AS content, 2 AS captured_at
+FROM {manifest_texts} AS t UNION ALL
+SELECT manifest_url, 200, concat('# Old', chr(10), '## Docs', chr(10), '- [Old page](/old)'), 1 FROM {manifest_texts} AS o WHERE length(site) % 7 > 0 UNION ALL
+SELECT manifest_url, 503, 'try again later', 3 FROM {manifest_texts} AS r WHERE length(site) % 5 = 0""",
     # One crawl job per site; the entry page is its first one.
     "jobs": """
 SELECT site, min_by(url, page_id) AS base_url,
@@ -81,12 +81,13 @@ SELECT page_id, url FROM {pages} AS p UNION ALL
 SELECT doc_id, concat('https://', coalesce(source, 'none'), '.example.com/', coalesce(lang, 'und'), '/text', doc_id)
 FROM {documents} AS d WHERE NOT EXISTS (SELECT 1 FROM {pages} AS q WHERE q.page_id = d.doc_id)""",
     # Answers to Markdown candidates, one per document; a third did not answer, and HTML
-    # pages and tiny ones do not count.
+    # pages and tiny ones do not count, nor does the older answer of some of them.
     "md_bodies": f"""
-SELECT concat(o, b, '.md') AS md_url, CASE WHEN page_id % 3 = 2 THEN 404 ELSE 200 END AS status,
-  CASE WHEN page_id % 11 = 0 THEN '<!DOCTYPE html><p>no</p>' WHEN page_id % 13 = 0 THEN 'tiny' ELSE text END AS body
-FROM (SELECT page_id, {_ROOT} AS o, {_STEM} AS b FROM {{sheets}} AS p) AS u
-JOIN {{documents}} AS d ON d.doc_id = u.page_id""",
+SELECT md_url, CASE WHEN page_id % 3 = 2 THEN 404 ELSE 200 END AS status,
+  CASE WHEN page_id % 11 = 0 THEN '<!DOCTYPE html><p>no</p>' WHEN page_id % 13 = 0 THEN 'tiny' ELSE text END AS body, page_id * 2 + 1 AS captured_at
+FROM (SELECT page_id, concat({_ROOT}, {_STEM}, '.md') AS md_url FROM {{sheets}} AS p) AS u
+JOIN {{documents}} AS d ON d.doc_id = u.page_id UNION ALL
+SELECT concat({_ROOT}, {_STEM}, '.md'), 200, concat('an older answer of ', page_id), page_id * 2 FROM {{sheets}} AS o WHERE page_id % 4 = 1""",
     # Planned pages; every fifth is a full-content text.
     "planned": f"""
 SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat({_ROOT}, {_STEM}, '.txt') ELSE url END AS url,
@@ -95,9 +96,10 @@ FROM {{sheets}} AS p""",
     # A full text per document; some are empty once their system note is gone.
     "full_bodies": f"""
 SELECT url, 200 AS status, CASE WHEN page_id % 15 = 0 THEN '<SYSTEM>only</SYSTEM> '
-  ELSE concat('<SYSTEM>tool note', chr(10), page_id, '</SYSTEM>', chr(10), text) END AS body
+  ELSE concat('<SYSTEM>tool note', chr(10), page_id, '</SYSTEM>', chr(10), text) END AS body, page_id * 2 + 1 AS captured_at
 FROM (SELECT page_id, concat({_ROOT}, {_STEM}, '.txt') AS url FROM {{sheets}} AS q) AS f
-JOIN {{documents}} AS d ON d.doc_id = f.page_id""",
+JOIN {{documents}} AS d ON d.doc_id = f.page_id UNION ALL
+SELECT concat({_ROOT}, {_STEM}, '.txt'), 200, concat('an older text of ', page_id), page_id * 2 FROM {{sheets}} AS o WHERE page_id % 10 = 0""",
 }
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"

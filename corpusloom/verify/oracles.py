@@ -173,7 +173,7 @@ _BROKEN_OUTLINES = {
     4: "<body>|  <ul>|  <li>|  <ul>|  <li>b</li>|</ul>|</li>|  <li>c</li>|</ul>|  <select>|  <option>x</option>|  <option>y</option>|</select>|</body>",
 }
 _OUTLINES = "SELECT page_id, skeleton FROM skeletons" + "".join(
-    f" UNION ALL SELECT -10 * page_id - {1 + kind}, replace('{text}', '|', chr(10)) FROM pages WHERE page_id % 50 = 0"
+    f" UNION ALL SELECT -page_id - 1, replace('{text}', '|', chr(10)) FROM pages WHERE page_id % 50 = {10 * kind}"
     for kind, text in _BROKEN_OUTLINES.items()
 )
 
@@ -208,7 +208,7 @@ header AS (SELECT site, coalesce(arg_max({_trim("substring(t, 3)")}, pos) FILTER
 
 _LOOKUP = f"""
 looked_up AS (SELECT j.site, j.base_url, {_ROOT.replace("url", "j.base_url")} || '/llms.txt' AS manifest_url, m.content, m.content IS NOT NULL AS usable
-  FROM {_fixture("jobs")} j LEFT JOIN (SELECT * FROM {_fixture("captured_manifests")} WHERE status = 200 AND length({_trim("content")}) >= 10) m
+  FROM {_fixture("jobs")} j LEFT JOIN (SELECT * FROM (SELECT manifest_url, arg_max(content, captured_at) AS content FROM {_fixture("captured_manifests")} WHERE status = 200 GROUP BY manifest_url) WHERE length({_trim("content")}) >= 10) m
   ON {_ROOT.replace("url", "j.base_url")} || '/llms.txt' = m.manifest_url)"""
 
 # --- planning ------------------------------------------------------------------------------
@@ -275,8 +275,8 @@ def _usable(status: str, body: str) -> str:
 
 
 _NATIVE = f"""{_candidates(_fixture("sheets"))},
-native AS (SELECT c.page_id, c.md_url, c.rank, m.body FROM candidates c JOIN (SELECT * FROM {_fixture("md_bodies")} WHERE {_usable("status", "body")}) m ON c.md_url = m.md_url
-  QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY c.rank, m.body) = 1)"""
+native AS (SELECT c.page_id, c.md_url, c.rank, m.body FROM candidates c JOIN (SELECT * FROM (SELECT md_url, arg_max(body, captured_at) AS body FROM {_fixture("md_bodies")} WHERE status = 200 GROUP BY md_url) WHERE {_usable("200", "body")}) m ON c.md_url = m.md_url
+  QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY c.rank) = 1)"""
 
 
 def _cleaned(x: str) -> str:
@@ -325,7 +325,7 @@ def oracles() -> dict[str, str]:
         "page_nodes": _query(f"{_NODES}, {_BROKEN_NODES}", f"""SELECT n.page_id, n.pos, n.end_pos, max(u.pos) AS parent_pos, CAST(count(u.pos) AS INTEGER) AS depth, n.tag, any_value({_attr('id').replace('tok', 'n.tok')}) AS id,
  any_value({_attr('class').replace('tok', 'n.tok')}) AS classes, any_value({_attr('role').replace('tok', 'n.tok')}) AS role, any_value({_attr('href').replace('tok', 'n.tok')}) AS href
  FROM nodes n LEFT JOIN nodes u ON u.page_id = n.page_id AND u.pos < n.pos AND n.pos <= u.end_pos GROUP BY n.page_id, n.pos, n.end_pos, n.tag
- UNION ALL SELECT -10 * p.page_id - 1 - kind, b.pos, b.end_pos, b.parent_pos, b.depth, b.tag, b.id, NULL, NULL, NULL FROM pages p JOIN broken_nodes b ON p.page_id % 50 = 0"""),
+ UNION ALL SELECT -p.page_id - 1, b.pos, b.end_pos, b.parent_pos, b.depth, b.tag, b.id, NULL, NULL, NULL FROM pages p JOIN broken_nodes b ON p.page_id % 50 = 10 * b.kind"""),
         "select_nodes": _query(_NODES, f"""SELECT DISTINCT n.page_id, n.pos, n.end_pos, n.tag FROM nodes n
  LEFT JOIN nodes a ON a.page_id = n.page_id AND a.pos < n.pos AND n.pos <= a.end_pos AND a.tag IN ('nav', 'article')
  LEFT JOIN (SELECT c.page_id, c.pos, arg_max(u.tag, u.pos) AS up FROM nodes c JOIN nodes u ON u.page_id = c.page_id AND u.pos < c.pos AND c.pos <= u.end_pos WHERE c.tag = 'a' GROUP BY ALL) q ON q.page_id = n.page_id AND q.pos = n.pos
@@ -354,7 +354,7 @@ def oracles() -> dict[str, str]:
         "native_md_filter": f"SELECT 'document' AS origin, doc_id AS id, {_usable('200', 'text')} AS usable FROM documents UNION ALL SELECT 'page', page_id, {_usable('200', 'html')} FROM pages",
         "pick_body": _query(f"{_NATIVE}, {_markdown('article')}", f"""SELECT p.page_id, p.url, CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN 'full' WHEN NOT is_full_content AND n.body IS NOT NULL THEN 'native' WHEN s.markdown IS NOT NULL THEN 'html' END AS source,
  CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN {_cleaned('f.body')} WHEN NOT is_full_content AND n.body IS NOT NULL THEN n.body ELSE s.markdown END AS body
- FROM {_fixture('planned')} p LEFT JOIN (SELECT url, max(body) AS body FROM {_fixture('full_bodies')} GROUP BY url) f ON f.url = p.url LEFT JOIN native n ON n.page_id = p.page_id LEFT JOIN settled s ON s.page_id = p.page_id"""),
+ FROM {_fixture('planned')} p LEFT JOIN (SELECT url, arg_max(body, captured_at) AS body FROM {_fixture('full_bodies')} GROUP BY url) f ON f.url = p.url LEFT JOIN native n ON n.page_id = p.page_id LEFT JOIN settled s ON s.page_id = p.page_id"""),
         "fetch_outcomes": _query(_OUTCOMES, "SELECT page_id, url, outcome, error, done_ms FROM outcomes"),
         "retry_audit": f"""SELECT page_id, url, count(*) AS n_attempts, count(*) FILTER (status IS NULL AND error <> 'bad certificate') AS n_retryable, count(*) FILTER (status IS NULL AND error = 'bad certificate') AS n_final,
  count(*) FILTER (status = 503) AS http_only, coalesce(CAST(sum(CASE WHEN status IS NULL THEN 1000 * CAST(pow(2, attempt) AS BIGINT) END) AS BIGINT), 0) AS backoff_ms,

@@ -15,18 +15,27 @@ def drawn(value: Column, below: int) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Each page with the day of its fetch, one of 400."""
+    """Each page with the day of its fetch, one of 400; a third lie four folders deeper."""
     later = drawn(F.concat(F.lit("fetched "), F.col("page_id").cast("string")), 400)
-    return pages.select("page_id", "url", F.date_add(F.lit(FIRST_DAY).cast("date"), later).alias("fetched"))
+    return pages.select("page_id", _deeper().alias("url"), F.date_add(F.lit(FIRST_DAY).cast("date"), later).alias("fetched"))
+
+
+def _deeper() -> Column:
+    """The page's URL, for a third of them without what follows the path and with more of it."""
+    bare = F.regexp_replace("url", "/*([?#].*)?$", "")
+    lot = drawn(F.concat(F.lit("deeper "), F.col("page_id").cast("string")), 3)
+    return F.when(lot == 0, F.concat(bare, F.lit("/v1/en/Api/ref"))).otherwise(F.col("url"))
 
 
 def list_changes(pages: DataFrame) -> DataFrame:
-    """Dated changes of three lists: hosts, their parent domains, and first path segments.
+    """Dated changes of lists of hosts, their parent domains, top-level domains and paths.
 
-    A third of all targets is listed; half of those are removed after a while, and a
+    Paths are listed by their first segment and by all but the last. A third of all targets is listed; half of those are removed after a while, and a
     part of these comes back with the other action.
     """
+    pages = pages.select(_deeper().alias("url"))
     host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1))
+    folder = F.lower(F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]+)/[^/?#]+", 1))
     segment = F.lower(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^/?#]+)", 1))
     parent = F.regexp_extract(host, r"^[^.]+\.(.+)$", 1)
     named = F.array(
@@ -36,6 +45,8 @@ def list_changes(pages: DataFrame) -> DataFrame:
             F.lit("paths").alias("list"),
             F.when(segment != "", F.concat(host, F.lit("/"), segment)).otherwise("").alias("target"),
         ),
+        F.struct(F.lit("folders").alias("list"), F.when(folder != "", F.concat(host, folder)).otherwise("").alias("target")),
+        F.struct(F.lit("top").alias("list"), F.substring_index(host, ".", -1).alias("target")),
     )
     entries = pages.select(F.inline(named)).where("target <> ''").distinct()
     key = F.concat("list", F.lit(" "), "target")

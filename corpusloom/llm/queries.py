@@ -132,15 +132,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 _OP5 = r"""
-WITH parts AS (
+WITH deeper AS (
+  SELECT page_id, CASE WHEN ('0x' || substr(md5('deeper ' || page_id), 1, 8))::BIGINT % 3 = 0
+                       THEN regexp_replace(url, '/*([?#].*)?$', '') || '/v1/en/Api/ref' ELSE url END AS url
+  FROM pages
+), parts AS (
   SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
          lower(regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1)) AS segment,
+         lower(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]+)/[^/?#]+', 1)) AS folder,
          list_filter(string_split(lower(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1)), '/'), lambda s: s <> '') AS segments,
          DATE '2024-01-01' + (('0x' || substr(md5('fetched ' || page_id), 1, 8))::BIGINT % 400)::INTEGER AS fetched
-  FROM pages
+  FROM deeper
 ), named AS (
-  SELECT DISTINCT unnest(['hosts', 'domains', 'paths']) AS list,
-         unnest([host, regexp_extract(host, '^[^.]+\.(.+)$', 1), CASE WHEN segment <> '' THEN host || '/' || segment ELSE '' END]) AS target
+  SELECT DISTINCT unnest(['hosts', 'domains', 'paths', 'folders', 'top']) AS list,
+         unnest([host, regexp_extract(host, '^[^.]+\.(.+)$', 1), CASE WHEN segment <> '' THEN host || '/' || segment ELSE '' END,
+                 CASE WHEN folder <> '' THEN host || folder ELSE '' END, string_split(host, '.')[-1]]) AS target
   FROM parts
 ), lots AS (
   SELECT *, ('0x' || substr(md5(list || ' ' || target), 1, 8))::BIGINT % 36 AS lot,
@@ -155,8 +161,8 @@ WITH parts AS (
   SELECT *, lead(day) OVER (PARTITION BY list, target ORDER BY day) AS until FROM changes
 ), covering AS (
   SELECT page_id, fetched, unnest(list_concat(
-           list_transform(range(1, least(len(segments), 4) + 1), lambda n: {'depth': -n, 'target': host || '/' || array_to_string(segments[1:n], '/')}),
-           list_transform(range(1, greatest(2, len(string_split(host, '.')))),
+           list_transform(range(1, len(segments) + 1), lambda n: {'depth': -n, 'target': host || '/' || array_to_string(segments[1:n], '/')}),
+           list_transform(range(1, len(string_split(host, '.')) + 1),
                           lambda n: {'depth': n, 'target': array_to_string(string_split(host, '.')[n:], '.')}))) AS c
   FROM parts
 ), verdicts AS (

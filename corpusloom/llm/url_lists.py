@@ -38,14 +38,14 @@ def validity(changes: DataFrame) -> DataFrame:
 
 
 def url_targets(
-    url: Column, depths: Column | None = None, sizes: Column | None = None, top_level: bool = False
+    url: Column, depths: Column | None = None, sizes: Column | None = None, top_level: bool = True
 ) -> Column:
     """Targets that cover a URL, most specific first: path prefixes, host, parents.
 
     All of them, however long the path or the host is. `depths` and `sizes` (falling
     numbers of path segments and of domain labels) leave only the prefixes and parents
     that have so many; the host always stays. A parent of one label, such as a top-level
-    domain, is among them only with `top_level`.
+    domain, is left out without `top_level`.
     """
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     path = F.regexp_extract(url, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
@@ -69,7 +69,7 @@ def _falling(numbers: Column | None, first: Column, last: Column) -> Column:
     return F.when(first <= last, F.sequence(last, first, F.lit(-1))).otherwise(F.array().cast("array<int>"))
 
 
-def judged(captures: DataFrame, changes: DataFrame, top_level: bool = False) -> DataFrame:
+def judged(captures: DataFrame, changes: DataFrame, top_level: bool = True) -> DataFrame:
     """Per row of `captures` (page_id, url, fetched): the verdict of the lists that day.
 
     Returns page_id, fetched, action ('block', 'allow' or null if no entry was active),
@@ -80,7 +80,7 @@ def judged(captures: DataFrame, changes: DataFrame, top_level: bool = False) ->
     repeat it are judged together if url and day are equal too, and give one row each.
     Other columns are not looked at; no rows give no rows. Entries may name any number of
     path segments and domain labels; one on a bare top-level domain covers the hosts
-    below it only with `top_level`, and else just a host of that name.
+    below it, or just a host of that name where `top_level` is False.
 
     A URL is keyed by those prefixes and parents whose length occurs among the entries,
     so that a very long path does not grow with the square of its length. Both sides are keyed by target and period of days, so that a host with very many

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,30 +25,12 @@ def ordered_concat(value: str, order: str) -> Column:
     return F.expr(f"listagg({value}, '') WITHIN GROUP (ORDER BY {order})")
 
 
-def _reference_table() -> tuple[dict[str, str], list[str], list[str]]:
-    """HTML 4 names plus `apos`, and the names that also work without `;`."""
-    names = {n: chr(code) for n, code in name2codepoint.items()} | {"apos": "'"}
-    common = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "mdash", "hellip"]
-    ordered = common + sorted(set(names) - set(common))
-    bare = [n for n in ordered if n in html5]
-    return names, ordered, bare
+# The standard's names with `;`, and those that also work without it.
+_NAMES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+_BARE = {name: text for name, text in html5.items() if not name.endswith(";")}
+_BARE_SIZES = sorted({len(name) for name in _BARE}, reverse=True)
 
-
-_NAMES, _ORDERED, _BARE = _reference_table()
-
-
-def _longest_first(names: list[str]) -> str:
-    return "|".join(sorted(names, key=lambda n: (-len(n), n)))
-
-
-def _pieces_pattern(in_attribute: bool) -> str:
-    # Inside an attribute value a name without `;` stands for itself when more
-    # name characters or `=` follow.
-    guard = "(?![=A-Za-z0-9])" if in_attribute else ""
-    return (
-        "(?s)&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?"
-        f"|&(?:{_longest_first(_ORDERED)});|&(?:{_longest_first(_BARE)}){guard}|[^&]+|&"
-    )
+_PIECES = r"(?s)&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*[;=]?|[^&]+|&"
 
 
 def _table(pairs: dict[str, str]) -> Column:
@@ -76,26 +58,51 @@ def _code_point(n: Column) -> Column:
     )
 
 
+def _numbered(piece: Column) -> Column:
+    """A numeric reference decoded."""
+    hexa = F.regexp_extract(piece, "^&#[xX]0*([0-9A-Fa-f]+)", 1)
+    deci = F.regexp_extract(piece, "^&#0*([0-9]+)", 1)
+    # More digits than any character has name none; they stay short of an overflow.
+    read = F.when(piece.rlike("^&#[xX]"), F.conv(F.substring(hexa, 1, 8), 16, 10)).otherwise(
+        F.substring(deci, 1, 10)
+    )
+    number = F.when((F.length(hexa) > 8) | (F.length(deci) > 10), F.lit(_BEYOND)).otherwise(
+        read.try_cast("bigint")
+    )
+    return F.coalesce(_code_point(number), piece)
+
+
+def _named(piece: Column, in_attribute: bool) -> Column:
+    """A named reference decoded: the whole name before `;`, else its longest bare beginning."""
+    name = F.regexp_extract(piece, "^&([A-Za-z0-9]+)", 1)
+    bare = _table(_BARE)
+    whole = F.when(piece.endswith(";"), F.try_element_at(_table(_NAMES), name))
+    if in_attribute:
+        # There a bare name counts only if neither more of a name nor `=` follows.
+        begun = F.when(F.concat(F.lit("&"), name) == piece, F.try_element_at(bare, name))
+        return F.coalesce(whole, begun, piece)
+    begun = [
+        F.concat(
+            F.when(F.length(name) >= n, F.try_element_at(bare, F.substring(name, 1, n))),
+            F.substring(piece, n + 2, 1 << 30),
+        )
+        for n in _BARE_SIZES
+    ]
+    return F.coalesce(whole, *begun, piece)
+
+
 def decode_entities(c: Column, in_attribute: bool = False) -> Column:
-    """Decode character references once; unknown ones stay as they are."""
-    table = _table({n: _NAMES[n] for n in _ORDERED})
+    """Decode character references once, as the HTML standard reads them.
+
+    All of its names count; unknown ones stay as they are.
+    """
 
     def decode(piece: Column) -> Column:
-        hexa = F.regexp_extract(piece, "^&#[xX]0*([0-9A-Fa-f]+)", 1)
-        deci = F.regexp_extract(piece, "^&#0*([0-9]+)", 1)
-        # More digits than any character has name none; they stay short of an overflow.
-        read = F.when(piece.rlike("^&#[xX]"), F.conv(F.substring(hexa, 1, 8), 16, 10)).otherwise(
-            F.substring(deci, 1, 10)
-        )
-        number = F.when((F.length(hexa) > 8) | (F.length(deci) > 10), F.lit(_BEYOND)).otherwise(
-            read.try_cast("bigint")
-        )
-        named = F.try_element_at(table, F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);?$", 1))
         return (
-            F.when(~piece.startswith("&"), piece)
-            .when(piece.startswith("&#"), F.coalesce(_code_point(number), piece))
-            .otherwise(F.coalesce(named, piece))
+            F.when(~piece.startswith("&") | (piece == "&"), piece)
+            .when(piece.startswith("&#"), _numbered(piece))
+            .otherwise(_named(piece, in_attribute))
         )
 
-    pieces = F.regexp_extract_all(c, F.lit(_pieces_pattern(in_attribute)), F.lit(0))
+    pieces = F.regexp_extract_all(c, F.lit(_PIECES), F.lit(0))
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, decode), "")).otherwise(c)

@@ -1,3 +1,6 @@
+import html.entities
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import slug
@@ -52,3 +55,17 @@ def test_entities(spark):
     assert got == ENTITIES
     href = decode_entities(F.lit("?a=1&amp;b&copy=2&lt;&copy"), in_attribute=True)
     assert spark.range(1).select(href).first()[0] == "?a=1&b&copy=2<©"
+
+
+def test_entities_as_the_standard_reads_them(spark):
+    rng, names = random.Random(1), list(html.entities.html5)
+    cases = ["&check;", "&lbrace;", "&notit;", "&notin;", "a&amp b", "&ampx", "&NotEqualTilde;", "&colon;&Tab;&NewLine;", "x&gt;&gty", "&aelig", "&thorn="]
+    parts = [lambda: "&" + rng.choice(names), lambda: rng.choice(names)[:3], lambda: rng.choice(["&", ";", "x=", " "])]
+    cases += ["".join(rng.choice(parts)() for _ in range(6)) for _ in range(300)]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    got = {r.c: r.d for r in df.select("c", decode_entities(F.col("c")).alias("d")).collect()}
+    assert got == {c: html.unescape(c) for c in cases}
+    attributes = {"?a&notit;": "?a&notit;", "&notin;": "∉", "?a=1&copy=2": "?a=1&copy=2", "&copyx": "&copyx", "&amp&lt": "&<", "&lt=": "&lt="}
+    df = spark.createDataFrame([(c,) for c in attributes], "c string")
+    got = {r.c: r.d for r in df.select("c", decode_entities(F.col("c"), in_attribute=True).alias("d")).collect()}
+    assert got == attributes

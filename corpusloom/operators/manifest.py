@@ -220,16 +220,42 @@ def manifest_section_stats(classified: DataFrame, include_optional: bool = False
 
 
 def manifest_check(looked_up: DataFrame, include_optional: bool = False) -> DataFrame:
-    """Found flag, header and counters per site; unusable manifests have NULLs.
+    """Found flag, header, counters and sections per site; unusable manifests have NULLs.
 
-    Takes the result of `lookup_manifests`.
+    Takes the result of `lookup_manifests`. `sections` is an array of struct (title,
+    is_optional, link_count), in order, of sections that are taken or have links. Each
+    text is split once: its lines are counted per section, and sections per site.
     """
     usable = looked_up.where("usable")
-    stats = manifest_stats(classified_links(usable, include_optional), include_optional)
+    lines = classified_links(usable, include_optional)
+    t, kind, pos, fate = F.col("trimmed"), F.col("kind"), F.col("pos"), F.col("fate")
+    last_line = {"h1": _after(t, 2), "quote": _after(t, 1)}
+    per_section = lines.groupBy("site", "section_ord").agg(
+        F.max_by("section", pos).alias("title"),
+        F.max_by("is_optional", pos).alias("is_optional"),
+        *[F.count_if(fate == f).alias(f) for f in ("kept", "optional", "external")],
+        *[F.max(F.when(kind == k, F.struct("pos", text.alias("text")))).alias(f"_{k}") for k, text in last_line.items()],
+    )
+    real = F.col("section_ord") > 0
+    taken = ~F.col("is_optional") | F.lit(include_optional)
+    shown = F.struct(
+        "section_ord", "title", "is_optional", F.col("kept").alias("link_count")
+    )
+    listed = F.sort_array(F.collect_list(F.when(real & (taken | (F.col("kept") > 0)), shown)))
+    totals = per_section.groupBy("site").agg(
+        F.coalesce(F.max("_h1")["text"], F.lit("")).alias("title"),
+        F.max("_quote")["text"].alias("description"),
+        F.sum("kept").alias("total_links"),
+        F.sum("optional").alias("skipped_optional"),
+        F.sum("external").alias("skipped_external"),
+        F.count_if(real & taken).alias("total_sections"),
+        F.transform(
+            listed, lambda s: F.struct(s["title"].alias("title"), s["is_optional"].alias("is_optional"), s["link_count"].alias("link_count"))
+        ).alias("sections"),
+    )
     return (
         looked_up.select("site", "manifest_url", F.col("usable").alias("found"))
-        .join(manifest_header(usable), "site", "left")
-        .join(stats.drop("total_sections"), "site", "left")
+        .join(totals, "site", "left")
         .select(
             "site",
             "found",
@@ -239,5 +265,7 @@ def manifest_check(looked_up: DataFrame, include_optional: bool = False) -> Data
             "total_links",
             "skipped_optional",
             "skipped_external",
+            "total_sections",
+            "sections",
         )
     )

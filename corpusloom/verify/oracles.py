@@ -202,6 +202,12 @@ _STATS = """
 stats AS (SELECT site, count(*) FILTER (fate = 'kept') AS total_links, count(*) FILTER (fate = 'optional') AS skipped_optional,
   count(*) FILTER (fate = 'external') AS skipped_external FROM fates GROUP BY site)"""
 
+_LISTING = """
+counted_sections AS (SELECT h.site, h.section_ord, h.section, lower(h.section) = 'optional' AS is_optional, count(*) FILTER (f.fate = 'kept') AS n
+  FROM heads h LEFT JOIN fates f ON h.site = f.site AND h.section_ord = f.section_ord GROUP BY ALL),
+listing AS (SELECT site, count(*) FILTER (NOT is_optional) AS total_sections,
+  to_json(list({'title': section, 'is_optional': is_optional, 'link_count': n} ORDER BY section_ord) FILTER (n > 0 OR NOT is_optional))::VARCHAR AS sections FROM counted_sections GROUP BY site)"""
+
 _HEADER = f"""
 header AS (SELECT site, coalesce(arg_max({_trim("substring(t, 3)")}, pos) FILTER (kind = 'h1'), '') AS title,
   arg_max({_trim("substring(t, 2)")}, pos) FILTER (kind = 'quote') AS description FROM lines GROUP BY site)"""
@@ -345,7 +351,7 @@ def oracles() -> dict[str, str]:
         "manifest_page_links": _query(_FATES, "SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY pos) AS INTEGER) AS ord, url, title, ends_with(ref, '.txt') AS is_full_content FROM fates WHERE fate = 'kept'"),
         "manifest_stats": _query(f"{_FATES}, {_STATS}", "SELECT h.site, h.total_sections, coalesce(total_links, 0) AS total_links, coalesce(skipped_optional, 0) AS skipped_optional, coalesce(skipped_external, 0) AS skipped_external FROM (SELECT site, count(*) FILTER (lower(section) <> 'optional') AS total_sections FROM heads GROUP BY site) h LEFT JOIN stats s ON h.site = s.site"),
         "manifest_section_stats": _query(_FATES, "SELECT h.site, h.section_ord, h.section AS title, lower(h.section) = 'optional' AS is_optional, count(*) FILTER (f.fate = 'kept') AS link_count FROM heads h LEFT JOIN fates f ON h.site = f.site AND h.section_ord = f.section_ord GROUP BY ALL HAVING count(*) FILTER (f.fate = 'kept') > 0 OR lower(h.section) <> 'optional'"),
-        "manifest_check": _query(f"{_FATES}, {_STATS}, {_HEADER}, {_LOOKUP}", "SELECT u.site, usable AS found, CASE WHEN usable THEN manifest_url END AS manifest_url, CASE WHEN usable THEN h.title END AS title, CASE WHEN usable THEN h.description END AS description, CASE WHEN usable THEN coalesce(s.total_links, 0) END AS total_links, CASE WHEN usable THEN coalesce(s.skipped_optional, 0) END AS skipped_optional, CASE WHEN usable THEN coalesce(s.skipped_external, 0) END AS skipped_external FROM looked_up u LEFT JOIN header h ON u.site = h.site LEFT JOIN stats s ON u.site = s.site"),
+        "manifest_check": _query(f"{_FATES}, {_STATS}, {_HEADER}, {_LOOKUP}, {_LISTING}", "SELECT u.site, usable AS found, CASE WHEN usable THEN manifest_url END AS manifest_url, CASE WHEN usable THEN h.title END AS title, CASE WHEN usable THEN h.description END AS description, CASE WHEN usable THEN coalesce(s.total_links, 0) END AS total_links, CASE WHEN usable THEN coalesce(s.skipped_optional, 0) END AS skipped_optional, CASE WHEN usable THEN coalesce(s.skipped_external, 0) END AS skipped_external, CASE WHEN usable THEN coalesce(l.total_sections, 0) END AS total_sections, CASE WHEN usable THEN coalesce(l.sections, '[]') END AS sections FROM looked_up u LEFT JOIN header h ON u.site = h.site LEFT JOIN stats s ON u.site = s.site LEFT JOIN listing l ON u.site = l.site"),
         "effective_config": _query(_CONFIG, "SELECT * FROM config"),
         "mode_rules": _query(_CONFIG, "SELECT site, mode, follow_selector, use_manifest, error FROM ready"),
         "crawl_plan": _query(_PLAN, "SELECT site, source, ord, url, title, is_full_content FROM plan"),

@@ -218,9 +218,9 @@ def manifest_section_stats(i: Inputs) -> DataFrame:
 
 @_register
 def manifest_check(i: Inputs) -> DataFrame:
-    return manifest.manifest_check(
-        bodies.lookup_manifests(i.derived("jobs"), i.derived("captured_manifests"))
-    )
+    found = bodies.lookup_manifests(i.derived("jobs"), i.derived("captured_manifests"))
+    # Nested values as text, which any engine compares alike.
+    return manifest.manifest_check(found).withColumn("sections", F.to_json("sections"))
 
 
 # --- planning --------------------------------------------------------------------

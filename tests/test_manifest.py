@@ -118,9 +118,28 @@ def test_lookup_and_check(spark):
     assert {r.site: r.usable for r in found.collect()} == {
         "https://a.com/x?y": True, "http://a.com/": False, "https://b.com": False, "bad": False
     }
-    check = {r.site: tuple(r)[1:] for r in manifest.manifest_check(found).collect()}
+    checked = manifest.manifest_check(found)
+    check = {r.site: tuple(r)[1:8] for r in checked.collect()}
     assert check["https://a.com/x?y"] == (True, "https://a.com/llms.txt", "Title", "d", 1, 0, 0)
     assert check["bad"] == (False, None, None, None, None, None, None)
+    sections = {r.site: (r.total_sections, [tuple(s) for s in r.sections or []]) for r in checked.collect()}
+    assert sections["https://a.com/x?y"] == (1, [("S", False, 1)]) and sections["bad"] == (None, [])
+    # The texts are split in one place of the plan.
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def test_check_lists_sections(spark):
+    text = "- [before](/b)\n## A\n## Optional\n- [o](/o)\n## Optional\n## B\n- [x](/x)\n- [y](https://other.com/)\n# T\n> q"
+    found = spark.createDataFrame(
+        [("s", "https://a.com/", "https://a.com/llms.txt", text, True), ("e", "https://a.com/", "https://a.com/llms.txt", "plain text", True)],
+        "site string, base_url string, manifest_url string, content string, usable boolean",
+    )
+    got = {r.site: r for r in manifest.manifest_check(found).collect()}
+    assert [tuple(s) for s in got["s"].sections] == [("A", False, 0), ("B", False, 1)]
+    assert (got["s"].total_sections, got["s"].total_links, got["s"].skipped_optional, got["s"].skipped_external) == (2, 1, 1, 1)
+    assert (got["s"].title, got["s"].description, got["e"].title, got["e"].sections) == ("T", "q", "", [])
+    every = {r.site: r for r in manifest.manifest_check(found, include_optional=True).collect()}
+    assert [tuple(s) for s in every["s"].sections] == [("A", False, 0), ("Optional", True, 1), ("Optional", True, 0), ("B", False, 1)]
 
 
 def read_manifest(text):

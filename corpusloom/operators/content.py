@@ -39,7 +39,7 @@ def area_tokens(
     steps = as_selector(selector)
     tokens = page_tokens(pages, clustered)
     lone = steps[0][0] if len(steps) == 1 and len(steps[0]) == 1 else None
-    if lone is not None and lone.bare:
+    if lone is not None and lone.bare and lone.tag == "body":
         return _bare_area(tokens, lone.tag)
     df = flag_matches(pair_for(tokens, steps), steps)
     return df.withColumns(_first_match()).withColumn("in_area", _in_match()).select(

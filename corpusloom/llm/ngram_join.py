@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from corpusloom.llm import golomb
@@ -166,11 +167,12 @@ def _prefixes(width: int, percent: int, id_type: pa.DataType):
                 elif digest not in done:
                     done.add(digest)
                     rank = ranks[np.searchsorted(values, items >> np.uint64(64 - _SENT))]
-                    order = np.argsort(rank.astype(np.uint64) << np.uint64(56) | items >> np.uint64(8), kind="stable")
-                    head = order[: n - -(-percent * n // 100) + 1]
-                    places = np.flatnonzero(rank[head]).astype(np.int32)
-                    tokens = items[head[places]].view(np.int64)
-                    if len(tokens) or n <= _SMALL:
+                    # A link takes that share of a set's own shingles to be in other sets too.
+                    if 100 * np.count_nonzero(rank) >= percent * n:
+                        order = np.argsort(rank.astype(np.uint64) << np.uint64(56) | items >> np.uint64(8), kind="stable")
+                        head = order[: n - -(-percent * n // 100) + 1]
+                        places = np.flatnonzero(rank[head]).astype(np.int32)
+                        tokens = items[head[places]].view(np.int64)
                         kept, sketch = items.tobytes(), _sketch(items)
                 for name, value in zip(out, (digest, ids[row], n, tokens, places, kept, sketch), strict=True):
                     out[name].append(value)
@@ -376,7 +378,7 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     answers = sent.groupBy("owner").applyInArrow(_answers, "bucket int, owner int, ranks binary")
     id_type = docs.schema["doc_id"].dataType
     kind = _NODES.format(id=id_type.simpleString())
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
+    arrow_id = to_arrow_type(id_type)
     met = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
     sets = stored(met.applyInArrow(_prefixes(width, percent, arrow_id), kind), "sets")
 

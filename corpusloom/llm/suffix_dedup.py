@@ -46,8 +46,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import golomb
+from corpusloom.llm.bucketed import bucketed
 from corpusloom.llm.words import flat, mixed
-from corpusloom.sources.scratch import scratch_path, stored
+from corpusloom.sources.scratch import stored
 
 # Bytes of an anchor, and places of a window that it is chosen from.
 ANCHOR, PLACES = 32, 32
@@ -426,15 +427,9 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
 
     Joins on `block` read it where it lies; a block is one document or `_BLOCK` bytes.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "blocks")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.mapInArrow(_packed(_BLOCK), "block string, n_bytes long, payload binary")
     # The payload is compressed already.
-    writer = rows.write.bucketBy(buckets, "block").option("compression", "none").option("path", path)
-    name = path.rpartition("/")[2].replace("-", "_")
-    writer.saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "blocks", "block", compression="none")
 
 
 def _first_round(length: int, owners: int):

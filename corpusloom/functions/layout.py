@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of `value`, which stands in the expression once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fixed_rows(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """A small constant table, held in the plan itself."""
 

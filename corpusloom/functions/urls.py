@@ -1,8 +1,7 @@
 """URL expressions: parts, normal form, resolution, derived names.
 
 They follow the URL standard's rules for http(s), ws(s) and ftp URLs, as plain
-column expressions. Not covered: punycode for non-ASCII hosts and numeric IPv4
-spellings, which keep the host as written (lower-cased).
+column expressions; hosts as `functions/hosts.py` has them.
 """
 
 from __future__ import annotations
@@ -10,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.layout import computed
+from corpusloom.functions.hosts import canonical_host
+from corpusloom.functions.layout import bound, computed
 
 _SPECIAL = "(?:https?|wss?|ftp)"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -22,7 +22,7 @@ _QUERY_SAFE = r"!$-&(-;=?@-~"
 _FRAGMENT_SAFE = r"!#-;=?-_a-~"
 _OPAQUE_SAFE = r" -~"
 # Hosts may not hold these; a bracketed IPv6 address may.
-_HOST_OK = r"^(?:\[[0-9a-f:.]+\]|[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+)$"
+_HOST_OK = r"^(?:\[[0-9a-f:.]+\]|[^\x00-\x20#%/:<>?@\[\\\]^|\x7f\ufffd]+)$"
 
 
 def clean(url: Column) -> Column:
@@ -48,9 +48,9 @@ def _part(u: Column, group: int) -> Column:
 
 
 def _host(u: Column) -> Column:
-    """Lower-cased host without user and port."""
+    """Host without user and port in its normal form, NULL if it has none."""
     pattern = rf"(?i)^{_SPECIAL}:[/\\]*(?:[^/\\?#]*@)?(\[[^\]/\\?#]*\]|[^/\\?#:]*)"
-    return F.lower(F.regexp_extract(u, pattern, 1))
+    return canonical_host(F.lower(F.regexp_extract(u, pattern, 1)))
 
 
 def _port_text(u: Column) -> Column:
@@ -71,27 +71,31 @@ def _port(u: Column) -> Column:
     return F.when(_port_text(u) == "", F.lit("")).otherwise(shown)
 
 
-def _valid(u: Column) -> Column:
+def _valid(u: Column, host: Column) -> Column:
     port = _port_text(u)
     digits = F.regexp_extract(port, "^:0*([0-9]*)$", 1)
     small = (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535)
-    return _host(u).rlike(_HOST_OK) & ((port == "") | port.rlike("^:[0-9]*$") & small)
+    named = F.coalesce(host.rlike(_HOST_OK), F.lit(False))
+    return named & ((port == "") | port.rlike("^:[0-9]*$") & small)
+
+
+def _root(u: Column, user: Column) -> Column:
+    """scheme://user@host:port of a special URL, NULL if it cannot be parsed."""
+    start, port = F.concat(_scheme(u), F.lit("://"), user), _port(u)
+    return bound(_host(u), lambda h: F.when(_valid(u, h), F.concat(start, h, port)))
 
 
 def hostname(url: Column) -> Column:
-    """Lower-cased host without port; '' for opaque URLs; NULL if unparsable."""
+    """Host without port in its normal form; '' for opaque URLs; NULL if unparsable."""
     u = clean(url)
-    return F.when(_is_special(u), F.when(_valid(u), _host(u))).when(
-        _scheme(u) != "", F.lit("")
-    )
+    named = bound(_host(u), lambda h: F.when(_valid(u, h), h))
+    return F.when(_is_special(u), named).when(_scheme(u) != "", F.lit(""))
 
 
 def origin(url: Column) -> Column:
     """scheme://host[:port] of a special URL, else NULL."""
     u = clean(url)
-    return F.when(
-        _is_special(u) & _valid(u), F.concat(_scheme(u), F.lit("://"), _host(u), _port(u))
-    )
+    return F.when(_is_special(u), _root(u, F.lit("")))
 
 
 def domain(url: Column, unknown: str = "unknown") -> Column:
@@ -155,18 +159,14 @@ def _href(u: Column) -> Column:
     s = _scheme(u)
     user = F.regexp_extract(_part(u, 1), "^(.*@)", 1)
     special = F.concat(
-        s,
-        F.lit("://"),
-        user,
-        _host(u),
-        _port(u),
+        _root(u, user),
         _pathname(u),
         _percent_encode(_part(u, 3), _QUERY_SAFE),
         _percent_encode(_part(u, 4), _FRAGMENT_SAFE),
     )
     rest = F.regexp_replace(u, _SCHEME, "")
     opaque = F.concat(s, F.lit(":"), _percent_encode(rest, _OPAQUE_SAFE))
-    return F.when(_is_special(u), F.when(_valid(u), special)).when(s != "", opaque)
+    return F.when(_is_special(u), special).when(s != "", opaque)
 
 
 def _normal_rest(rest: Column) -> Column:
@@ -187,10 +187,7 @@ def base_parts(base: Column) -> Column:
     user = F.regexp_extract(_part(b, 1), "^(.*@)", 1)
     return F.struct(
         _scheme(b).alias("scheme"),
-        F.when(
-            _is_special(b) & _valid(b),
-            F.concat(_scheme(b), F.lit("://"), user, _host(b), _port(b)),
-        ).alias("root"),
+        F.when(_is_special(b), _root(b, user)).alias("root"),
         F.when(_part(b, 2) == "", "/").otherwise(_part(b, 2)).alias("path"),
         _part(b, 3).alias("query"),
     )
@@ -245,8 +242,9 @@ def md_candidates(url: Column) -> Column:
         .when(url.endswith("/"), F.array(F.concat(path, F.lit("index.md")), plain))
         .otherwise(F.array(plain, F.concat(stem, F.lit("/index.md"))))
     )
-    return F.when(
-        origin(url).isNotNull(), F.transform(paths, lambda p: F.concat(origin(url), p))
+    return bound(
+        origin(url),
+        lambda root: F.when(root.isNotNull(), F.transform(paths, lambda p: F.concat(root, p))),
     )
 
 

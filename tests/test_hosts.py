@@ -1,0 +1,80 @@
+"""Hosts against a table by hand, and encoded labels against Python's codec."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import hosts, urls
+
+HOSTS = [
+    ("https://Bücher.de/x", "xn--bcher-kva.de"),
+    ("https://B%C3%BCcher.de/x", "xn--bcher-kva.de"),
+    ("https://xn--bcher-kva.de/", "xn--bcher-kva.de"),
+    ("https://user@BÜCHER.example:8080/", "xn--bcher-kva.example"),
+    ("https://例え。テスト/", "xn--r8jz45g.xn--zckzah"),
+    ("https://ｅｘａｍｐｌｅ．com/", "example.com"),
+    ("https://so\u00adft.de/", "soft.de"),
+    ("https://ex%41mple.com/", "example.com"),
+    ("https://a+b.com/", "a+b.com"),
+    ("https://😀.com/", "xn--e28h.com"),
+    ("http://0x7f.1/", "127.0.0.1"),
+    ("http://0X7F.0.0.1:81/", "127.0.0.1"),
+    ("http://017700000001/", "127.0.0.1"),
+    ("http://2130706433/", "127.0.0.1"),
+    ("http://1.2.3/", "1.2.0.3"),
+    ("http://1.2.3.4./", "1.2.3.4"),
+    ("http://0x/", "0.0.0.0"),
+    ("http://255.255.255.255/", "255.255.255.255"),
+    ("http://4294967295/", "255.255.255.255"),
+    ("http://4294967296/", None),
+    ("http://1.2.3.256/", None),
+    ("http://256.1/", None),
+    ("http://1.2.3.4.5/", None),
+    ("http://08.1/", None),
+    ("http://a.1/", None),
+    ("http://99999999999999999999999/", None),
+    ("http://1.a/", "1.a"),
+    ("http://1a/", "1a"),
+    ("http://a%2fb.com/", None),
+    ("http://a%zz.com/", None),
+    ("http://a%ff.com/", None),
+    ("http://[::1]/", "[::1]"),
+    ("http:///", None),
+    ("mailto:a@b.c", ""),
+    (None, None),
+]
+
+
+def test_hosts_by_hand(spark):
+    df = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(HOSTS)], "n int, url string")
+    got = {r.n: r.h for r in df.select("n", urls.hostname(F.col("url")).alias("h")).collect()}
+    for n, (url, want) in enumerate(HOSTS):
+        assert got[n] == want, url
+
+
+def test_links_and_domains_use_them(spark):
+    df = spark.createDataFrame(
+        [("https://www.Bücher.de/a", "b"), ("https://h.com/", "//0x7f.1/p"), ("http://1.2.3.999/", "p")],
+        "base string, ref string",
+    )
+    got = urls.resolve_links(df, "base", "ref").withColumn("d", urls.domain(F.col("base")))
+    assert [(r.url, r.d) for r in got.collect()] == [
+        ("https://www.xn--bcher-kva.de/b", "xn--bcher-kva.de"),
+        ("https://127.0.0.1/p", "h.com"),
+        (None, "unknown"),
+    ]
+
+
+def test_labels_equal_the_codec(spark):
+    rng = random.Random(7)
+    ranges = [(0x61, 0x7A), (0xE0, 0xFF), (0x3B1, 0x3C9), (0x4E00, 0x9FFF), (0x1F600, 0x1F64F)]
+
+    def label() -> str:
+        used = rng.sample(ranges, rng.randint(1, 3))
+        size = rng.choice([1, 2, 5, 20, 60, 300])
+        return "".join(chr(rng.randint(*rng.choice(used))) for _ in range(size))
+
+    labels = [label() for _ in range(300)] + ["ü" * 500, "a" * 50 + "ü", "\U0010ffff" * 3 + "z"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    for r in df.select("label", hosts.bootstring(F.col("label")).alias("got")).collect():
+        assert r.got == r.label.encode("punycode").decode("ascii"), r.label

@@ -100,6 +100,14 @@ SELECT url, 200 AS status, CASE WHEN page_id % 15 = 0 THEN '<SYSTEM>only</SYSTEM
 FROM (SELECT page_id, concat({_ROOT}, {_STEM}, '.txt') AS url FROM {{sheets}} AS q) AS f
 JOIN {{documents}} AS d ON d.doc_id = f.page_id UNION ALL
 SELECT concat({_ROOT}, {_STEM}, '.txt'), 200, concat('an older text of ', page_id), page_id * 2 FROM {{sheets}} AS o WHERE page_id % 10 = 0""",
+    # A job per captured host, named otherwise than its domain; every eleventh is refused.
+    "host_jobs": f"""
+SELECT DISTINCT concat('job-', {_HOST}) AS site, regexp_replace({_HOST}, '^www[.]', '') AS domain, './corpus/' AS output_dir,
+  CASE WHEN length({_HOST}) % 11 = 0 THEN 'refused' END AS error FROM {{sheets}} AS h""",
+    # What those jobs take: some of their pages share a title.
+    "host_pages": f"""
+SELECT concat('job-', {_HOST}) AS site, page_id AS ord, concat('Page ', page_id % 997) AS title, page_id, url, is_full_content
+FROM {{planned}} AS p WHERE length({_HOST}) % 11 > 0""",
 }
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"

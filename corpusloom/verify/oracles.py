@@ -314,6 +314,18 @@ def _query(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select}"
 
 
+_PICKED = _query(f"{_NATIVE}, {_markdown('article')}", f"""SELECT p.page_id, p.url, CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN 'full' WHEN NOT is_full_content AND n.body IS NOT NULL THEN 'native' WHEN s.markdown IS NOT NULL THEN 'html' END AS source,
+ CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN {_cleaned('f.body')} WHEN NOT is_full_content AND n.body IS NOT NULL THEN n.body ELSE s.markdown END AS body
+ FROM {_fixture('planned')} p LEFT JOIN (SELECT url, arg_max(body, captured_at) AS body FROM {_fixture('full_bodies')} GROUP BY url) f ON f.url = p.url LEFT JOIN native n ON n.page_id = p.page_id LEFT JOIN settled s ON s.page_id = p.page_id""")
+
+_STATE = f"""picks AS ({_PICKED}), last_tries AS (SELECT * FROM {_fixture("fetch_attempts")} QUALIFY row_number() OVER (PARTITION BY url ORDER BY at_ms DESC, attempt DESC) = 1),
+missing AS (SELECT p.page_id, CASE WHEN p.page_id IN (SELECT page_id FROM pages) THEN 'content area not found: article' ELSE 'no body captured' END AS reason FROM picks p WHERE p.body IS NULL),
+state AS (SELECT h.site, j.domain, h.ord, h.url, {_slug("h.title")} AS slug, p.source,
+  CASE WHEN p.body IS NOT NULL THEN 'success' WHEN t.url IS NULL THEN CASE WHEN reason <> 'no body captured' THEN 'no_content' END WHEN t.status IS NULL THEN 'exception' WHEN t.status NOT BETWEEN 200 AND 299 THEN 'http_error' ELSE 'no_content' END AS outcome,
+  CASE WHEN p.body IS NULL THEN CASE WHEN t.url IS NOT NULL AND t.status IS NULL THEN coalesce(t.error, 'unknown error') WHEN t.status NOT BETWEEN 200 AND 299 THEN coalesce(t.error, 'HTTP ' || t.status) ELSE reason END END AS error, t.at_ms AS done_ms
+  FROM {_fixture("host_pages")} h JOIN {_fixture("host_jobs")} j ON j.site = h.site JOIN picks p ON p.page_id = h.page_id LEFT JOIN last_tries t ON t.url = h.url LEFT JOIN missing m ON m.page_id = h.page_id)"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "page_scan": "SELECT page_id, url, html FROM pages",
@@ -358,9 +370,7 @@ def oracles() -> dict[str, str]:
         "crawl_preview": _query(_PLAN, "SELECT p.site, p.ord AS n, p.title, p.url, count(*) OVER (PARTITION BY p.site) AS total_pages, CASE source WHEN 'manifest' THEN 'auto' ELSE source END AS mode, content_selector, rtrim(output_dir, '/') || '/' || r.domain AS output_directory, use_native_md FROM plan p JOIN ready r ON p.site = r.site"),
         "full_content_clean": f"SELECT url, {_cleaned('body')} AS body FROM {_fixture('full_bodies')}",
         "native_md_filter": f"SELECT 'document' AS origin, doc_id AS id, {_usable('200', 'text')} AS usable FROM documents UNION ALL SELECT 'page', page_id, {_usable('200', 'html')} FROM pages",
-        "pick_body": _query(f"{_NATIVE}, {_markdown('article')}", f"""SELECT p.page_id, p.url, CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN 'full' WHEN NOT is_full_content AND n.body IS NOT NULL THEN 'native' WHEN s.markdown IS NOT NULL THEN 'html' END AS source,
- CASE WHEN is_full_content AND {_cleaned('f.body')} <> '' THEN {_cleaned('f.body')} WHEN NOT is_full_content AND n.body IS NOT NULL THEN n.body ELSE s.markdown END AS body
- FROM {_fixture('planned')} p LEFT JOIN (SELECT url, arg_max(body, captured_at) AS body FROM {_fixture('full_bodies')} GROUP BY url) f ON f.url = p.url LEFT JOIN native n ON n.page_id = p.page_id LEFT JOIN settled s ON s.page_id = p.page_id"""),
+        "pick_body": _PICKED,
         "fetch_outcomes": _query(_OUTCOMES, "SELECT page_id, url, outcome, error, done_ms FROM outcomes"),
         "retry_audit": f"""SELECT page_id, url, count(*) AS n_attempts, count(*) FILTER (status IS NULL AND error <> 'bad certificate') AS n_retryable, count(*) FILTER (status IS NULL AND error = 'bad certificate') AS n_final,
  count(*) FILTER (status = 503) AS http_only, coalesce(CAST(sum(CASE WHEN status IS NULL THEN 1000 * CAST(pow(2, attempt) AS BIGINT) END) AS BIGINT), 0) AS backoff_ms,
@@ -370,4 +380,10 @@ def oracles() -> dict[str, str]:
         "run_report": _query(f"{_OUTCOMES}, {_SUMMARY}, {_NAMED}", """SELECT s.site, completed = total AS finished, coalesce(n_files, 0) AS n_files, './corpus/' || s.site AS output_directory, total, success, failed, duration_ms FROM summary s
  LEFT JOIN (SELECT domain, count(*) AS n_files FROM corpus GROUP BY domain) c ON c.domain = s.site
  LEFT JOIN (SELECT site, max(done_ms) - min(done_ms) AS duration_ms FROM planned_sites JOIN outcomes USING (page_id) GROUP BY site) d ON d.site = s.site"""),
+        "run_state": _query(_STATE, "SELECT * FROM state"),
+        "job_report": _query(f"""{_STATE},
+totals AS (SELECT site, count(*) AS total, count(outcome) AS completed, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome <> 'success') AS failed, max(done_ms) - min(done_ms) AS duration_ms FROM state GROUP BY site),
+files AS (SELECT site, count(*) AS n_files FROM (SELECT * FROM state WHERE outcome = 'success' QUALIFY row_number() OVER (PARTITION BY domain, slug ORDER BY ord DESC, site DESC, url DESC) = 1) GROUP BY site)""",
+            """SELECT j.site, j.error IS NULL AS succeeded, j.error, './corpus/' || j.domain AS output_directory, coalesce(n_files, 0) AS n_files, coalesce(total, 0) AS total,
+ coalesce(completed, 0) AS completed, coalesce(success, 0) AS success, coalesce(failed, 0) AS failed, duration_ms FROM """ + _fixture("host_jobs") + """ j LEFT JOIN totals t ON t.site = j.site LEFT JOIN files f ON f.site = j.site"""),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.urls import domain, path_title
-from corpusloom.operators import bodies, manifest, naming, reports
+from corpusloom.operators import bodies, manifest, naming, reports, runs
 from corpusloom.operators.content import content_area
 from corpusloom.operators.links import absolute_links, extract_links, follow_links
 from corpusloom.operators.markdown import html_to_markdown
@@ -286,15 +286,18 @@ def native_md_filter(i: Inputs) -> DataFrame:
     return docs.unionByName(pages).select("origin", "id", usable)
 
 
-@_register
-def pick_body(i: Inputs) -> DataFrame:
+def _picked(i: Inputs) -> DataFrame:
     native = bodies.probe_native_md(i.derived("sheets"), i.derived("md_bodies"))
     native = stored(native, "native")  # asked twice: who has one, and which
     plan, full = i.derived("planned"), i.derived("full_bodies")
     left = stored(bodies.pages_left_to_html(plan, full, native), "left-to-html")
     html = html_to_markdown(i.pages.join(left, "page_id", "left_semi"), "article")
-    picked = bodies.pick_body(plan, full, native, html)
-    return picked.select("page_id", "url", "source", "body")
+    return bodies.pick_body(plan, full, native, html)
+
+
+@_register
+def pick_body(i: Inputs) -> DataFrame:
+    return _picked(i).select("page_id", "url", "source", "body")
 
 
 def _outcomes(i: Inputs) -> DataFrame:
@@ -331,3 +334,21 @@ def run_report(i: Inputs) -> DataFrame:
     listing = list_corpus(i.spark, _written(i))
     summary = reports.run_summary(plan, outcomes)
     return reports.run_report(summary, outcomes, plan, listing, OUTPUT_DIR)
+
+
+def _run_state(i: Inputs) -> DataFrame:
+    """From jobs and what they take over the bodies found to a state per page."""
+    taken = i.derived("host_pages").join(i.derived("host_jobs").select("site", "domain"), "site")
+    found = _picked(i).select("page_id", "source", "body", "error")
+    return runs.run_state(taken.join(found, "page_id"), i.derived("fetch_attempts"))
+
+
+@_register
+def run_state(i: Inputs) -> DataFrame:
+    return _run_state(i)
+
+
+@_register
+def job_report(i: Inputs) -> DataFrame:
+    state = stored(_run_state(i), "run-state")
+    return runs.job_report(i.derived("host_jobs"), state)

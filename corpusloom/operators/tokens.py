@@ -85,7 +85,8 @@ def page_tokens(
 
     `kind` is open, close, void, raw (whole script or style), comment, cut (a tag
     the page end cuts off) or text. A page without markup gives one row of NULLs,
-    so no page is lost. Pages move once, before they grow into tokens; pass
+    so no page is lost. Pages move once, before they grow into tokens, to as many tasks
+    as their bytes ask for (see `spread`); pass
     `clustered=True` for a table that is bucketed by page_id already. With `tags`,
     only text and tokens of those tags are kept, before anything else looks at them.
     `also` names columns that are worked out once per page, each from those before it, and
@@ -94,7 +95,7 @@ def page_tokens(
     also = also or {}
     source = pages.select("page_id", "html")
     if not clustered:
-        source = spread(source, "page_id")
+        source = spread(source, "page_id", sized_by="html")
     for name, column in also.items():
         source = computed(source, **{name: column})
     split = source.select(

@@ -7,7 +7,9 @@ emitting all pairs of a group of copies:
 1. Documents are hashed into buckets once. A bucket sends the shingles it holds, sorted
    and Golomb-coded, to the owners of their hash ranges; owners add up in how many sets
    each occurs and answer with one byte per shingle. Both rounds are plain shuffles.
-2. Texts with equal sets become one node, so exact copies cost nothing further.
+2. Texts with equal sets become one node, so exact copies cost nothing further. The same
+   rounds carry the sets' digests, and owners answer which bucket holds the least doc_id of
+   each: only there the set is written, once, and it never moves to be told from its copies.
 3. Small sets enumerate the fixed-size subsets that a link forces both sides to share;
    equal subsets are links. Large sets scan inverted lists over the rarest shingles of
    each set (a prefix that every link must meet). The size that parts small from large
@@ -17,7 +19,8 @@ emitting all pairs of a group of copies:
    to compare in the end. A sketch of each set bounds the pair's difference from below,
    inside the join, so that of a group of nearly similar texts only likely links leave it.
 
-Sets are kept as 64-bit shingle hashes; overlaps are counted exactly on them.
+Sets are kept as 64-bit shingle hashes; overlaps are counted exactly on them. From step 2 on
+a node goes by the number of its bucket and row, half of what its digest would take to move.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ _SKETCH = 8
 # Rows of a list, and pairs of sets, that one task takes on at least.
 _ROWS_PER_TASK, _PAIRS_PER_TASK = 50_000, 500
 
-_NODES = "digest binary, doc_id {id}, n_shingles long, tokens array<long>, places array<int>, items binary, sketch array<long>"
+_NODES = "node long, digest binary, doc_id {id}, n_shingles long, tokens array<long>, places array<int>, items binary, sketch array<long>"
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -93,8 +96,27 @@ def _bucket_sets(table: pa.Table, width: int) -> tuple[list[np.ndarray], list[by
     return sets, digests, np.concatenate(sent) if sent else np.zeros(0, np.uint64)
 
 
+def _order(doc_id) -> tuple:
+    """Order of ids: a null id comes last."""
+    return doc_id is None, doc_id
+
+
+def _claims(ids: list, digests: list[bytes], sets: list[np.ndarray], owners: int) -> dict[int, dict[bytes, int]]:
+    """Per owner the digests of a bucket's sets that hold something, each with the row of its least id."""
+    rows: dict[bytes, int] = {}
+    for row in sorted(range(len(ids)), key=lambda r: _order(ids[r])):
+        if len(sets[row]):
+            rows.setdefault(digests[row], row)
+    dealt: dict[int, dict[bytes, int]] = {}
+    for digest, row in sorted(rows.items()):
+        dealt.setdefault(int.from_bytes(digest[:8], "big") % owners, {})[digest] = row
+    return dealt
+
+
 def _counted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct values and the sum of their weights."""
+    if not len(values):
+        return values, weights
     order = np.argsort(values, kind="stable")
     values, weights = values[order], weights[order]
     starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
@@ -107,65 +129,81 @@ def _owner_bounds(values: np.ndarray, owners: int) -> np.ndarray:
     return np.searchsorted(values, np.array(edges, dtype=np.uint64))
 
 
-def _messages(width: int, owners: int):
+def _messages(width: int, owners: int, id_type: pa.DataType):
     def send(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        sent = _bucket_sets(table, width)[2]
+        sets, digests, sent = _bucket_sets(table, width)
+        ids = table["doc_id"].to_pylist()
+        claims = _claims(ids, digests, sets, owners)
+        values, counts = _counted(sent, np.ones(len(sent), dtype=np.uint32))
+        bounds = _owner_bounds(values, owners).tolist()
         rows = []
-        if len(sent):
-            values, counts = _counted(sent, np.ones(len(sent), dtype=np.uint32))
-            bounds = _owner_bounds(values, owners).tolist()
-            for owner, (i, j) in enumerate(itertools.pairwise(bounds)):
-                if i < j:
-                    held = zlib.compress(counts[i:j].astype("<u4").tobytes(), 1)
-                    rows.append((bucket, owner, golomb.encode(values[i:j]), held))
-        return pa.table(
-            {
-                "bucket": pa.array([r[0] for r in rows], pa.int32()),
-                "owner": pa.array([r[1] for r in rows], pa.int32()),
-                "hashes": pa.array([r[2] for r in rows], pa.binary()),
-                "counts": pa.array([r[3] for r in rows], pa.binary()),
-            }
-        )
+        for owner, (i, j) in enumerate(itertools.pairwise(bounds)):
+            claimed = claims.get(owner, {})
+            if i < j or claimed:
+                held = zlib.compress(counts[i:j].astype("<u4").tobytes(), 1)
+                least = [ids[row] for row in claimed.values()]
+                rows.append((bucket, owner, golomb.encode(values[i:j]), held, b"".join(claimed), least))
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type))
+        names = ("bucket", "owner", "hashes", "counts", "digests", "ids")
+        return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(zip(names, types, strict=True))})
 
     return send
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """Per message of one owner, a byte for each hash: 0 if in one set, else about 4 log2."""
+    """Per message of one owner, a byte for each hash: 0 if in one set, else about 4 log2.
+
+    And a byte for each digest: 1 in the message that has its least id.
+    """
     lists = [golomb.decode(b.as_py()) for b in table["hashes"]]
     counts = [np.frombuffer(zlib.decompress(b.as_py()), dtype="<u4") for b in table["counts"]]
     values, totals = _counted(np.concatenate(lists), np.concatenate(counts).astype(np.uint64))
     ranks = np.floor(4 * np.log2(totals)).astype(np.uint8)
     replies = [zlib.compress(ranks[np.searchsorted(values, v)].tobytes(), 1) for v in lists]
+    claims = []
+    for joined, ids in zip(table["digests"].to_pylist(), table["ids"].to_pylist(), strict=True):
+        claims.append([(joined[16 * k : 16 * k + 16], _order(doc_id)) for k, doc_id in enumerate(ids)])
+    least: dict[bytes, tuple] = {}
+    for message, claimed in enumerate(claims):
+        for digest, order in claimed:
+            if digest not in least or order < least[digest][0]:
+                least[digest] = order, message
+    won = [bytes(least[digest][1] == message for digest, _ in claimed) for message, claimed in enumerate(claims)]
     return pa.table(
         {
             "bucket": table["bucket"].combine_chunks(),
             "owner": table["owner"].combine_chunks(),
             "ranks": pa.array(replies, pa.binary()),
+            "won": pa.array(won, pa.binary()),
         }
     )
 
 
-def _prefixes(width: int, percent: int, id_type: pa.DataType):
+def _prefixes(width: int, percent: int, owners: int, id_type: pa.DataType):
     def meet(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("digest", "doc_id", "n_shingles", "tokens", "places", "items", "sketch")}
+        out: dict[str, list] = {k: [] for k in ("node", "digest", "doc_id", "n_shingles", "tokens", "places", "items", "sketch")}
         if docs.num_rows:
             sets, digests, sent = _bucket_sets(docs, width)
             values = distinct(sent)
-            by_owner = sorted(zip(answers["owner"].to_pylist(), answers["ranks"].to_pylist(), strict=True))
-            ranks = np.frombuffer(b"".join(zlib.decompress(r) for _, r in by_owner), dtype=np.uint8)
+            said = answers.select(["owner", "ranks", "won"]).to_pylist()
+            said = {r["owner"]: r for r in sorted(said, key=lambda r: r["owner"])}
+            ranks = np.frombuffer(b"".join(zlib.decompress(r["ranks"]) for r in said.values()), dtype=np.uint8)
             ids = docs["doc_id"].to_pylist()
-            done = set()
-            # The least doc_id of equal sets carries the set; a null id comes last.
-            for row in sorted(range(len(ids)), key=lambda r: (ids[r] is None, ids[r])):
-                items, digest = sets[row], digests[row]
-                n, tokens, places, kept, sketch = len(items), None, None, None, None
+            # The least doc_id of equal sets, of all buckets, carries the set.
+            carrying = {
+                row
+                for owner, claimed in _claims(ids, digests, sets, owners).items()
+                for row, won in zip(claimed.values(), said[owner]["won"], strict=True)
+                if won
+            }
+            bucket = docs["bucket"][0].as_py()
+            for row, (items, digest) in enumerate(zip(sets, digests, strict=True)):
+                n, node, tokens, places, kept, sketch = len(items), None, None, None, None, None
                 if n == 0:
                     # Empty texts link with nothing; an own digest keeps them apart and spread.
                     digest = hashlib.blake2b(f"empty {ids[row]}".encode(), digest_size=16).digest()
-                elif digest not in done:
-                    done.add(digest)
+                elif row in carrying:
                     rank = ranks[np.searchsorted(values, items >> np.uint64(64 - _SENT))]
                     # A link takes that share of a set's own shingles to be in other sets too.
                     if 100 * np.count_nonzero(rank) >= percent * n:
@@ -174,9 +212,11 @@ def _prefixes(width: int, percent: int, id_type: pa.DataType):
                         places = np.flatnonzero(rank[head]).astype(np.int32)
                         tokens = items[head[places]].view(np.int64)
                         kept, sketch = items.tobytes(), _sketch(items)
-                for name, value in zip(out, (digest, ids[row], n, tokens, places, kept, sketch), strict=True):
+                        # A bucket's rows are numbered once, as what this writes is read from then on.
+                        node = bucket << 32 | row
+                for name, value in zip(out, (node, digest, ids[row], n, tokens, places, kept, sketch), strict=True):
                     out[name].append(value)
-        types = (pa.binary(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))
+        types = (pa.int64(), pa.binary(), id_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     return meet
@@ -186,7 +226,7 @@ def _subsets(percent: int, most: int):
     def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[tuple]:
             for batch in batches:
-                for node, items in zip(batch["digest"].to_pylist(), batch["items"].to_pylist(), strict=True):
+                for node, items in zip(batch["node"].to_pylist(), batch["items"].to_pylist(), strict=True):
                     n = len(items) // 8
                     parts = [items[i : i + 8] for i in range(0, len(items), 8)]
                     for m in partner_sizes(n, percent):
@@ -201,7 +241,7 @@ def _subsets(percent: int, most: int):
         rows = keys()
         while chunk := list(itertools.islice(rows, 20_000)):
             columns = list(zip(*chunk, strict=True))
-            types = (pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "side", "peer", "node"])
 
@@ -249,8 +289,8 @@ class _Join:
 
     def small_links(self, most: int) -> DataFrame:
         """Links between sets of at most `most` shingles, as stars per shared subset."""
-        small = self.nodes.where(F.col("n_shingles") <= most).select("digest", "items")
-        kind = "key binary, side int, peer int, node binary"
+        small = self.nodes.where(F.col("n_shingles") <= most).select("node", "items")
+        kind = "key binary, side int, peer int, node long"
         keys = stored(small.mapInArrow(_subsets(self.percent, most), kind), "subsets")
         hubs = keys.groupBy("key", "side").agg(F.min("node").alias("hub"))
         hubs = stored(hubs.withColumnRenamed("side", "peer"), "subset-hubs")
@@ -262,7 +302,7 @@ class _Join:
         least = -(-self.percent * (most + 1) // 100)
         large = self.nodes.where(F.col("n_shingles") >= least)
         item = F.explode(F.arrays_zip("tokens", "places")).alias("item")
-        rows = large.select(F.col("digest").alias("node"), F.col("n_shingles").alias("n"), item)
+        rows = large.select("node", F.col("n_shingles").alias("n"), item)
         return stored(rows.select("node", "n", "item.tokens", "item.places"), "lists").toDF(
             "node", "n", "token", "place"
         )
@@ -288,7 +328,7 @@ class _Join:
         lists = lists.join(tokens, "token")
         if "s0" not in lists.columns:
             words = [F.col("sketch")[k].alias(f"s{k}") for k in range(_SKETCH)]
-            lists = lists.join(self.nodes.select(F.col("digest").alias("node"), *words), "node")
+            lists = lists.join(self.nodes.select("node", *words), "node")
         return stored(lists, "open-lists")
 
     def hubs(self, lists: DataFrame, count: int) -> DataFrame:
@@ -319,11 +359,15 @@ class _Join:
         """Those pairs whose sets are similar enough, compared item by item."""
         pairs = stored(pairs, "pairs")
         tasks = 1 + pairs.count() // _PAIRS_PER_TASK
+        # Written, so that its size is known: where it is small, only the sets it names move.
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ends = stored(ends.coalesce(1 + tasks // _PAIRS_PER_TASK), "pair-ends")
+        nodes = self.nodes.join(ends, "node", "left_semi")
         for side in ("a", "b"):
-            sets = self.nodes.select(F.col("digest").alias(side), F.col("items").alias(f"items_{side}"))
+            sets = nodes.select(F.col("node").alias(side), F.col("items").alias(f"items_{side}"))
             pairs = pairs.join(sets, side)
         rows = pairs.select("a", "b", "items_a", "items_b").coalesce(tasks)
-        return stored(rows.mapInArrow(_compare(self.percent), "a binary, b binary"), "linked")
+        return stored(rows.mapInArrow(_compare(self.percent), "a long, b long"), "linked")
 
     def rooted(self, lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components of `links`, and the lists with each node's root."""
@@ -372,26 +416,26 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # Twice as many buckets as tasks evens out what the hash deals to each.
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(2 * owners)).cast("int").alias("bucket")
     dealt = docs.select("doc_id", "text", bucket)
+    id_type = docs.schema["doc_id"].dataType
+    arrow_id, id_name = to_arrow_type(id_type), id_type.simpleString()
     sent = dealt.groupBy("bucket").applyInArrow(
-        _messages(width, owners), "bucket int, owner int, hashes binary, counts binary"
+        _messages(width, owners, arrow_id),
+        f"bucket int, owner int, hashes binary, counts binary, digests binary, ids array<{id_name}>",
     )
-    answers = sent.groupBy("owner").applyInArrow(_answers, "bucket int, owner int, ranks binary")
-    id_type = docs.schema["doc_id"].dataType
-    kind = _NODES.format(id=id_type.simpleString())
-    arrow_id = to_arrow_type(id_type)
+    answers = sent.groupBy("owner").applyInArrow(_answers, "bucket int, owner int, ranks binary, won binary")
     met = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
-    sets = stored(met.applyInArrow(_prefixes(width, percent, arrow_id), kind), "sets")
+    kind = _NODES.format(id=id_name)
+    sets = stored(met.applyInArrow(_prefixes(width, percent, owners, arrow_id), kind), "sets")
 
     carried = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     carried = stored(carried, "carried")
-    nodes = sets.where("items IS NOT NULL").join(carried, "digest").where("doc_id <=> least")
-    nodes = stored(nodes.drop("least"), "nodes")
-    roots = stored(_Join(spark, nodes, percent).run().withColumnRenamed("node", "digest"), "classes")
+    nodes = sets.where("items IS NOT NULL")
+    roots = _Join(spark, nodes.drop("digest", "doc_id"), percent).run()
+    classes = stored(roots.join(nodes.select("node", "digest", "doc_id"), "node").drop("node"), "classes")
 
-    least = F.min("least").alias("reached")
     # Written first, so that a root with very many nodes meets a plain side and is split.
-    reached = stored(roots.join(carried, "digest").groupBy("root").agg(least), "reached")
-    linked = roots.join(reached, "root").select("digest", "reached")
+    reached = stored(classes.groupBy("root").agg(F.min("doc_id").alias("reached")), "reached")
+    linked = classes.join(reached, "root").select("digest", "reached")
     labels = carried.join(linked, "digest", "left")
     labels = stored(labels.select("digest", F.coalesce("reached", "least").alias("component_id")), "labels")
     rows = sets.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")

@@ -104,3 +104,29 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_equal_sets_are_written_once(spark, monkeypatch, kind):
+    written, write = {}, ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: written.setdefault(name, write(df, name)))
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base[:-1] + [f"last{k}"]) for k in range(3)]
+    rows = [(i, texts[i % 3]) for i in range(60)] + [(None, texts[0]), (61, "")]
+    table = docs(spark, rows).selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    got = similarity_classes(table, 4, 85).collect()
+    assert len(got) == len(rows)
+    assert {str(r.component_id) for r in got if r.n_shingles} == {"0"}
+    carried = written["sets"].where("items IS NOT NULL").collect()
+    ids = str if kind == "string" else int
+    least = {min(ids(i) for i, text in rows if text == t and i is not None) for t in texts}
+    assert {r.doc_id for r in carried} == least and len(carried) == 3
+    assert len({r.node for r in carried}) == 3
+
+
+def test_pairs_move_only_the_sets_they_name(spark, monkeypatch):
+    asked, write = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: (asked.append(name), write(df, name))[1])
+    rows = varied(3, [25, 60], 9)
+    assert found(spark, rows, 4, 85) == expected(rows, 4, 85)
+    assert asked.count("pair-ends") == asked.count("pairs") > 0
